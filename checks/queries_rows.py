@@ -419,7 +419,7 @@ def _(spark, sf_dir):
 
 
 @query("c23_report_codes", f"""WITH rep AS ({REPORT_SQL}) SELECT doc_id,
-  array_to_string(list_filter(list_transform(list_filter([report_1, report_2], lambda x: x IS NOT NULL), lambda x: trim(x)), lambda x: x <> ''), '|') AS codes FROM rep""")
+  array_to_string(list_filter(list_transform(list_filter([report_1, report_2], lambda x: x IS NOT NULL), lambda x: trim(x)), lambda x: x <> ''), '|') AS codes FROM rep""".replace("array_to_string", "coalesce(array_to_string").replace(", '|') AS codes", ", '|'), '') AS codes"))
 def _(spark, sf_dir):
     return reports(spark, sf_dir).select("doc_id", F.array_join(codes.report_codes(["report_1", "report_2"]), "|").alias("codes"))
 
