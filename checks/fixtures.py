@@ -180,3 +180,66 @@ def r6(expr: str, name: str) -> str:
 
 def union(parts) -> str:
     return " UNION ALL ".join(parts)
+
+
+def poly_cte(source: str, degree: int, by: str = "dataset", name: str = "pf", x: str = "rr_s", y: str = "qt_ms", where: str = "TRUE") -> str:
+    """CTEs fitting y on x per group by orthogonal polynomials (three-term recurrence).
+
+    ``name`` gets qt_expected (the fit at x), at_one (the fit at 1), mean_y and fit_n.
+    """
+    over = f"OVER (PARTITION BY {by})" if by else "OVER ()"
+    parts = [f"{name}_0 AS (SELECT *, CASE WHEN {y} IS NOT NULL AND {x} IS NOT NULL AND {where} THEN 1 END AS w, 1e0 AS p0, 1e0 AS o0 FROM {source})"]
+    for k in range(degree + 1):
+        parts.append(f"{name}_{k}s AS (SELECT *, sum(w * p{k} * p{k}) {over} AS h{k}, sum(w * {x} * p{k} * p{k}) {over} AS xh{k}, "
+                     f"sum(w * ({y} - 400e0) * p{k}) {over} AS yh{k} FROM {name}_{k})")
+        if k < degree:
+            back = f"- h{k} / h{k - 1} * p{k - 1}" if k else ""
+            back_one = f"- h{k} / h{k - 1} * o{k - 1}" if k else ""
+            parts.append(f"{name}_{k + 1} AS (SELECT *, ({x} - xh{k} / h{k}) * p{k} {back} AS p{k + 1}, (1e0 - xh{k} / h{k}) * o{k} {back_one} AS o{k + 1} FROM {name}_{k}s)")
+    fit = " + ".join(f"yh{k} / h{k} * p{k}" for k in range(degree + 1))
+    one = " + ".join(f"yh{k} / h{k} * o{k}" for k in range(degree + 1))
+    work = ", ".join(["w", *[f"{c}{k}" for k in range(degree + 1) for c in ("p", "o", "h", "xh", "yh")]])
+    parts.append(f"{name} AS (SELECT * EXCLUDE ({work}), 400e0 + {fit} AS qt_expected, 400e0 + {one} AS at_one, avg({y}) {over} AS mean_y, count(w) {over} AS fit_n FROM {name}_{degree}s)")
+    return ", ".join(parts)
+
+
+def each(formulas, sql: str, names: dict | None = None) -> str:
+    """UNION ALL of ``sql`` with {f} replaced by each formula."""
+    return union(sql.replace("{f}", f) for f in formulas)
+
+
+def strata_sql(strata, select: str, source: str = "e", having: str = "") -> str:
+    """UNION ALL of one GROUP BY per (kind, label expression)."""
+    return union(f"SELECT '{kind}' AS kind, {label} AS label, {select} FROM {source} WHERE {label} IS NOT NULL GROUP BY 2 {having}" for kind, label in strata)
+
+
+def rsafe(r: str, n: str, min_n: int) -> str:
+    return f"CASE WHEN {n} >= {min_n} THEN {r} END"
+
+
+def div(a: str, b: str) -> str:
+    return f"(CAST({a} AS DOUBLE) / nullif({b}, 0))"
+
+
+def metric_sql(tp="tp", fp="fp", tn="tn", fn="fn", zero: str | None = "0e0") -> dict[str, str]:
+    def d(a, b):
+        return f"coalesce({div(a, b)}, {zero})" if zero else div(a, b)
+    sens, spec = d(tp, f"({tp} + {fn})"), d(tn, f"({tn} + {fp})")
+    big = [f"CAST({x} AS DOUBLE)" for x in (tp, fp, tn, fn)]
+    return {"total": f"{tp} + {fp} + {tn} + {fn}", "sensitivity": sens, "specificity": spec, "ppv": d(tp, f"({tp} + {fp})"), "npv": d(tn, f"({tn} + {fn})"),
+            "accuracy": d(f"({tp} + {tn})", f"({tp} + {fp} + {tn} + {fn})"), "f1": d(f"(2 * {tp})", f"(2 * {tp} + {fp} + {fn})"),
+            "youden_j": f"{sens} + {spec} - 1", "mcc": d(f"({big[0]} * {big[2]} - {big[1]} * {big[3]})", f"sqrt(({big[0]} + {big[1]}) * ({big[0]} + {big[3]}) * ({big[2]} + {big[1]}) * ({big[2]} + {big[3]}))"),
+            "fpr": f"1 - {spec}", "fnr": f"1 - {sens}"}
+
+
+METRICS = ["sensitivity", "specificity", "ppv", "npv", "accuracy", "f1", "youden_j", "mcc", "fpr", "fnr"]
+
+
+def counts_sql(t: str, p: str, tag: str = "") -> str:
+    return (f"count(*) FILTER (WHERE {t} AND {p}) AS {tag}tp, count(*) FILTER (WHERE NOT {t} AND {p}) AS {tag}fp, "
+            f"count(*) FILTER (WHERE NOT {t} AND NOT {p}) AS {tag}tn, count(*) FILTER (WHERE {t} AND NOT {p}) AS {tag}fn")
+
+
+def metrics_list(names=None, zero="0e0", tag: str = "") -> str:
+    m = metric_sql(*[f"{tag}{x}" for x in ("tp", "fp", "tn", "fn")], zero=zero)
+    return ", ".join(f"{m[n]} AS {tag}{n}" for n in (names or ["total", *METRICS]))

@@ -80,7 +80,7 @@ def superclass_of_report(cols) -> Column:
 def report_codes(cols, n: int = 6) -> Column:
     """The non-blank ones among the first ``n`` present report lines."""
     present = F.array_compact(F.array(*[col(c) for c in cols]))
-    return F.filter(F.transform(F.slice(present, 1, n), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.slice(present, 1, n), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def exam_superclass(af="AF", avb="1dAVb", rbbb="RBBB", lbbb="LBBB", sb="SB", st="ST",

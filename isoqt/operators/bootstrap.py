@@ -33,7 +33,8 @@ def poisson_weights(keys: np.ndarray, replicates: int, seed: int, table: np.ndar
     """Weights (rows x replicates) that depend on key, replicate and seed only."""
     blocks = (replicates + 3) // 4
     counter = np.arange(1, blocks + 1, dtype=np.uint64) * MIX
-    start = _mix(keys.astype(np.uint64) + np.uint64(seed) * MIX)
+    offset = np.uint64(seed * int(MIX) % (1 << 64))
+    start = _mix(keys.astype(np.uint64) + offset)
     bits = _mix(start[:, None] + counter[None, :])
     return table[bits.view(np.uint16)][:, :replicates]
 

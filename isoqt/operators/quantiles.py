@@ -71,13 +71,18 @@ def percentiles(df: DataFrame, wanted: dict, by=(), bounded: bool = True,
     placed = (counted.withColumn("end", F.col("base") + F.sum("n").over(running))
               .withColumn("start", F.col("end") - F.col("n"))
               .withColumn("probe", F.explode("probes")).select("*", "probe.*"))
-    low = F.when((F.col("lo") >= F.col("start")) & (F.col("lo") < F.col("end")),
-                 F.col("v") * (1 - F.col("part"))).otherwise(0.0)
-    high = F.when((F.col("hi") >= F.col("start")) & (F.col("hi") < F.col("end")),
-                  F.col("v") * F.col("part")).otherwise(0.0)
-    outputs = [F.sum(F.when(F.col("pi") == i, low + high)).alias(name)
-               for i, name in enumerate(wanted)]
-    return placed.groupBy(*by).agg(*outputs)
+    at_low = (F.col("lo") >= F.col("start")) & (F.col("lo") < F.col("end"))
+    at_high = (F.col("hi") >= F.col("start")) & (F.col("hi") < F.col("end"))
+    ends = []
+    for i in range(len(probes)):
+        this = F.col("pi") == i
+        ends += [F.max(F.when(this & at_low, F.col("v"))).alias(f"__low{i}"),
+                 F.max(F.when(this & at_high, F.col("v"))).alias(f"__high{i}"),
+                 F.max(F.when(this, F.col("part"))).alias(f"__part{i}")]
+    # low + (high - low) * part is exactly low where both are equal
+    return placed.groupBy(*by).agg(*ends).select(*by, *[
+        (F.col(f"__low{i}") + (F.col(f"__high{i}") - F.col(f"__low{i}")) * F.col(f"__part{i}")).alias(name)
+        for i, name in enumerate(wanted)])
 
 
 def join_groups(left: DataFrame, right: DataFrame, by, how: str = "left") -> DataFrame:

@@ -140,7 +140,8 @@ def roc(df: DataFrame, truth: str, formulas, start: int = 350, stop: int = 550,
     values = F.array(*[F.struct(F.lit(f).alias("formula"), F.col(f"qtc_{f}").alias("q")) for f in formulas])
     rows = df.select(F.coalesce(F.col(truth), F.lit(False)).alias("t"), F.explode(values).alias("m")).select("t", "m.*")
     # slot = number of thresholds strictly below the value (a missing value exceeds none)
-    slot = F.coalesce(F.greatest(F.lit(0), F.least(F.lit(slots), F.ceil((F.col("q") - start) / step))), F.lit(0))
+    steps = F.greatest(F.lit(0), F.least(F.lit(slots), F.ceil((F.col("q") - start) / step)))
+    slot = F.when(F.col("q").isNotNull(), steps).otherwise(0)
     hist = rows.groupBy("formula", slot.cast("int").alias("slot")).agg(
         F.count_if("t").alias("p"), F.count_if(~F.col("t")).alias("m"))
     # one row per formula holding its (at most slots + 1) histogram bars

@@ -40,7 +40,7 @@ class FormulaCatalog:
         score = F.coalesce(F.col("score"), F.lit(1.0)) if "score" in df.columns else F.lit(1.0)
         unique = df.groupBy("equation").agg(F.min_by(F.struct("name", "approach", "complexity"), "name").alias("f"), F.min(score).alias("score"))
         ordered = unique.select("f.*", "equation", "score").orderBy("score", "name")
-        found = [r.asDict() for r in (ordered.limit(top) if top else ordered.limit(10_000)).collect()]
+        found = [r.asDict() for r in (ordered.limit(top) if top else ordered).collect()]
         rows = [{**r, "is_standard": False} for r in found if usable_formula(spark, r["equation"], r["approach"])]
         if standards:
             rows += [{"name": n, "approach": a, "equation": e, "complexity": None, "score": None, "is_standard": True} for n, a, e, _ in STANDARD]
@@ -164,7 +164,7 @@ def lodo(df: DataFrame, formulas, min_n: int = 10) -> DataFrame:
         "dataset", *names, *[(F.col(f"all_{c}") - F.col(c)).alias(f"rest_{c}") for c in names])
     return per_formula_rows(rest, formulas, {
         "n_rest": lambda f: pair_n(f"rest_{f}"), "abs_r_rest": lambda f: F.abs(pair_corr(f"rest_{f}", min_n)), "n_held_out": pair_n,
-        "abs_r_held_out": lambda f: F.abs(pair_corr(f, min_n))}, [F.col("dataset").alias("held_out")])
+        "abs_r_held_out": lambda f: F.abs(pair_corr(f, min_n))}, ["dataset"]).withColumnRenamed("dataset", "held_out")
 
 
 def best_approach(metrics: DataFrame) -> DataFrame:

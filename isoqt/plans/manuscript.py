@@ -80,7 +80,7 @@ def table4(df: DataFrame, formulas=FORMULAS, min_n: int = 10) -> DataFrame:
         F.col("age_group").isNotNull() & F.col("zone").isNotNull() & (F.col("n_rows") >= min_n))
     return per_formula_rows(cells, formulas, {
         "fp_pct": lambda f: F.round(share(f"{f}_fp", "n_rows"), 2), "fn_pct": lambda f: F.round(share(f"{f}_fn", "n_rows"), 2),
-        "mc_pct": lambda f: F.round(share(F.col(f"{f}_fp") + F.col(f"{f}_fn"), "n_rows"), 2)}, ["age_group", "zone", F.col("n_rows").alias("n")])
+        "mc_pct": lambda f: F.round(share(F.col(f"{f}_fp") + F.col(f"{f}_fn"), "n_rows"), 2)}, ["age_group", "zone", "n_rows"]).withColumnRenamed("n_rows", "n")
 
 
 def table4_pivot(report: DataFrame, formula: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from isoqt.operators.moments import chi2_p
 from isoqt.operators.quantiles import join_groups, percentiles
 from isoqt.plans.cells import share, share0
+from isoqt.session import settle
 
 CLASSES = ["concordant_normal", "concordant_prolonged", "new_only_prolonged", "reclassified_normal"]
 
@@ -125,35 +126,41 @@ def outcome_rates(df: DataFrame, outcomes=OUTCOMES, by: str = "concordance") ->
     return out.withColumn("unadjusted_rr", F.try_divide("reclassified_rate", "normal_rate"))
 
 
-def adjusted_odds(df: DataFrame, outcome: str, by: str = "concordance", min_n: int = 100, level_z: float = 1.959963984540054) -> DataFrame:
+def adjusted_odds(df: DataFrame, outcomes=OUTCOMES, by: str = "concordance", min_n: int = 100, level_z: float = 1.959963984540054) -> DataFrame:
     """Logistic odds ratio of being reclassified, adjusted for age, sex and rate, with CI and p.
 
-    Iteratively reweighted least squares runs on the executors; only its 5x5 sums reach the driver.
+    Rows with equal covariates are counted into one weighted row, in one scan for all outcomes;
+    that table is settled, so the iterations of the fits never go back to the data. The fits run
+    on the executors and only their 5x5 sums reach the driver.
     """
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import GeneralizedLinearRegression
 
-    spark = df.sparkSession
+    spark, outcomes = df.sparkSession, list(outcomes)
     names = ["is_reclassified", "age", "sex", "hr_bpm"]
     rows = df.filter(F.col(by).isin("concordant_normal", "reclassified_normal")).select(
-        (F.col(by) == "reclassified_normal").cast("double").alias("is_reclassified"), F.col("age").cast("double").alias("age"),
-        F.col("sex").cast("double").alias("sex"), F.col("hr_bpm").cast("double").alias("hr_bpm"), F.col(outcome).cast("double").alias("label")).dropna()
-    stats = rows.agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("events")).first()
-    schema = "outcome string, n bigint, odds_ratio double, ci_low double, ci_high double, p_value double"
-    if stats["n"] < min_n or not 0 < stats["events"] < stats["n"]:
-        return spark.createDataFrame([(outcome, stats["n"], None, None, None, None)], schema)
-    data = VectorAssembler(inputCols=names, outputCol="features").transform(rows)
-    model = GeneralizedLinearRegression(family="binomial", link="logit", maxIter=100, tol=1e-9).fit(data)
-    beta, se, p = float(model.coefficients[0]), model.summary.coefficientStandardErrors[0], model.summary.pValues[0]
-    coefficients = spark.createDataFrame([(outcome, stats["n"], beta, se, p)], "outcome string, n bigint, beta double, se double, p_value double")
+        (F.col(by) == "reclassified_normal").cast("double").alias("is_reclassified"),
+        *[F.col(c).cast("double").alias(c) for c in names[1:]], *[F.col(o).cast("boolean").alias(o) for o in outcomes])
+    known = rows.dropna(subset=names)
+    counted = settle(known.groupBy(*names).agg(
+        *[F.count(o).cast("double").alias(f"{o}__n") for o in outcomes], *[F.count_if(o).alias(f"{o}__e") for o in outcomes]))
+    totals = counted.agg(*[F.sum(f"{o}__{x}").alias(f"{o}__{x}") for o in outcomes for x in "ne"]).first()
+    data = VectorAssembler(inputCols=names, outputCol="features").transform(counted)
+    fits = []
+    for o in outcomes:
+        n, events = totals[f"{o}__n"] or 0, totals[f"{o}__e"] or 0
+        if n < min_n or not 0 < events < n:
+            fits.append((o, int(n), None, None, None))
+            continue
+        weighted = data.filter(F.col(f"{o}__n") > 0).select(
+            "features", F.col(f"{o}__n").alias("weight"), (F.col(f"{o}__e") / F.col(f"{o}__n")).alias("label"))
+        model = GeneralizedLinearRegression(family="binomial", link="logit", weightCol="weight", maxIter=100, tol=1e-9).fit(weighted)
+        fits.append((o, int(n), float(model.coefficients[0]), model.summary.coefficientStandardErrors[0], model.summary.pValues[0]))
+    coefficients = spark.createDataFrame(fits, "outcome string, n bigint, beta double, se double, p_value double")
     return coefficients.select("outcome", "n", F.exp("beta").alias("odds_ratio"), F.exp(F.col("beta") - level_z * F.col("se")).alias("ci_low"),
                                F.exp(F.col("beta") + level_z * F.col("se")).alias("ci_high"), "p_value")
 
 
 def table7(df: DataFrame, outcomes=OUTCOMES, by: str = "concordance") -> DataFrame:
     """Outcome rates with unadjusted ratios and adjusted odds ratios."""
-    odds = None
-    for outcome in outcomes:
-        one = adjusted_odds(df, outcome, by)
-        odds = one if odds is None else odds.unionByName(one)
-    return outcome_rates(df, outcomes, by).join(odds, "outcome")
+    return outcome_rates(df, outcomes, by).join(adjusted_odds(df, outcomes, by), "outcome")
