@@ -73,14 +73,16 @@ def formula_column(equation: str, approach: str = "direct") -> Column | None:
     return finite({"factor": qt * value, "additive": qt + value}.get(approach, value))
 
 
-def usable_formula(spark: SparkSession, equation: str, approach: str = "direct") -> bool:
-    """True if the equation parses and is finite at QT 400, RR 1, HR 60."""
-    column = formula_column(equation, approach)
-    if column is None:
-        return False
+def usable_formulas(spark: SparkSession, formulas: list[tuple[str, str]]) -> list[bool]:
+    """Which (equation, approach) pairs parse and are finite at QT 400, RR 1, HR 60: one job."""
+    columns = [formula_column(equation, approach) for equation, approach in formulas]
+    known = {f"f{i}": c for i, c in enumerate(columns) if c is not None}
+    if not known:
+        return [False] * len(columns)
     probe = spark.range(1).select(F.lit(400.0).alias("qt_ms"), F.lit(1.0).alias("rr_s"),
                                   F.lit(60.0).alias("hr_bpm"))
-    return probe.select(column.alias("v")).first()["v"] is not None
+    values = probe.select(*[c.alias(n) for n, c in known.items()]).first().asDict()
+    return [values.get(f"f{i}") is not None for i in range(len(columns))]
 
 
 # ---- columns over a table of equations ----------------------------------------------------

@@ -51,6 +51,16 @@ def bootstrap_moments(df: DataFrame, formulas=FORMULAS, by=("dataset",), key: st
     rows = df.filter(F.col(hr).isNotNull()).select(
         F.xxhash64(F.col(key)).alias("__key"), *by, F.col(hr).alias("__hr"), *values)
 
+    def emit(sums) -> Iterator[pd.DataFrame]:
+        for group, total in sums.items():
+            cube = total.reshape(replicates, len(formulas), 6)
+            for i, f in enumerate(formulas):
+                out = pd.DataFrame(cube[:, i, :], columns=["n", "x", "y", "xx", "yy", "xy"])
+                for name, value in zip(by, group):
+                    out[name] = value
+                out["formula"], out["replicate"] = f, np.arange(replicates)
+                yield out[[*by, "formula", "replicate", "n", "x", "y", "xx", "yy", "xy"]]
+
     def weigh(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         table, sums = _poisson_table(), {}
         for batch in batches:
@@ -68,14 +78,10 @@ def bootstrap_moments(df: DataFrame, formulas=FORMULAS, by=("dataset",), key: st
                     total = weights.T.astype(float) @ np.column_stack(columns)
                     group = group if isinstance(group, tuple) else (group,)
                     sums[group] = sums.get(group, 0.0) + total
-        for group, total in sums.items():
-            cube = total.reshape(replicates, len(formulas), 6)
-            for i, f in enumerate(formulas):
-                out = pd.DataFrame(cube[:, i, :], columns=["n", "x", "y", "xx", "yy", "xy"])
-                for name, value in zip(by, group):
-                    out[name] = value
-                out["formula"], out["replicate"] = f, np.arange(replicates)
-                yield out[[*by, "formula", "replicate", "n", "x", "y", "xx", "yy", "xy"]]
+            if len(sums) > 64:  # bounds the memory of a task; Spark adds up the parts
+                yield from emit(sums)
+                sums = {}
+        yield from emit(sums)
 
     keys = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in rows.schema if f.name in by)
     schema = (f"{keys}formula string, replicate int, n double, x double, y double, xx double, "

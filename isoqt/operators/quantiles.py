@@ -93,5 +93,5 @@ def join_groups(left: DataFrame, right: DataFrame, by, how: str = "left") -> Dat
             right.withColumn("__one", F.lit(1)), "__one", how).drop("__one")
     renamed = right.select(*[F.col(k).alias(f"__{k}") for k in by],
                            *[c for c in right.columns if c not in by])
-    cond = reduce(lambda x, y: x & y, [left[k].eqNullSafe(renamed[f"__{k}"]) for k in by])
+    cond = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in by])
     return left.join(renamed, cond, how).drop(*[f"__{k}" for k in by])

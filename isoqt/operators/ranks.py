@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from isoqt.operators.moments import pair_corr, pair_sums
+from isoqt.operators.moments import pair_corr
+from isoqt.operators.quantiles import join_groups
 
 
 def running_index(df: DataFrame, by, order: str, name: str = "trace_index", width: int = 1 << 16) -> DataFrame:
@@ -22,7 +21,7 @@ def running_index(df: DataFrame, by, order: str, name: str = "trace_index", widt
     before = Window.partitionBy(*by).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*by, "__range", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
     within = F.row_number().over(Window.partitionBy(*by, "__range").orderBy(order)) - 1
-    return (ranged.withColumn("__within", within).join(offsets, [*by, "__range"])
+    return (join_groups(ranged.withColumn("__within", within), offsets, [*by, "__range"], "inner")
             .withColumn(name, (F.col("__before") + F.col("__within")).cast("bigint"))
             .drop("__range", "__before", "__within"))
 
@@ -39,7 +38,7 @@ def average_ranks(df: DataFrame, value: str, by=(), weight: str | None = None,
                .select(*by, "b", F.coalesce(F.sum("bn").over(before), F.lit(0)).alias("base")))
     inside = Window.partitionBy(*by, "b").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     return (counts.withColumn("less", F.coalesce(F.sum("n").over(inside), F.lit(0)))
-            .join(offsets, [*by, "b"])
+            .transform(lambda ranked: join_groups(ranked, offsets, [*by, "b"], "inner"))
             .select(*by, value, (F.col("base") + F.col("less") + (F.col("n") + 1) / 2.0).alias("rank")))
 
 
@@ -54,7 +53,7 @@ def spearman(df: DataFrame, x: str, y: str, by=(), min_n: int = 10) -> DataFrame
              .groupBy(*by, x, y).agg(F.count(F.lit(1)).alias("w")))
     rank_x = average_ranks(pairs, x, by, "w").withColumnRenamed("rank", "rank_x")
     rank_y = average_ranks(pairs, y, by, "w").withColumnRenamed("rank", "rank_y")
-    ranked = pairs.join(rank_x, [*by, x]).join(rank_y, [*by, y])
+    ranked = join_groups(join_groups(pairs, rank_x, [*by, x], "inner"), rank_y, [*by, y], "inner")
     w, rx, ry = F.col("w").cast("double"), F.col("rank_x"), F.col("rank_y")
     total = ranked.groupBy(*by).agg(
         F.sum("w").alias("s__n"), F.sum(w * rx).alias("s__x"), F.sum(w * ry).alias("s__y"),

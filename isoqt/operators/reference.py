@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -73,10 +74,7 @@ def attach(df: DataFrame, groups: DataFrame, by, how: str = "left") -> DataFrame
         df, side, by = df.withColumn("__one", F.lit(1)), side.withColumn("__one", F.lit(1)), ["__one"]
     side = small_side(side)
     renamed = side.select(*[F.col(k).alias(f"__{k}") for k in by], *[c for c in side.columns if c not in by])
-    cond = None
-    for k in by:
-        same = df[k].eqNullSafe(renamed[f"__{k}"])
-        cond = same if cond is None else cond & same
+    cond = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in by])
     return df.join(renamed, cond, how).drop(*[f"__{k}" for k in by], "__one")
 
 

@@ -212,18 +212,19 @@ def top_n(df: DataFrame, metric: str, n: int | None = None, base: str = "bazett"
           ascending: bool = True) -> DataFrame:
     """Sort by a metric, keep the first ``n``, add a 1-based rank and a label against ``base``.
 
-    For report tables: one row per formula.
+    With ``n`` the rows are cut by a distributed top-n first; without it the table is a report of
+    one row per formula.
     """
     order = F.col(metric).asc_nulls_last() if ascending else F.col(metric).desc_nulls_last()
-    ranked = df.withColumn("rank", F.row_number().over(Window.orderBy(order, name)).cast("bigint"))
+    kept = df if n is None else df.orderBy(order, name).limit(n)
+    ranked = kept.withColumn("rank", F.row_number().over(Window.orderBy(order, name)).cast("bigint"))
     ref = df.filter(F.col(name) == base).select(F.col(metric).alias("__base"))
     ranked = attach(ranked, ref, ())
     value, ref_value = F.col(metric), F.col("__base")
     label = (F.when(value < ref_value, F.format_string("%.1fx better", F.try_divide(ref_value, value)))
              .when(value > ref_value, F.format_string("%.1fx worse", F.try_divide(value, ref_value)))
              .otherwise("---"))
-    out = ranked.withColumn("vs_base", label).drop("__base")
-    return out if n is None else out.orderBy("rank").limit(n)
+    return ranked.withColumn("vs_base", label).drop("__base")
 
 
 # ---- sets ---------------------------------------------------------------------------------

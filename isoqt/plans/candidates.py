@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from isoqt.fixed_values import HR_CANDIDATE_BINS, HR_VALIDATION_BINS
 from isoqt.functions.classify import bucketize
 from isoqt.functions.clean import clip
-from isoqt.functions.equations import formula_column, formula_features, full_formula, usable_formula
+from isoqt.functions.equations import formula_column, formula_features, full_formula, usable_formulas
 from isoqt.functions.formulas import improvement, unified_score
 from isoqt.operators.moments import pair_corr, pair_mean_y, pair_n, pair_std_y, pair_sums
 from isoqt.operators.quantiles import join_groups, percentiles
@@ -41,7 +41,8 @@ class FormulaCatalog:
         unique = df.groupBy("equation").agg(F.min_by(F.struct("name", "approach", "complexity"), "name").alias("f"), F.min(score).alias("score"))
         ordered = unique.select("f.*", "equation", "score").orderBy("score", "name")
         found = [r.asDict() for r in (ordered.limit(top) if top else ordered).collect()]
-        rows = [{**r, "is_standard": False} for r in found if usable_formula(spark, r["equation"], r["approach"])]
+        usable = usable_formulas(spark, [(r["equation"], r["approach"]) for r in found])
+        rows = [{**r, "is_standard": False} for r, ok in zip(found, usable) if ok]
         if standards:
             rows += [{"name": n, "approach": a, "equation": e, "complexity": None, "score": None, "is_standard": True} for n, a, e, _ in STANDARD]
         return cls(spark, rows)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from isoqt.fixed_values import (AGE_BINS, AGE_VALIDATION_BINS, HR_BINS, HR_STRATA, HR_VALIDATION_BINS, HR_ZONES)
@@ -301,4 +301,5 @@ def hr_scenarios(df: DataFrame, min_n: int = 100) -> DataFrame:
 def category_counts(df: DataFrame, c: str) -> DataFrame:
     """Rows per value and their percentage; the total is taken over the counted values."""
     counts = df.groupBy(c).agg(F.count(F.lit(1)).alias("n"))
-    return counts.withColumn("pct", 100.0 * F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(1))))
+    total = counts.agg(F.sum("n").alias("__total"))
+    return join_groups(counts, total, []).withColumn("pct", share("n", "__total")).drop("__total")

@@ -27,8 +27,8 @@ def first_existing(spark: SparkSession, paths) -> str:
 def read_delimited(spark: SparkSession, paths, dialect: str = "auto", numeric=None) -> DataFrame:
     """CSV in the European (;/,) or standard (,/.) dialect; 'auto' looks at the header line.
 
-    All columns arrive as text; those named in ``numeric`` (by default every column holding only
-    numbers in the dialect's first rows) become doubles, with bad text as null.
+    All columns arrive as text; those named in ``numeric`` become doubles, with bad text as null.
+    Without names one scan finds the columns that hold nothing but numbers.
     """
     path = first_existing(spark, paths)
     if dialect == "auto":
@@ -37,10 +37,9 @@ def read_delimited(spark: SparkSession, paths, dialect: str = "auto", numeric=No
     sep, decimal = DIALECTS[dialect]
     raw = spark.read.option("header", True).option("sep", sep).csv(path)
     if numeric is None:
-        rows = raw.limit(1000)
         checks = [F.bool_and(F.col(f"`{c}`").isNull() | number(f"`{c}`", decimal).isNotNull()).alias(c)
                   for c in raw.columns]
-        first = rows.agg(*checks).first().asDict()
+        first = raw.agg(*checks).first().asDict()
         numeric = [c for c in raw.columns if first[c]]
     return raw.withColumns({c: number(f"`{c}`", decimal) for c in numeric})
 

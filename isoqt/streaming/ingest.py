@@ -33,11 +33,17 @@ def ingest_stream(rows: DataFrame, sink: str, checkpoint: str, process: Callable
     ``reason`` go to ``errors`` as (ecg_id, error).
     """
     def save(batch: DataFrame, batch_id: int) -> None:
-        out = process(batch) if process else batch
-        if reason is not None:
-            out, bad = route_errors(out, reason)
+        if reason is None:
+            out = process(batch) if process else batch
+            out.write.mode("overwrite").parquet(f"{sink}/batch_id={batch_id}")
+            return
+        batch.persist()  # two sinks read it; lost blocks are computed again
+        try:
+            out, bad = route_errors(process(batch) if process else batch, reason)
+            out.write.mode("overwrite").parquet(f"{sink}/batch_id={batch_id}")
             bad.write.mode("overwrite").parquet(f"{errors}/batch_id={batch_id}")
-        out.write.mode("overwrite").parquet(f"{sink}/batch_id={batch_id}")
+        finally:
+            batch.unpersist()
 
     writer = (rows.observe("ingest", F.count(F.lit(1)).alias("seen"),
                            F.count(F.when(reason.isNotNull(), 1) if reason is not None else F.lit(None)).alias("failed"))
