@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from isoqt.fixed_values import (DIAGNOSIS_COLUMNS, LONG_QT_PATTERNS, REPORT_KEYWORDS, SUPERCLASSES,
+from isoqt.fixed_values import (DIAGNOSIS_COLUMNS, LONG_QT_ANCHORS, LONG_QT_PATTERNS, REPORT_KEYWORDS, SUPERCLASSES,
                                 SUPERCLASS_PRIORITY, scp_rows, snomed_rows, text_rows)
 from isoqt.functions.formulas import col
 
@@ -28,9 +28,12 @@ def code_list(text) -> Column:
 
 
 def has_code_prefix(text, prefixes) -> Column:
-    """True if any listed code starts with one of the prefixes."""
-    pattern = "^(" + "|".join(prefixes) + ")"
-    return F.coalesce(F.exists(code_list(text), lambda d: d.rlike(pattern)), F.lit(False))
+    """True if any code of a list literal starts with one of the prefixes.
+
+    The prefixes are looked up right after an opening quote, so the list is not parsed.
+    """
+    pattern = r"""(?:^\s*\[|,)\s*['"](?:""" + "|".join(prefixes) + ")"
+    return F.coalesce(col(text).rlike(pattern), F.lit(False))
 
 
 def icd_normalized(code) -> Column:
@@ -60,10 +63,22 @@ def died_within(dod, at, days: int) -> Column:
     return F.coalesce(elapsed_days(dod, at).between(0, days), F.lit(False))
 
 
-def has_diagnosis(df: DataFrame, patterns=LONG_QT_PATTERNS, cols=DIAGNOSIS_COLUMNS) -> Column:
-    """True if any pattern matches any of the text columns present, ignoring case."""
+def has_diagnosis(df: DataFrame, patterns=LONG_QT_PATTERNS, cols=DIAGNOSIS_COLUMNS, anchors=LONG_QT_ANCHORS) -> Column:
+    """True if any pattern matches any of the text columns present, ignoring case.
+
+    Every match of the default patterns holds one of the anchors, so the regex only runs on texts
+    with an anchor; pass ``anchors=None`` with patterns of your own.
+    """
     regex = "|".join(f"(?:{p})" for p in patterns)
-    hits = [F.coalesce(F.lower(F.col(c)).rlike(regex), F.lit(False)) for c in cols if c in df.columns]
+
+    def hit(c):
+        text = F.lower(F.col(c))
+        if not anchors:
+            return F.coalesce(text.rlike(regex), F.lit(False))
+        anchored = reduce(lambda a, b: a | b, [F.contains(text, F.lit(a)) for a in anchors])
+        return F.when(anchored, text.rlike(regex)).otherwise(False)
+
+    hits = [hit(c) for c in cols if c in df.columns]
     return reduce(lambda a, b: a | b, hits) if hits else F.lit(False)
 
 

@@ -73,16 +73,15 @@ def percentiles(df: DataFrame, wanted: dict, by=(), bounded: bool = True,
               .withColumn("probe", F.explode("probes")).select("*", "probe.*"))
     at_low = (F.col("lo") >= F.col("start")) & (F.col("lo") < F.col("end"))
     at_high = (F.col("hi") >= F.col("start")) & (F.col("hi") < F.col("end"))
-    ends = []
-    for i in range(len(probes)):
-        this = F.col("pi") == i
-        ends += [F.max(F.when(this & at_low, F.col("v"))).alias(f"__low{i}"),
-                 F.max(F.when(this & at_high, F.col("v"))).alias(f"__high{i}"),
-                 F.max(F.when(this, F.col("part"))).alias(f"__part{i}")]
-    # low + (high - low) * part is exactly low where both are equal
-    return placed.groupBy(*by).agg(*ends).select(*by, *[
-        (F.col(f"__low{i}") + (F.col(f"__high{i}") - F.col(f"__low{i}")) * F.col(f"__part{i}")).alias(name)
-        for i, name in enumerate(wanted)])
+    ends = placed.groupBy(*by, "pi").agg(
+        F.max(F.when(at_low, F.col("v"))).alias("low"), F.max(F.when(at_high, F.col("v"))).alias("high"),
+        F.max("part").alias("part"))
+    # equal ends give exactly their value
+    value = F.when(F.col("low") == F.col("high"), F.col("low")).otherwise(
+        F.col("low") * (1 - F.col("part")) + F.col("high") * F.col("part"))
+    wide = ends.select(*by, "pi", value.alias("q")).groupBy(*by).agg(
+        F.map_from_entries(F.collect_list(F.struct("pi", "q"))).alias("qs"))
+    return wide.select(*by, *[F.try_element_at("qs", F.lit(i)).alias(name) for i, name in enumerate(wanted)])
 
 
 def join_groups(left: DataFrame, right: DataFrame, by, how: str = "left") -> DataFrame:
