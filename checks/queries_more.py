@@ -6,16 +6,16 @@ import tempfile
 
 from pyspark.sql import functions as F
 
-from checks.fixtures import (BEATS_SQL, CATALOG_ROWS, CATALOG_SQL, STANDARD_SQL, beats, case, catalog, ecg, query, strata_sql, table, union, with_ecg)
+from checks.fixtures import (BEATS_SQL, CATALOG_ROWS, CATALOG_SQL, ECG_SQL, STANDARD_SQL, beats, case, catalog, ecg, poly_cte, query, strata_sql, table, union, with_ecg)
 from checks.queries_reports import imp, pct
 from checks.queries_rows import part_equations
-from checks.queries_stats import REF, REF_Q, qtc, with_ref
+from checks.queries_stats import REF, REF_Q, SUMMARY, qtc, with_ref
 from isoqt import fixed_values as fv
 from isoqt.functions.classify import bucketize
 from isoqt.functions.formulas import FORMULAS, estimate_qt
 from isoqt.operators import beats as bt
 from isoqt.operators import moments, schema
-from isoqt.plans import candidates, summaries
+from isoqt.plans import candidates, lifecycle, summaries
 from isoqt.sources import records, tables
 from isoqt.streaming import ingest
 
@@ -425,3 +425,29 @@ def _(spark, sf_dir):
     q.awaitTermination()
     rows = [(p["batch_id"], p["seen"], p["failed"]) for p in ingest.progress(q)]
     return spark.createDataFrame(rows, "batch_id bigint, seen bigint, failed bigint").agg(F.sum("seen").alias("seen"), F.sum("failed").alias("failed"))
+
+
+# ---- end-to-end runs ----------------------------------------------------------------------
+_PQ = "qt_ms BETWEEN 200 AND 600 AND rr_ms BETWEEN 400 AND 2000 AND hr_bpm BETWEEN 30 AND 150 AND signal_quality >= 0.3 AND t_wave_detection_rate >= 0.5"
+_PW = (B + f", f AS ({_FEAT}), ecg AS ({ECG_SQL}), w AS (SELECT f.*, age, sex, superclass, signal_quality, dataset FROM f JOIN (SELECT ecg_id, age, sex, superclass, signal_quality, dataset FROM ecg) USING (ecg_id)), "
+       f"g AS (SELECT * FROM w WHERE {_PQ}), " + poly_cte("g", 2))
+
+
+@query("prepared_dataset_end_to_end", _PW + " SELECT ecg_id, age, sex, qt_ms, rr_ms, rr_s, hr_bpm, qrs_ms, pr_ms, signal_quality, t_wave_detection_rate, superclass, qt_ms - qt_expected + at_one AS qtc_reference_ms, qt_expected AS qt_expected_ms, "
+       "qt_ms / sqrt(rr_s) AS qtc_bazett, qt_ms / cbrt(rr_s) AS qtc_fridericia, qt_ms + 154e0 * (1e0 - rr_s) AS qtc_framingham, qt_ms + 1.75e0 * (hr_bpm - 60e0) AS qtc_hodges FROM pf",
+       dbl="age qt_ms rr_ms rr_s hr_bpm qrs_ms pr_ms signal_quality t_wave_detection_rate qtc_reference_ms qt_expected_ms qtc_bazett qtc_fridericia qtc_framingham qtc_hodges")
+def _(spark, sf_dir):
+    features = ecg(spark, sf_dir).select("ecg_id", "age", "sex", "superclass", "signal_quality", "dataset")
+    return lifecycle.prepare_dataset(beats(spark, sf_dir), features)[0]
+
+
+_VN = union(f"SELECT dataset, '{f}' AS formula, count(q_{f}) AS n, corr(q_{f}, hr_bpm) AS r, abs(corr(q_{f}, hr_bpm)) AS a FROM e GROUP BY dataset" for f in NAMES)
+_VR = union(f"SELECT '{k}' AS ranking, formula, {c} AS value FROM s" for k, c in candidates.RANKINGS.items())
+_VS = "('bazett', 'fridericia', 'framingham', 'hodges')"
+
+
+@query("formula_validation_end_to_end", E(f"""SELECT ranking, rank, formula, value, is_standard, CASE WHEN value > 0 THEN best / value ELSE CAST('inf' AS DOUBLE) END AS improvement_vs_best_standard FROM
+ (SELECT *, row_number() OVER (PARTITION BY ranking ORDER BY round(value, 12), formula) AS rank, formula IN {_VS} AS is_standard, min(CASE WHEN formula IN {_VS} THEN value END) OVER (PARTITION BY ranking) AS best FROM ({_VR}))""",
+                                          extra=CAND, more=f"m AS ({_VN}), s AS ({SUMMARY})"), dbl="value improvement_vs_best_standard")
+def _(spark, sf_dir):
+    return lifecycle.validate_catalog(ecg(spark, sf_dir), catalog(spark))[2]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,6 +54,19 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame, partition_by=()) -> DataFrame:
+    """Write a large intermediate table once, as Parquet in the shared folder, and read it back.
+
+    For tables that many reports scan: unlike a checkpoint the copy keeps column pruning and
+    filter pushdown.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.partitionBy(*partition_by).parquet(path)
+    return spark.read.parquet(path)
+
+
 def small_side(df: DataFrame, limit: int = BROADCAST_ROW_LIMIT) -> DataFrame:
     """Settle ``df``, count it, and mark it for broadcast only if it is small enough.
 

@@ -145,3 +145,11 @@ def test_contract(spark):
     q, sql = entry.queries(), entry.oracle_sql()
     assert set(sql) <= set(q) and len(q) > 200
     assert entry.entry(spark).count() == 5
+
+
+def test_manuscript_tables_share_one_copy(ecg):
+    from isoqt.plans.lifecycle import manuscript_tables
+    out = manuscript_tables(ecg.select("ecg_id", "dataset", "sex", "age", "superclass", "hr_bpm", "rr_s", "qt_ms"))
+    assert {k: v.count() for k, v in out.items() if k in ("table2", "table6", "headline")} == {"table2": 5, "table6": 5, "headline": 1}
+    weighted = {r["formula"]: r["weighted_r"] for r in out["table2"].collect()}
+    assert out["headline"].first()["r_bazett"] == pytest.approx(weighted["bazett"], abs=5e-4)
