@@ -455,7 +455,7 @@ _TYPE = "CASE dataset WHEN 'ds_a' THEN 'SCREENING' WHEN 'ds_b' THEN 'CLINICAL' W
 
 
 def types(spark, sf_dir):
-    """Dataset dimension: nations as datasets, their region as the type."""
+    """Dataset dimension derived from the records; one dataset stays without a type."""
     return (ecg(spark, sf_dir).select("dataset").distinct()
             .withColumn("dataset_type", F.expr(_TYPE)).filter("dataset_type IS NOT NULL"))
 

@@ -54,8 +54,9 @@ def icd_contains(text, parts) -> Column:
 
 def elapsed_days(later, earlier) -> Column:
     """Whole days elapsed, floored (not calendar days)."""
-    micros = F.unix_micros(col(later).cast("timestamp")) - F.unix_micros(col(earlier).cast("timestamp"))
-    return F.floor(micros / F.lit(86_400_000_000)).cast("bigint")
+    gap = col(later) - col(earlier)
+    days = F.extract(F.lit("DAY"), gap)  # cut towards zero
+    return (days - F.when(gap < days * F.expr("INTERVAL '1' DAY"), 1).otherwise(0)).cast("bigint")
 
 
 def died_within(dod, at, days: int) -> Column:

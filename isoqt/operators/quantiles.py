@@ -49,28 +49,29 @@ def percentiles(df: DataFrame, wanted: dict, by=(), bounded: bool = True,
             .withColumn("base", F.col("upto") - F.col("n")))
     table = F.array(*[F.struct(F.lit(i).alias("pi"), F.lit(vi).alias("pvi"), F.lit(p).alias("p"))
                       for i, (vi, p) in enumerate(probes)])
-    at = F.col("p") * (F.col("total") - 1)
-    hits = (hist.withColumn("probe", F.explode(table)).select("*", "probe.*")
-            .filter(F.col("pvi") == F.col("vi"))
-            .withColumn("lo", F.floor(at)).withColumn("part", at - F.floor(at))
-            .withColumn("hi", F.least(F.col("lo") + 1, F.col("total") - 1))
-            .filter((F.col("lo").between(F.col("base"), F.col("upto") - 1))
-                    | (F.col("hi").between(F.col("base"), F.col("upto") - 1))))
-    target = hits.groupBy(*group, "bucket", "base").agg(
-        F.collect_list(F.struct("pi", "lo", "hi", "part")).alias("probes"))
+
+    def with_probes(counts: DataFrame) -> DataFrame:
+        """Every probe of the value, with its lower and upper rank and the part between them."""
+        at = F.col("p") * (F.col("total") - 1)
+        return (counts.withColumn("probe", F.explode(table)).select("*", "probe.*").drop("probe")
+                .filter(F.col("pvi") == F.col("vi"))
+                .withColumn("lo", F.floor(at)).withColumn("part", at - F.floor(at))
+                .withColumn("hi", F.least(F.col("lo") + 1, F.col("total") - 1)))
+
+    hits = with_probes(hist).filter((F.col("lo").between(F.col("base"), F.col("upto") - 1))
+                                    | (F.col("hi").between(F.col("base"), F.col("upto") - 1)))
+    target = hits.select(*group, "bucket", "base", "total").distinct()
     target = F.broadcast(target) if bounded else small_side(target)
     keys = [*group, "bucket"]
-    target = target.select(*[F.col(k).alias(f"__{k}") for k in keys], "base", "probes")
+    target = target.select(*[F.col(k).alias(f"__{k}") for k in keys], "base", "total")
 
     # pass 2: distinct values of those buckets only
     same = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys])
     inside = rows.join(target, same, "inner").drop(*[f"__{k}" for k in keys])
-    counted = inside.groupBy(*keys, "base", "v").agg(
-        F.count(F.lit(1)).alias("n"), F.first("probes").alias("probes"))
+    counted = inside.groupBy(*keys, "base", "total", "v").agg(F.count(F.lit(1)).alias("n"))
     running = Window.partitionBy(*keys).orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    placed = (counted.withColumn("end", F.col("base") + F.sum("n").over(running))
-              .withColumn("start", F.col("end") - F.col("n"))
-              .withColumn("probe", F.explode("probes")).select("*", "probe.*"))
+    placed = with_probes(counted.withColumn("end", F.col("base") + F.sum("n").over(running))
+                         .withColumn("start", F.col("end") - F.col("n")))
     at_low = (F.col("lo") >= F.col("start")) & (F.col("lo") < F.col("end"))
     at_high = (F.col("hi") >= F.col("start")) & (F.col("hi") < F.col("end"))
     ends = placed.groupBy(*by, "pi").agg(

@@ -67,15 +67,18 @@ def poly_fit(df: DataFrame, degree: int, by=(), x: str = "rr_s", y: str = "qt_ms
 
 
 def attach(df: DataFrame, groups: DataFrame, by, how: str = "left") -> DataFrame:
-    """Join per-group results back to rows; broadcast only after their size was counted."""
+    """Join per-group results back to rows; broadcast only after their size was counted.
+
+    Without groups the result is one aggregated row, which becomes literals.
+    """
     by = list(by)
-    side = groups
     if not by:
-        df, side, by = df.withColumn("__one", F.lit(1)), side.withColumn("__one", F.lit(1)), ["__one"]
-    side = small_side(side)
+        row = groups.first()
+        return df.withColumns({f.name: F.lit(row[f.name] if row else None).cast(f.dataType) for f in groups.schema})
+    side = small_side(groups)
     renamed = side.select(*[F.col(k).alias(f"__{k}") for k in by], *[c for c in side.columns if c not in by])
     cond = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in by])
-    return df.join(renamed, cond, how).drop(*[f"__{k}" for k in by], "__one")
+    return df.join(renamed, cond, how).drop(*[f"__{k}" for k in by])
 
 
 def poly_reference(df: DataFrame, degree: int = 2, center: str = "rr1", by=()) -> DataFrame:
