@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -16,6 +16,7 @@ from isoqt.functions.formulas import FORMULAS, estimate_qt
 from isoqt.operators import beats as bt
 from isoqt.operators import moments, schema
 from isoqt.plans import candidates, lifecycle, summaries
+from isoqt.session import ensure_checkpoint_dir
 from isoqt.sources import records, tables
 from isoqt.streaming import ingest
 
@@ -23,12 +24,9 @@ E = with_ecg
 
 
 def scratch(spark, name: str) -> str:
-    """A new folder for one run, in the shared folder of the cluster if it names one."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        import uuid
-        return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    return tempfile.mkdtemp(prefix=f"spark-{name}-")
+    """A new folder for one run, in the checkpoint folder of the session."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
 
 
 # ---- candidates ---------------------------------------------------------------------------

@@ -12,12 +12,12 @@ from isoqt.operators.schema import dedup
 from isoqt.session import small_side
 
 
-def merge_features(waves: DataFrame, features: DataFrame, key: str = "ecg_id") -> DataFrame:
-    """Left join of the demographic and label columns the left side does not have yet.
+def merge_features(waves: DataFrame, features: DataFrame, key: str = "ecg_id", extra=()) -> DataFrame:
+    """Left join of the demographic, label and ``extra`` columns the left side does not have yet.
 
     The right side is made unique first, so the row count of the left side is kept.
     """
-    wanted = ["age", "sex", "superclass", *[c for c in features.columns if c.startswith("label_")]]
+    wanted = ["age", "sex", "superclass", *extra, *[c for c in features.columns if c.startswith("label_")]]
     add = [c for c in wanted if c in features.columns and c not in waves.columns]
     right = dedup(features.select(key, *add), [key], [*add])
     return waves.join(right, key, "left")

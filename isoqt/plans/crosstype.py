@@ -23,9 +23,10 @@ def cross_type(df: DataFrame, types: DataFrame, formulas=FORMULAS) -> DataFrame:
     """n, r and |r| per dataset and per type; the type is joined to the per-dataset sums."""
     cells = df.groupBy("dataset").agg(F.count(F.lit(1)).alias("n_rows"), *[c for f in formulas for c in pair_sums(f"qtc_{f}", "hr_bpm", f)])
     typed = with_type(cells, types)
-    per_type = add_up(typed.filter(F.col("dataset_type") != "UNKNOWN").withColumn("label", F.col("dataset_type")), ["label"], ["dataset", "dataset_type"])
-    both = typed.select(F.lit("dataset").alias("kind"), F.col("dataset").alias("label"), *[c for c in cells.columns if c != "dataset"]).unionByName(
-        per_type.withColumn("kind", F.lit("type")))
+    groups = F.array(F.struct(F.lit("dataset").alias("kind"), F.col("dataset").alias("label")),
+                     F.struct(F.lit("type").alias("kind"), F.when(F.col("dataset_type") != "UNKNOWN", F.col("dataset_type")).alias("label")))
+    rows = typed.withColumn("g", F.explode(groups)).withColumns({"kind": F.col("g.kind"), "label": F.col("g.label")}).drop("g")
+    both = add_up(rows.filter(F.col("label").isNotNull()), ["kind", "label"], ["dataset", "dataset_type"])
     out = per_formula_rows(both, formulas, {"n": pair_n, "r": pair_corr}, ["kind", "label"])
     return out.withColumn("abs_r", F.abs("r"))
 

@@ -23,10 +23,7 @@ def prepare_dataset(beats: DataFrame, features: DataFrame, signals: DataFrame |
     since the funnel, the fit and the result all scan them.
     """
     waves = record_features(beats, signals, fs)
-    extra = [c for c in (*quality, *by) if c in features.columns and c not in waves.columns]
-    merged = merge_features(waves, features)
-    if extra:
-        merged = merged.join(features.select("ecg_id", *extra).dropDuplicates(["ecg_id"]), "ecg_id", "left")
+    merged = merge_features(waves, features, extra=(*quality, *by))
     merged = written(all_qtc(merged, formulas=("bazett", "fridericia", "framingham", "hodges")))
     kept = poly_reference(quality_filter(merged), 2, "rr1", by)
     return drop_incomplete(project_existing(kept)), quality_funnel(merged)

@@ -46,11 +46,12 @@ def population_weighted_r(df: DataFrame, formulas=FORMULAS, min_n: int = 10) ->
 
 def table2(df: DataFrame, formulas=FORMULAS, replicates: int = 0) -> DataFrame:
     """Weighted |r|, false-positive rate on reference normals, rank and ratio to the base formula."""
-    cells = dataset_cells(df, formulas)
-    fp = add_up(cells.drop("dataset"), [], []).select(
-        "n_normal", *[F.col(f"{f}_fp") for f in formulas])
-    rates = per_formula_rows(fp, formulas, {"fp_rate_pct": lambda f: F.round(share0(f"{f}_fp", "n_normal"), 2)}, [])
-    out = weighted_r(cells, formulas).withColumn("weighted_r", F.round("weighted_r", 3)).join(rates, "formula")
+    rows = per_formula_rows(dataset_cells(df, formulas), formulas, {
+        "abs_r": lambda f: F.abs(pair_corr(f, 10)), "fp": lambda f: F.col(f"{f}_fp")}, ["n_rows", "n_normal"])
+    weight = F.when(F.col("abs_r").isNotNull(), F.col("n_rows"))
+    out = rows.groupBy("formula").agg(
+        F.round(F.sum(F.col("abs_r") * weight) / F.sum(weight), 3).alias("weighted_r"),
+        F.round(share0(F.sum("fp"), F.sum("n_normal")), 2).alias("fp_rate_pct"))
     if replicates:
         ci = bootstrap_weighted_r(df, formulas, replicates=replicates)
         out = out.join(ci.select("formula", *[F.round(c, 3).alias(c) for c in ("ci_low", "ci_high")]), "formula")
@@ -143,11 +144,14 @@ def headline(df: DataFrame) -> DataFrame:
     accuracy of both formulas."""
     names = ("inverse_rr", "bazett", "fridericia")
     cells = dataset_cells(df, names)
-    r = weighted_r(cells, names).agg(*[F.max(F.when(F.col("formula") == f, F.col("weighted_r"))).alias(f"r_{f}") for f in names])
-    total = add_up(cells.drop("dataset"), [], [])
+    weighted = []
+    for f in names:
+        a = F.abs(pair_corr(f, 10))
+        weighted.append((F.sum(a * F.col("n_rows")) / F.sum(F.when(a.isNotNull(), F.col("n_rows")))).alias(f"r_{f}"))
+    counts = [F.sum(c).alias(c) for c in ("n_rows", "n_normal", *[f"{f}_{x}" for f in ("inverse_rr", "bazett") for x in ("tp", "fp", "tn", "fn")])]
+    both = cells.agg(*weighted, *counts)
     for f in ("inverse_rr", "bazett"):
-        total = confusion_metrics(total, None, f"{f}_")
-    both = total.withColumn("__one", F.lit(1)).join(r.withColumn("__one", F.lit(1)), "__one")
+        both = confusion_metrics(both, None, f"{f}_")
     gain = F.col("bazett_fp") - F.col("inverse_rr_fp")
     return both.select(
         F.col("n_rows").alias("n"), *[f"r_{f}" for f in names], F.try_divide("r_bazett", "r_inverse_rr").alias("r_improvement"),
