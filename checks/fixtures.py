@@ -105,11 +105,11 @@ def query(name: str, sql: str | None = None, dbl: str = "", big: str = ""):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             df = fn(spark, sf_dir)
             doubles = [f.name for f in df.schema if f.dataType.simpleString() == "double"]
-            return df.withColumns({**{c: F.round(c, 6) for c in doubles},
+            return df.withColumns({**{c: F.round(c, 6) + F.lit(0.0) for c in doubles},  # + 0 turns -0.0 into 0.0
                                    **{c: F.col(c).cast("bigint") for c in big.split()}})
         QUERIES[name] = run
         if sql is not None:
-            changes = [f"round({c}, 6) AS {c}" for c in dbl.split()] + [f"CAST({c} AS BIGINT) AS {c}" for c in big.split()]
+            changes = [f"round({c}, 6) + 0e0 AS {c}" for c in dbl.split()] + [f"CAST({c} AS BIGINT) AS {c}" for c in big.split()]
             ORACLE[name] = f"SELECT * REPLACE ({', '.join(changes)}) FROM ({sql})" if changes else sql
         return fn
     return register

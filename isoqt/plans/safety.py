@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -146,16 +148,18 @@ def adjusted_odds(df: DataFrame, outcomes=OUTCOMES, by: str = "concordance", min
         *[F.count(o).cast("double").alias(f"{o}__n") for o in outcomes], *[F.count_if(o).alias(f"{o}__e") for o in outcomes]))
     totals = counted.agg(*[F.sum(f"{o}__{x}").alias(f"{o}__{x}") for o in outcomes for x in "ne"]).first()
     data = VectorAssembler(inputCols=names, outputCol="features").transform(counted)
-    fits = []
-    for o in outcomes:
+
+    def fit(o):
         n, events = totals[f"{o}__n"] or 0, totals[f"{o}__e"] or 0
         if n < min_n or not 0 < events < n:
-            fits.append((o, int(n), None, None, None))
-            continue
+            return o, int(n), None, None, None
         weighted = data.filter(F.col(f"{o}__n") > 0).select(
             "features", F.col(f"{o}__n").alias("weight"), (F.col(f"{o}__e") / F.col(f"{o}__n")).alias("label"))
         model = GeneralizedLinearRegression(family="binomial", link="logit", weightCol="weight", maxIter=100, tol=1e-9).fit(weighted)
-        fits.append((o, int(n), float(model.coefficients[0]), model.summary.coefficientStandardErrors[0], model.summary.pValues[0]))
+        return o, int(n), float(model.coefficients[0]), model.summary.coefficientStandardErrors[0], model.summary.pValues[0]
+
+    with ThreadPoolExecutor(len(outcomes)) as pool:  # the fits are independent jobs
+        fits = list(pool.map(fit, outcomes))
     coefficients = spark.createDataFrame(fits, "outcome string, n bigint, beta double, se double, p_value double")
     return coefficients.select("outcome", "n", F.exp("beta").alias("odds_ratio"), F.exp(F.col("beta") - level_z * F.col("se")).alias("ci_low"),
                                F.exp(F.col("beta") + level_z * F.col("se")).alias("ci_high"), "p_value")
