@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CHUNK_CHARS, DEPTH, MEMO, SLICE = 400_000, 64, 1_000_000, 1_000_000
+CHUNK_CHARS, DEPTH, MEMO, SLICE = 200_000, 64, 250_000, 500_000
 
 CONTRACT = f"""
 WITH RECURSIVE s(w, toks, round, open) AS (
@@ -61,7 +61,7 @@ class Coder:
         self.byte = np.array([self.ranks[bytes([i])] for i in range(256)], np.int32)
         self.whole = {w.decode(): rank for w, rank in self.ranks.items() if _is_text(w)}
         self._reset()
-        self.con = duckdb.connect(config={"threads": 1, "preserve_insertion_order": True, "memory_limit": "300MB"})
+        self.con = duckdb.connect(config={"threads": 1, "preserve_insertion_order": True, "memory_limit": "150MB"})
         left, right = zip(*pairs)
         self._store("merges", pa.table({"pair": pa.array(left, pa.int64()), "rank": pa.array(right, pa.int32())}))
         # Pieces as text, one character of Latin-1 for each byte, so that they can be joined by string_agg.
@@ -164,7 +164,7 @@ def coder(ranks_path: str, pattern: str) -> Coder:
     return Coder(ranks_path, pattern)
 
 
-def batches_of(texts: list[str], most: int = 4_000_000):
+def batches_of(texts: list[str], most: int = 1_000_000):
     """Consecutive slices of about ``most`` characters at most, one text at least."""
     start = 0
     while start < len(texts):
