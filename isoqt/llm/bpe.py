@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CHUNK_CHARS, DEPTH, MEMO, SLICE = 200_000, 64, 250_000, 500_000
+CHUNK_CHARS, DEPTH, MEMO, SLICE = 200_000, 64, 500_000, 500_000
 
 CONTRACT = f"""
 WITH RECURSIVE s(w, toks, round, open) AS (

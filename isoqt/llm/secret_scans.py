@@ -194,9 +194,8 @@ def learn(docs: DataFrame, sample_docs: int = 20_000, most: int = 2_000) -> Gram
             out = []
             for text in pdf["text"]:
                 if isinstance(text, str):
-                    spans = base_spans(text)
-                    out += [(v, True) for v in values(text)] + [(text[s:e], False) for s, e in candidates(text, spans)]
-                    out += [(w, False) for w in text.split()[:5] if len(w) < 40]
+                    # Unlabelled tokens of credential shape are no counterexamples; words are.
+                    out += [(v, True) for v in values(text)] + [(w, False) for w in set(text.split()) if len(w) < 40 and not CANDIDATE.search(w)]
             yield pd.DataFrame(out, columns=["token", "labelled"])
 
     tokens = rows.mapInPandas(pick, "token string, labelled boolean").distinct()
