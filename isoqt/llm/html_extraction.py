@@ -163,7 +163,8 @@ def extract(pages: DataFrame, limit: float = 0.3, least: int = 5) -> DataFrame:
     nodes = parsed.select("key", "host", F.explode("nodes").alias("node")).select("key", "host", "node.path", "node.content")
     low = style_tree(nodes).where((F.col("pages") >= least) & (F.col("importance") < limit)).select("host", "path")
     judged = (parsed.select("key", "host", F.explode("blocks").alias("b")).where("b.judged").select("key", "host", "b.path").distinct())
-    cut = judged.join(low, ["host", "path"], "left_semi").groupBy("key").agg(F.collect_set("path").alias("cut"))
+    # Written, so that its size is known: a small one is sent to the pages, and their blocks need no shuffle.
+    cut = written(judged.join(low, ["host", "path"], "left_semi").groupBy("key").agg(F.collect_set("path").alias("cut")))
     kept = F.filter("blocks", lambda b: ~(b["judged"] & F.array_contains(F.coalesce("cut", F.array().cast("array<string>")), b["path"])))
     text = F.array_join(F.transform(kept, lambda b: b["text"]), "\n\n")
     return (parsed.select("key", "page_id", "url", "blocks").join(cut, "key", "left").select("page_id", "url", text.alias("text"))
