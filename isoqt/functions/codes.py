@@ -93,10 +93,10 @@ def superclass_of_report(cols) -> Column:
     return out
 
 
-def report_codes(cols, n: int = 6) -> Column:
-    """The non-blank ones among the first ``n`` present report lines."""
+def report_codes(cols, n: int | None = None) -> Column:
+    """The non-blank ones among the present report lines; ``n`` keeps only the first lines where a caller asks for it."""
     present = F.array_compact(F.array(*[col(c) for c in cols]))
-    return F.filter(F.transform(F.slice(present, 1, n), lambda x: F.trim(x)), lambda x: x != "")
+    return F.filter(F.transform(present if n is None else F.slice(present, 1, n), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def exam_superclass(af="AF", avb="1dAVb", rbbb="RBBB", lbbb="LBBB", sb="SB", st="ST",

@@ -73,8 +73,7 @@ def parse_headers(df: DataFrame, header: str = "header") -> DataFrame:
     })
 
 
-def has_coded_headers(df: DataFrame, header: str = "header", n: int = 5) -> DataFrame:
-    """True if one of the first ``n`` headers (by path) has a numeric Dx."""
-    first = df.orderBy("path").limit(n)
+def has_coded_headers(df: DataFrame, header: str = "header") -> DataFrame:
+    """True if any header has a numeric Dx."""
     hit = F.col(header).rlike(r"(?i)#\s*Dx[:\s]+\d+")
-    return first.agg(F.coalesce(F.bool_or(hit), F.lit(False)).alias("has_coded_headers"))
+    return df.agg(F.coalesce(F.bool_or(hit), F.lit(False)).alias("has_coded_headers"))

@@ -210,3 +210,19 @@ def test_match_cascade_by_filename(spark):
     meta = spark.createDataFrame([("1", "f/00001_hr.dat", 10.0), ("x9", "f/x9", 20.0), ("q", "a/rec-7b.dat", 30.0)], "meta_id string, filename string, age double")
     got = {r["record_name"]: (r["age"], r["matched_by"]) for r in joins.match_cascade(rec, meta, cols=("age",)).collect()}
     assert got == {"00001_hr": (10.0, "numeric"), "x9": (20.0, "exact"), "rec-7": (30.0, "filename"), "none": (None, None)}
+
+
+def test_uncoded_first_headers_do_not_hide_coded_ones(spark):
+    from isoqt.sources.records import has_coded_headers
+
+    rows = [(f"p{i:02d}", "# Age: 50") for i in range(9)]
+    assert not has_coded_headers(spark.createDataFrame(rows, "path string, header string")).first()[0]
+    assert has_coded_headers(spark.createDataFrame(rows + [("p99", "# Dx: 426177001")], "path string, header string")).first()[0]
+
+
+def test_all_report_lines_are_kept(spark):
+    from isoqt.functions.codes import report_codes
+
+    cols = [f"r{i}" for i in range(8)]
+    df = spark.createDataFrame([tuple(f" line {i} " for i in range(8))], cols)
+    assert df.select(report_codes(cols).alias("c")).first().c == [f"line {i}" for i in range(8)]
