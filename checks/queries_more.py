@@ -291,7 +291,7 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     path = scratch(spark, "std")
     tables.write_table(_small(spark, sf_dir), path, "csv", "std")
-    return tables.read_delimited(spark, path).withColumn("ecg_id", F.col("ecg_id").cast("bigint"))
+    return tables.read_delimited(spark, path)
 
 
 @query("a02_read_table_parquet", "SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey < 500")
@@ -409,8 +409,8 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     path, fields = _arrivals(spark, sf_dir)
     out = scratch(spark, "dedup")
-    rows = ingest.dedup_stream(ingest.read_stream(spark, path, fields, files_per_batch=3), event_time="ts", delay="400 days")
-    ingest.ingest_stream(rows, f"{out}/good", f"{out}/ckpt").awaitTermination()
+    rows = ingest.read_stream(spark, path, fields, files_per_batch=3)
+    ingest.ingest_stream(rows, f"{out}/good", f"{out}/ckpt", keys=["ecg_id"]).awaitTermination()
     return spark.read.parquet(f"{out}/good").select("ecg_id")
 
 
@@ -419,10 +419,9 @@ def _(spark, sf_dir):
     path, fields = _arrivals(spark, sf_dir)
     out = scratch(spark, "progress")
     reason = F.when(F.col("n_beats") < 3, "Too few R-peaks")
-    q = ingest.ingest_stream(ingest.read_stream(spark, path, fields, files_per_batch=2), f"{out}/good", f"{out}/ckpt", reason=reason, errors=f"{out}/bad")
-    q.awaitTermination()
-    rows = [(p["batch_id"], p["seen"], p["failed"]) for p in ingest.progress(q)]
-    return spark.createDataFrame(rows, "batch_id bigint, seen bigint, failed bigint").agg(F.sum("seen").alias("seen"), F.sum("failed").alias("failed"))
+    rows = ingest.read_stream(spark, path, fields, files_per_batch=2)
+    ingest.ingest_stream(rows, f"{out}/good", f"{out}/ckpt", reason=reason, errors=f"{out}/bad", metrics=f"{out}/metrics").awaitTermination()
+    return spark.read.parquet(f"{out}/metrics").agg(F.sum("seen").alias("seen"), F.sum("failed").alias("failed"))
 
 
 # ---- end-to-end runs ----------------------------------------------------------------------

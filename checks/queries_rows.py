@@ -376,8 +376,8 @@ def _(spark, sf_dir):
     return scp(spark, sf_dir).select("ecg_id", F.array_join(F.array_sort(codes.active_codes("scp_codes")), "|").alias("codes"))
 
 
-_SCP_VALUES = ", ".join(f"('{c}', '{s}')" for c, s in fv.scp_rows())
-_TEXT_VALUES = ", ".join("({}, '{}', '{}')".format(i, p.replace("'", "''"), s) for i, p, s in fv.text_rows())
+_SCP_VALUES = ", ".join(f"('{c}', '{s}')" for c, s in fv.SCP_SUPERCLASS.items())
+_TEXT_VALUES = ", ".join("({}, '{}', '{}')".format(i, p.replace("'", "''"), s) for i, (p, s) in enumerate(fv.TEXT_SUPERCLASS.items()))
 _PRIO = "CASE {0} " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in fv.SUPERCLASS_PRIORITY.items()) + " END"
 
 
@@ -395,7 +395,7 @@ def _(spark, sf_dir):
 
 
 _SNOMED = [("426783006", "164889003"), ("164865005", "111"), ("111975006", "59118001"), ("999", "998"), ("89792004", "426783006")]
-_SNOMED_VALUES = ", ".join(f"('{c}', '{s}')" for c, s, _ in fv.snomed_rows())
+_SNOMED_VALUES = ", ".join(f"('{c}', '{s}')" for c, (s, _) in fv.SNOMED_SUPERCLASS.items())
 
 
 @query("c22_superclass_of_snomed", f"""

@@ -7,14 +7,18 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from isoqt.fixed_values import (DIAGNOSIS_COLUMNS, LONG_QT_ANCHORS, LONG_QT_PATTERNS, REPORT_KEYWORDS, SUPERCLASSES,
-                                SUPERCLASS_PRIORITY, scp_rows, snomed_rows, text_rows)
+from isoqt.fixed_values import (DIAGNOSIS_COLUMNS, LONG_QT_ANCHORS, LONG_QT_PATTERNS, REPORT_KEYWORDS, SCP_SUPERCLASS,
+                                SNOMED_SUPERCLASS, SUPERCLASSES, SUPERCLASS_PRIORITY, TEXT_SUPERCLASS)
 from isoqt.functions.formulas import col
 
 
 def code_map(text) -> Column:
-    """A dict literal such as {'SR': 100.0} as map<string,double>; bad text gives null."""
-    return F.from_json(F.replace(col(text), F.lit("'"), F.lit('"')), "map<string,double>")
+    """A dict literal such as {'SR': 100.0, "Bachmann's": None} as map<string,double>; bad text gives null.
+
+    Both quote styles are read as they stand; None and nan are null values.
+    """
+    plain = F.regexp_replace(col(text), r"(:\s*)(?:None|nan)(?=\s*[,}])", "$1null")
+    return F.from_json(plain, "map<string,double>", {"allowSingleQuotes": "true", "allowBackslashEscapingAnyCharacter": "true"})
 
 
 def active_codes(text) -> Column:
@@ -22,11 +26,6 @@ def active_codes(text) -> Column:
     return F.map_keys(F.map_filter(code_map(text), lambda _, v: v > 0))
 
 
-def code_list(text) -> Column:
-    """A list literal such as ['I472', 'E119'] as array<string>."""
-    return F.from_json(F.replace(col(text), F.lit("'"), F.lit('"')), "array<string>")
-
-
 def has_code_prefix(text, prefixes) -> Column:
     """True if any code of a list literal starts with one of the prefixes.
 
@@ -134,20 +133,14 @@ def superclass_of_phrase(code) -> Column:
     """Superclass of a free-text code: the longest known phrase inside it, else the first
     known phrase that contains it. Ties between phrases of one length keep table order."""
     text = F.lower(F.trim(col(code)))
-    rows = text_rows()
-    longest = sorted(rows, key=lambda r: -len(r[1]))
-    inside = F.when(F.contains(text, F.lit(longest[0][1])), longest[0][2])
-    for _, phrase, superclass in longest[1:]:
-        inside = inside.when(F.contains(text, F.lit(phrase)), superclass)
-    around = F.when(F.contains(F.lit(rows[0][1]), text), rows[0][2])
-    for _, phrase, superclass in rows[1:]:
-        around = around.when(F.contains(F.lit(phrase), text), superclass)
-    return F.coalesce(inside, around)
+    inside = [F.when(F.contains(text, F.lit(p)), TEXT_SUPERCLASS[p]) for p in sorted(TEXT_SUPERCLASS, key=len, reverse=True)]
+    around = [F.when(F.contains(F.lit(p), text), superclass) for p, superclass in TEXT_SUPERCLASS.items()]
+    return F.coalesce(*inside, *around)
 
 
 def superclass_of_code(code) -> Column:
     """Dictionary lookup of an SCP code, else its meaning as a phrase."""
-    known = F.try_element_at(literal_map(scp_rows()), col(code))
+    known = F.try_element_at(literal_map(SCP_SUPERCLASS.items()), col(code))
     return F.coalesce(known, superclass_of_phrase(code))
 
 
@@ -160,7 +153,7 @@ def superclass_of_codes(codes) -> Column:
 
 def superclass_of_snomed(codes) -> Column:
     """Superclass of highest priority among SNOMED codes."""
-    table = literal_map([(c, s) for c, s, _ in snomed_rows()])
+    table = literal_map([(c, s) for c, (s, _) in SNOMED_SUPERCLASS.items()])
     found = F.array_compact(F.transform(codes, lambda c: F.try_element_at(table, c)))
     ranked = F.transform(found, lambda s: F.struct(priority(s).alias("p"), s.alias("s")))
     return F.array_max(ranked)["s"]
@@ -168,7 +161,7 @@ def superclass_of_snomed(codes) -> Column:
 
 def snomed_descriptions(codes) -> Column:
     """Descriptions of the known SNOMED codes."""
-    table = literal_map([(c, d) for c, _, d in snomed_rows()])
+    table = literal_map([(c, d) for c, (_, d) in SNOMED_SUPERCLASS.items()])
     return F.array_compact(F.transform(codes, lambda c: F.try_element_at(table, c)))
 
 

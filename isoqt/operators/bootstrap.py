@@ -103,12 +103,13 @@ def bootstrap_weighted_r(df: DataFrame, formulas=FORMULAS, by=("dataset",), key:
                          replicates: int = 1000, seed: int = 42, level: float = 0.95) -> DataFrame:
     """Percentile interval of the population-weighted |r| per formula.
 
-    Each group weighs by its true size, as when each group is resampled to its own size.
+    Each group weighs by its valid pairs of the formula, as when each group's pairs are resampled to their own number.
     """
     draws = bootstrap_moments(df, formulas, by, key, replicates, seed).withColumn(
         "abs_r", F.abs(pair_corr("b")))
-    sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("size"))
-    weighted = (draws.join(sizes, list(by)).filter(F.col("abs_r").isNotNull())
+    valid = [F.count_if(F.col(f"qtc_{f}").isNotNull() & F.col("hr_bpm").isNotNull()).alias(f) for f in formulas]
+    sizes = df.groupBy(*by).agg(*valid).unpivot(list(by), list(formulas), "formula", "size")
+    weighted = (draws.join(sizes, [*by, "formula"]).filter(F.col("abs_r").isNotNull())
                 .groupBy("formula", "replicate")
                 .agg((F.sum(F.col("abs_r") * F.col("size")) / F.sum("size")).alias("abs_r")))
     return _interval(weighted, ["formula"], level)

@@ -45,6 +45,13 @@ class FormulaCatalog:
         rows = [{**r, "is_standard": False} for r, ok in zip(found, usable) if ok]
         if standards:
             rows += [{"name": n, "approach": a, "equation": e, "complexity": None, "score": None, "is_standard": True} for n, a, e, _ in STANDARD]
+        taken = set()
+        for r in rows:  # the best of several equations with one name keeps it
+            base, k = r["name"], 1
+            while r["name"] in taken:
+                k += 1
+                r["name"] = f"{base}_{k}"
+            taken.add(r["name"])
         return cls(spark, rows)
 
     @property
@@ -120,7 +127,7 @@ def rank_formulas(summary: DataFrame, n: int = 10, standards=tuple(s[0] for s in
 
 def evaluate_candidates(df: DataFrame, catalog: FormulaCatalog, n: int = 10, min_complexity: int = 3, max_complexity: int = 7, reference: str = "qtc_reference_ms") -> DataFrame:
     """Candidates within a complexity range: clipped QTc metrics, score (lower is better), first n."""
-    chosen = [r for r in catalog.rows if not r["is_standard"] and min_complexity <= r["complexity"] <= max_complexity]
+    chosen = [r for r in catalog.rows if not r["is_standard"] and r["complexity"] is not None and min_complexity <= r["complexity"] <= max_complexity]
     rows = df.withColumns({f"qtc_{r['name']}": clip(formula_column(r["equation"], r["approach"])) for r in chosen})
     metrics = evaluate_formulas(rows, [r["name"] for r in chosen], (), reference)
     table = catalog.to_df().select(F.col("name").alias("formula"), "approach", "equation", "complexity", "full_formula")

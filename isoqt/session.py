@@ -64,7 +64,8 @@ def written(df: DataFrame, partition_by=()) -> DataFrame:
     ensure_checkpoint_dir(spark)
     path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
     df.write.partitionBy(*partition_by).parquet(path)
-    return spark.read.parquet(path)
+    # The written types: partition folders alone would turn the text '01' into the number 1.
+    return spark.read.schema(df.schema).parquet(path).select(*[f"`{c}`" for c in df.columns])
 
 
 def small_side(df: DataFrame, limit: int = BROADCAST_ROW_LIMIT) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,7 +28,8 @@ def read_delimited(spark: SparkSession, paths, dialect: str = "auto", numeric=No
     """CSV in the European (;/,) or standard (,/.) dialect; 'auto' looks at the header line.
 
     All columns arrive as text; those named in ``numeric`` become doubles, with bad text as null.
-    Without names one scan finds the columns that hold nothing but numbers.
+    Without names one scan finds the columns that hold nothing but numbers: whole ones become bigint, others double.
+    Numbers with leading zeros or more than 18 digits are ids and stay text, like columns without any value.
     """
     path = first_existing(spark, paths)
     if dialect == "auto":
@@ -37,13 +38,21 @@ def read_delimited(spark: SparkSession, paths, dialect: str = "auto", numeric=No
     sep, decimal = DIALECTS[dialect]
     raw = spark.read.option("header", True).option("sep", sep).csv(path)
     if numeric is None:
-        checks = [F.bool_and(F.col(f"`{c}`").isNull() | number(f"`{c}`", decimal).isNotNull()).alias(c)
-                  for c in raw.columns]
-        first = raw.agg(*checks).first().asDict()
-        numeric = [c for c in raw.columns if first[c]]
+        checks = [kind_of(F.col(f"`{c}`"), number(f"`{c}`", decimal)).alias(c) for c in raw.columns]
+        kinds = raw.agg(*checks).first().asDict()
+        numeric = [c for c in raw.columns if kinds[c] == "double"]
+        raw = raw.withColumns({c: F.trim(f"`{c}`").cast("bigint") for c in raw.columns if kinds[c] == "bigint"})
     return raw.withColumns({c: number(f"`{c}`", decimal) for c in numeric})
 
 
+def kind_of(text: Column, value: Column) -> Column:
+    """Aggregate: the type that holds every ``text`` of a column without loss, given its numeric ``value``."""
+    plain = F.trim(text)
+    an_id = F.bool_or(plain.rlike(r"^[+-]?(?:0[0-9]|[0-9]{19})"))
+    return (F.when((F.count(text) == 0) | an_id | F.bool_or(text.isNotNull() & value.isNull()), "string")
+            .when(F.bool_and(plain.rlike(r"^[+-]?[0-9]+$")), "bigint").otherwise("double"))
+
+
 def read_table(spark: SparkSession, path: str, schema=None, partitions: int | None = None) -> DataFrame:
     """Parquet, JSON or CSV by suffix (.csv.gz too); NaN and infinities become null.
 
@@ -102,15 +111,18 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", dialect: str = "
 def compact(spark: SparkSession, parts: str, target: str, rows_per_file: int = 5_000_000) -> DataFrame:
     """Merge many small Parquet parts into files of a bounded row count at a new path.
 
-    The parts are removed only after the merged table has been written and counted.
+    The target must not exist yet. Only the files that were read are removed, after the merged table has been written
+    and counted; parts that arrive meanwhile stay.
     """
     before = spark.read.parquet(parts)
-    before.write.mode("overwrite").option("maxRecordsPerFile", rows_per_file).parquet(target)
+    read = before.inputFiles()
+    before.write.mode("error").option("maxRecordsPerFile", rows_per_file).parquet(target)
     merged = spark.read.parquet(target)
     if merged.count() != before.count():
         raise RuntimeError("merged table differs from its parts; parts kept")
-    where = spark._jvm.org.apache.hadoop.fs.Path(parts)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    for file in read:
+        where = spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(file))
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, False)
     return merged
 
 

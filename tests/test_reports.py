@@ -5,8 +5,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from isoqt.functions import classify as cl
+from isoqt.functions import codes
 from isoqt.operators import schema
 from isoqt.plans import candidates, clinical, extremes, manuscript, safety, strata
+from isoqt.session import written
 from isoqt.sources import records, tables
 from isoqt.streaming import ingest
 
@@ -98,7 +100,36 @@ def test_table_files(spark, ecg, tmp_path):
 def test_compact_removes_parts(spark, tmp_path):
     spark.range(100).repartition(8).write.parquet(str(tmp_path / "parts"))
     merged = tables.compact(spark, str(tmp_path / "parts"), str(tmp_path / "all"))
-    assert merged.count() == 100 and not (tmp_path / "parts").exists()
+    assert merged.count() == 100 and not list((tmp_path / "parts").glob("*.parquet"))
+    spark.range(7).write.mode("append").parquet(str(tmp_path / "parts"))
+    with pytest.raises(Exception, match="already exists"):
+        tables.compact(spark, str(tmp_path / "parts"), str(tmp_path / "all"))
+    assert spark.read.parquet(str(tmp_path / "all")).count() == 100 and spark.read.parquet(str(tmp_path / "parts")).count() == 7
+
+
+def test_delimited_keeps_ids(spark, tmp_path):
+    (tmp_path / "t.csv").write_text("padded,long,whole,part,none\n00012,9007199254740993,7,1.5,\n5,12345678901234567890,8,2,\n")
+    back = tables.read_delimited(spark, str(tmp_path / "t.csv"))
+    assert [t for _, t in back.dtypes] == ["string", "string", "bigint", "double", "string"]
+    assert {r["padded"] for r in back.collect()} == {"00012", "5"}
+
+
+def test_written_keeps_partition_types(spark):
+    df = spark.createDataFrame([("01", 1), ("02", 2)], "dataset string, n int")
+    back = written(df, ["dataset"])
+    assert back.schema == df.schema and {r["dataset"] for r in back.collect()} == {"01", "02"}
+
+
+def test_code_map_quotes_and_none(spark):
+    texts = ["""{"Bachmann's": 80.0, 'SR': 10.0}""", "{'AFIB': None}", "{'A': nan, 'B': 1.0}", "bad"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(codes.code_map("t").alias("m")).collect()
+    assert rows[0]["m"] == {"Bachmann's": 80.0, "SR": 10.0} and rows[1]["m"] == {"AFIB": None} and rows[2]["m"] == {"A": None, "B": 1.0} and rows[3]["m"] is None
+
+
+def test_catalog_names_are_unique(spark):
+    df = spark.createDataFrame([("f", "ratio", "sqrt(RR)", 3, 0.1), ("f", "ratio", "RR", None, 0.2)], "name string, approach string, equation string, complexity int, score double")
+    names = candidates.FormulaCatalog.from_df(df, standards=False).names
+    assert len(names) == len(set(names)) == 2 and names[0] == "f"
 
 
 def test_inventory(spark, tmp_path):
@@ -113,6 +144,18 @@ def test_inventory(spark, tmp_path):
     assert records.detect_format(records.extension_counts(files), "db").first()[0] == "wfdb"
 
 
+def test_late_records_and_all_batches_are_kept(spark, tmp_path):
+    """Old files after new ones and a key that comes again; every batch has its row of metrics."""
+    src, out = tmp_path / "src", str(tmp_path / "out")
+    for i, year in enumerate([2020, 2019, 2010, 2021, 2020]):
+        spark.createDataFrame([(i % 4, f"{year}-01-01")], "ecg_id bigint, day string").coalesce(1).write.parquet(f"{src}/{i}")
+    rows = ingest.read_stream(spark, f"{src}/*", "ecg_id bigint, day string", files_per_batch=1)
+    ingest.ingest_stream(rows, f"{out}/good", f"{out}/ckpt", keys=["ecg_id"], metrics=f"{out}/metrics").awaitTermination()
+    good = spark.read.parquet(f"{out}/good")
+    assert sorted(r["ecg_id"] for r in good.collect()) == [0, 1, 2, 3] and good.filter("day = '2010-01-01'").count() == 1
+    assert spark.read.parquet(f"{out}/metrics").agg(F.sum("seen")).first()[0] == 4
+
+
 def test_stream_restart_leaves_no_duplicates(spark, tmp_path):
     src, out = str(tmp_path / "src"), tmp_path / "out"
     ids = spark.range(60).selectExpr("id AS ecg_id", "id % 4 AS n_beats")
