@@ -132,6 +132,25 @@ def test_decontamination(spark, docs, empty, tmp_path):
     assert decontamination.contaminated(empty, bench).count() == 0 and decontamination.remove(docs, bench.limit(0)).count() == docs.count()
 
 
+def flagged(spark, tmp_path, texts, items):
+    """(text number, item number) pairs that are contaminated."""
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/d")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    return {(r.doc_id, r.item_id) for r in decontamination.contaminated(spark.read.parquet(f"{tmp_path}/d"), bench).collect()}
+
+
+def test_decontamination_alignments(spark, tmp_path):
+    line = "a farmer sells {} baskets of ripe pears at the market each"
+    twice = f"{line.format(4)} monday and then {line.format(9)} sunday so count them"
+    item = "a train leaves the old station with 30 people and reaches the next town after 5 hours where 5 more people wait in the cold"
+    other = item.replace("30", "70").replace("after 5", "after 7").replace("5 more", "9 more")
+    tom = "Tom walks 12 miles to the big red house on the hill and after a rest there Tom walks back to the town by night"
+    broken = tom.replace("there Tom", "there Peter")
+    texts = [f"see {twice} ok", f"see {item} then {other} ok", other, f"{item} {'so it goes on ' * 40} reaches the next town after 8 hours where 6 more people wait",
+             f"{tom} or {tom.replace('Tom', 'Mary').replace('12', '3')}", broken, f"{broken} and {broken}"]
+    assert flagged(spark, tmp_path, texts, [twice, item, tom]) == {(0, 0), (1, 1), (2, 1), (3, 1), (4, 2)}
+
+
 def test_bpe_round_trip(docs, empty):
     path = str(public_tokenizers.path("byte_bpe_50k.tiktoken"))
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
