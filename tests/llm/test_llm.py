@@ -151,6 +151,16 @@ def test_decontamination_alignments(spark, tmp_path):
     assert flagged(spark, tmp_path, texts, [twice, item, tom]) == {(0, 0), (1, 1), (2, 1), (3, 1), (4, 2)}
 
 
+def test_decontamination_heavy_short_and_named_items(spark, tmp_path):
+    table = "3 4 12 7 8 56 9 9 81 6 7 42 5 5 25"
+    question = "who painted the last supper"
+    named = "Then Zoltan buys seven red pens for Ilka and after that Zoltan gives two of the pens to a friend of Ilka at the old school"
+    new = named.replace("Zoltan", "Priya").replace("Ilka", "Oscar")
+    mixed = new.replace("friend of Oscar", "friend of Maud").replace("that Priya", "that Oscar")
+    texts = [f"the table {table} is here", f"{table[:-2]}26 {table.replace('1', '2')[::-1]}", f"many ask {question} and when it was", new, mixed, named.lower(), named.upper(), "a single word here", "single", "Bob has 7 apples"]
+    assert flagged(spark, tmp_path, texts, [table, question, named, "single", "Tom has 5 apples"]) == {(0, 0), (1, 0), (2, 1), (3, 2), (5, 2), (6, 2), (8, 3), (9, 4)}
+
+
 def test_bpe_round_trip(docs, empty):
     path = str(public_tokenizers.path("byte_bpe_50k.tiktoken"))
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
