@@ -1,15 +1,22 @@
 """Main text of web pages by site style trees.
 
 Each page becomes a tree whose nodes are named by their presentation: tag, class and id. The trees of one host are
-merged by adding up their paths in Spark: for every path, the pages that have it and the distribution of the text below
-it. A node's content importance is the entropy of that distribution over its maximum: a branch that says the same on
-every page of a host is near 0, an article's is 1. A node's presentation importance is 0 for markup that never holds an
-article (menus, headers, footers, sidebars, notices, adverts, forms, reader comments) and 1 inside an article element.
-Branches of low importance leave the page; what is left is joined block by block.
+merged by adding up their paths in Spark, equal pages once: for every path, the pages that have it, the distribution of
+the text in it and that of its sequence of children. The content importance of a node is the entropy of its texts over
+the maximum: a branch that says the same on every page of a host is near 0, an article's is 1. The presentation
+importance is the largest entropy of the child sequences on the way from the root: menus, headers and footers are built
+alike on all pages, an article is not.
+
+Tags and class names are a prior. It says: text of article elements, or without any on the page, text outside markup that
+rarely holds an article (menus, headers, footers, sidebars, notices, adverts, forms, reader comments). The prior decides
+where a path is on fewer than ``least`` pages of its host. Elsewhere the importances decide, on pages with and without an
+article element: text leaves if its content importance is below ``limit``, and in markup of the second kind if its
+importance, content * (1 + presentation) / 2, is also below ``share`` of the largest on the host. What is left is joined
+block by block.
 
 Defined cases: a null or empty html has an empty text; a null url's pages form a site of their own; html of any length is
 parsed whole; unclosed and unknown tags are closed with their parents; equal pages get equal texts; other columns are
-ignored. A path on fewer than ``least`` pages of its host is not judged by content.
+ignored.
 """
 
 from __future__ import annotations
@@ -36,7 +43,7 @@ BLOCK = frozenset((
 #: An opening tag of the key closes the open tags of the value, up to the nearest list or table.
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 FENCE = frozenset("ul ol table dl body html article main nav div section".split())
-#: Presentation that never holds an article.
+#: Presentation that rarely holds an article.
 NOISE_TAGS = frozenset("head title nav footer aside form menu dialog".split())
 NOISE_WORDS = frozenset((
     "ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion sidebar menu nav navbar navigation breadcrumb breadcrumbs "
@@ -55,8 +62,11 @@ def signature(tag: str, attributes: str) -> tuple[str, bool]:
     return (f"{tag}.{'.'.join(words)}" if words else tag), noise
 
 
-def parse(html: str) -> list[tuple[str, bool, bool, str]]:
-    """Blocks in page order: (path of signatures, inside presentation noise, inside an article element, text)."""
+def parse(html: str, children: dict[str, list[str]] | None = None) -> list[tuple[str, bool, bool, str]]:
+    """Blocks in page order: (path of signatures, inside presentation noise, inside an article element, text).
+
+    ``children`` takes the signatures of the block children of every path, in page order; "" begins a node's.
+    """
     blocks: list[tuple[str, bool, bool, str]] = []
     stack: list[tuple[str, str, bool, bool]] = [("", "", False, False)]  # tag, path, noise, article
     text: list[str] = []
@@ -110,6 +120,9 @@ def parse(html: str) -> list[tuple[str, bool, bool, str]]:
         _, path, above, article = stack[-1]
         # A header introduces an article when it stands inside one, and the page elsewhere.
         noise = noise or (tag == "header" and not article)
+        if block and children is not None:
+            children.setdefault(path, []).append(name)
+            children.setdefault(f"{path}/{name}", []).append("")
         stack.append((tag, f"{path}/{name}" if block else path, above or noise, article or tag in ARTICLE))
     if at < len(html):
         text.append(html[at:])
@@ -118,54 +131,78 @@ def parse(html: str) -> list[tuple[str, bool, bool, str]]:
 
 
 def page_blocks(pages: DataFrame) -> DataFrame:
-    """Key, page_id, url, host, the candidate blocks (path, judged, text) and every path's content digest of a page."""
-    block = "array<struct<path:string,judged:boolean,text:string>>"
-    node = "array<struct<path:string,content:bigint>>"
+    """Key, page_id, url, host, page (digest of the html), the blocks (path, noise, prior, text) and every path's content and style digest of a page."""
+    block = "array<struct<path:string,noise:boolean,prior:boolean,text:string>>"
+    node = "array<struct<path:string,noise:boolean,content:bigint,style:bigint>>"
+
+    def digest(words):
+        return xxh3_64_intdigest("\n".join(words)) - (1 << 63)
 
     def run(batches):
         for batch in batches:
             keep, nodes = [], []
             for html in batch.column("html").to_pylist():
-                found = parse(html or "")
-                # The innermost rule that applies: text of article elements, if the page has any with text.
-                inside = [b for b in found if b[2] and not b[1]]
-                chosen = inside or [b for b in found if not b[1]]
-                keep.append([{"path": p, "judged": not article, "text": t} for p, _, article, t in chosen])
+                children: dict[str, list[str]] = {}
+                found = parse(html or "", children)
+                articles = any(article and not noise for _, noise, article, _ in found)
+                keep.append([{"path": p, "noise": noise, "prior": not noise and (article or not articles), "text": t} for p, noise, article, t in found])
                 below: dict[str, list[str]] = {}
-                for path, _, _, t in found:
+                quiet: dict[str, bool] = {}
+                for path, noise, _, t in found:
                     below.setdefault(path, []).append(t)
-                nodes.append([{"path": p, "content": xxh3_64_intdigest("\n".join(t)) - (1 << 63)} for p, t in below.items()])
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("key", "page_id", "url", "host")] + [
-                pa.array(keep, pa.list_(pa.struct([("path", pa.string()), ("judged", pa.bool_()), ("text", pa.string())]))),
-                pa.array(nodes, pa.list_(pa.struct([("path", pa.string()), ("content", pa.int64())])))],
-                names=["key", "page_id", "url", "host", "blocks", "nodes"])
+                    quiet[path] = noise
+                nodes.append([{"path": p, "noise": quiet.get(p), "content": digest(below[p]) if p in below else None, "style": digest(children.get(p, ()))}
+                              for p in dict.fromkeys([*below, *children])])
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("key", "page_id", "url", "host", "page")] + [
+                pa.array(keep, pa.list_(pa.struct([("path", pa.string()), ("noise", pa.bool_()), ("prior", pa.bool_()), ("text", pa.string())]))),
+                pa.array(nodes, pa.list_(pa.struct([("path", pa.string()), ("noise", pa.bool_()), ("content", pa.int64()), ("style", pa.int64())])))],
+                names=["key", "page_id", "url", "host", "page", "blocks", "nodes"])
 
     html = F.col("html").cast("string")
-    return pages.select(F.xxhash64("page_id", "url", html).alias("key"), "page_id", F.col("url").cast("string"), host_of(F.col("url")).alias("host"),
-                        html.alias("html")).mapInArrow(run, f"key long, page_id {dict(pages.dtypes)['page_id']}, url string, host string, blocks {block}, nodes {node}")
+    return pages.select(F.xxhash64("page_id", "url", html).alias("key"), "page_id", F.col("url").cast("string"), host_of(F.col("url")).alias("host"), F.xxhash64(html).alias("page"),
+                        html.alias("html")).mapInArrow(run, f"key long, page_id {dict(pages.dtypes)['page_id']}, url string, host string, page long, blocks {block}, nodes {node}")
 
 
-def style_tree(nodes: DataFrame) -> DataFrame:
-    """Host, path, pages and importance from (host, path, content) rows: entropy of the contents over that of all-different ones.
+def entropies(nodes: DataFrame, digest: str) -> DataFrame:
+    """Host, path, pages and entropy of ``digest`` over that of all-different ones, from one row for each page and path.
 
-    Contents are counted before anything else, so a host with a third of all pages is summed map-side.
+    Equal digests are counted before anything else, so a host with a third of all pages is summed map-side.
     """
-    counted = nodes.groupBy("host", "path", "content").agg(F.count(F.lit(1)).alias("n"))
+    counted = nodes.where(F.col(digest).isNotNull()).groupBy("host", "path", digest).agg(F.count(F.lit(1)).alias("n"), F.min("noise").alias("noise"))
     n = F.col("n").cast("double")
-    sums = counted.groupBy("host", "path").agg(F.sum(n).alias("pages"), F.sum(n * F.log(n)).alias("s"))
+    sums = counted.groupBy("host", "path").agg(F.sum(n).alias("pages"), F.sum(n * F.log(n)).alias("s"), F.min("noise").alias("noise"))
     entropy = F.log("pages") - F.col("s") / F.col("pages")
-    return sums.select("host", "path", "pages", F.when(F.col("pages") > 1, entropy / F.log("pages")).otherwise(1.0).alias("importance"))
+    return sums.select("host", "path", "pages", "noise", F.when(F.col("pages") > 1, entropy / F.log("pages")).otherwise(1.0).alias("entropy"))
+
+
+def style_tree(nodes: DataFrame) -> DataFrame:
+    """Host, path, pages, noise, content and presentation importance of every path with text, from (host, page, path, noise, content, style) rows."""
+    once = written(nodes.select("host", "page", "path", "noise", "content", "style").distinct())
+    content = written(entropies(once, "content").withColumnRenamed("entropy", "content"))
+    style = entropies(once, "style").select("host", "path", F.col("entropy").alias("style"))
+    parts = F.split("path", "/")
+    above = content.select("host", "path", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, 1, k), "/"))).alias("node"))
+    varied = above.join(style.withColumnRenamed("path", "node"), ["host", "node"]).groupBy("host", "path").agg(F.max("style").alias("presentation"))
+    return content.join(varied, ["host", "path"], "left").select("host", "path", "pages", "noise", "content", F.coalesce("presentation", F.lit(0.0)).alias("presentation"))
+
+
+def verdicts(tree: DataFrame, limit: float, share: float, least: int) -> DataFrame:
+    """Host, path, keep of every path on ``least`` pages of its host or more."""
+    judged = written(tree.where(F.col("pages") >= least).withColumn("importance", F.col("content") * (1 + F.col("presentation")) / 2))
+    best = judged.groupBy("host").agg(F.max("importance").alias("best"))
+    keep = (F.col("content") >= limit) & (~F.col("noise") | (F.col("importance") >= share * F.col("best")))
+    return judged.join(best, "host").select("host", "path", keep.alias("keep"))
 
 
-def extract(pages: DataFrame, limit: float = 0.3, least: int = 5) -> DataFrame:
+def extract(pages: DataFrame, limit: float = 0.3, least: int = 5, share: float = 0.9) -> DataFrame:
     """Page_id, url, text, n_chars of every row of ``pages`` (page_id, url, html)."""
     parsed = written(page_blocks(pages))
-    nodes = parsed.select("key", "host", F.explode("nodes").alias("node")).select("key", "host", "node.path", "node.content")
-    low = style_tree(nodes).where((F.col("pages") >= least) & (F.col("importance") < limit)).select("host", "path")
-    judged = (parsed.select("key", "host", F.explode("blocks").alias("b")).where("b.judged").select("key", "host", "b.path").distinct())
-    # Written, so that its size is known: a small one is sent to the pages, and their blocks need no shuffle.
-    cut = written(judged.join(low, ["host", "path"], "left_semi").groupBy("key").agg(F.collect_set("path").alias("cut")))
-    kept = F.filter("blocks", lambda b: ~(b["judged"] & F.array_contains(F.coalesce("cut", F.array().cast("array<string>")), b["path"])))
+    nodes = parsed.select("host", "page", F.explode("nodes").alias("node")).select("host", "page", "node.*")
+    judged = written(verdicts(style_tree(nodes), limit, share, least))
+    found = parsed.select("key", "host", F.explode(F.array_distinct(F.transform("blocks", lambda b: F.struct(b["path"].alias("path"), b["prior"].alias("prior"))))).alias("b")).select("key", "host", "b.*")
+    # Where the verdict is not the prior. Written, so that its size is known: a small one is sent to the pages, and their blocks need no shuffle.
+    flip = written(found.join(judged, ["host", "path"]).where("keep <> prior").groupBy("key").agg(F.collect_set("path").alias("flip")))
+    kept = F.filter("blocks", lambda b: b["prior"] != F.array_contains(F.coalesce("flip", F.array().cast("array<string>")), b["path"]))
     text = F.array_join(F.transform(kept, lambda b: b["text"]), "\n\n")
-    return (parsed.select("key", "page_id", "url", "blocks").join(cut, "key", "left").select("page_id", "url", text.alias("text"))
+    return (parsed.select("key", "page_id", "url", "blocks").join(flip, "key", "left").select("page_id", "url", text.alias("text"))
             .select("*", F.length("text").cast("long").alias("n_chars")))

@@ -195,6 +195,18 @@ def test_html(spark):
     assert html_extraction.extract(pages.limit(0)).count() == 0
 
 
+def test_html_importance_decides(spark):
+    lines = lambda i: "".join(f"<p>line {i} {j}</p>" for j in range(1 + i % 4))
+    text = lambda i: "\n\n".join(f"line {i} {j}" for j in range(1 + i % 4))
+    foot = "<nav><ul><li>home<li>more</ul></nav><footer>page {}</footer>"
+    # A teaser in an article element on every page, the text beside it; the text inside a form; copies of one page.
+    teaser = [(i, f"http://a.com/{i}", f"<article>read this next</article><div class=text>{lines(i)}</div>{foot.format(i)}") for i in range(12)]
+    form = [(20 + i, f"http://b.com/{i}", f"<form><div class=text>{lines(i)}</div>{foot.format(i)}</form>") for i in range(12)]
+    copies = [(40 + i, "http://c.com/1", f"<article>{lines(3)}</article>") for i in range(9)]
+    got = {r.page_id: r.text for r in html_extraction.extract(spark.createDataFrame(teaser + form + copies, "page_id long, url string, html string")).collect()}
+    assert got == {i + at: text(i) for i in range(12) for at in (0, 20)} | {40 + i: text(3) for i in range(9)}
+
+
 def test_url_filters(spark):
     urls = [(1, "http://A.Example.NET/en/x?y"), (2, "https://b.net"), (3, "https://b.net/x"), (4, "http://example.com/de/1#a"), (5, "http://x.org/fr/"), (6, None), (7, "nope"),
             (8, "http://bad.com/1"), (8, "http://bad.com/1"), (9, "http://good.com/2")]
