@@ -6,7 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from isoqt.llm import bpe, decontamination, html_extraction, language_id, near_dedup, pii, quality_rules, secret_scans, sharding, url_filters
+from isoqt.llm import (
+    bpe, conversation_trie, decontamination, html_extraction, language_id, near_dedup, pii, quality_rules, secret_scans, sharding, token_counts, url_filters, vector_codes,
+)
 from isoqt.llm.common import table
 
 
@@ -55,8 +57,20 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.encode(table(spark, sf_dir, "embeddings"))
+
+
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), str(public_tokenizers.path("word_bpe_49k.json")))
+
+
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.nodes_of(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {f.__name__: f for f in (op1_url_filters, op2_quality_rules, op3_secret_scans, op4_near_dedup, op5_sharding, op6_html_extraction, op7_pii, op8_bpe,
-                                   op9_language_id, op10_decontamination)}
+                                   op9_language_id, op10_decontamination, op11_vector_codes, op12_token_counts, op13_conversation_trie)}
 
 _SPACES = r"[ \t\n\x0B\f\r]"
 _NO_SPACES = r"[^ \t\n\x0B\f\r]"
@@ -121,4 +135,54 @@ reach(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT reach.a, links
 SELECT a AS doc_id, coalesce(max(n.n), 0)::BIGINT AS n_shingles, min(b) AS component_id, min(b) = a AS kept FROM reach LEFT JOIN n ON n.doc_id = a GROUP BY a
 """
 
-ORACLE = {"op1_url_filters": OP1_SQL, "op2_quality_rules": OP2_SQL, "op4_near_dedup": OP4_SQL}
+_FOUR = range(4)
+_ENTRIES = ", ".join(f"x{i}" for i in _FOUR)
+_APART = " + ".join(f"(p.x{i} - c.x{i}) * (p.x{i} - c.x{i})" for i in _FOUR)
+
+
+def _assigned(book: str) -> str:
+    return f"SELECT p.id, p.part, min(({_APART}) * 64 + c.e) AS best FROM p JOIN {book} c ON p.part = c.part GROUP BY 1, 2"
+
+
+def _moved(book: str, to: str) -> str:
+    floors = ", ".join(f"CASE WHEN n IS NULL THEN c.x{i} ELSE (s{i} - ((s{i} % n) + n) % n) // n END::BIGINT AS x{i}" for i in _FOUR)
+    sums = ", ".join(f"sum(x{i})::BIGINT AS s{i}" for i in _FOUR)
+    return f"""a_{to} AS ({_assigned(book)}), s_{to} AS (SELECT p.part, best % 64 AS e, count(*) AS n, {sums} FROM p JOIN a_{to} a ON p.id = a.id AND p.part = a.part GROUP BY 1, 2),
+{to} AS (SELECT c.part, c.e, {floors} FROM {book} c LEFT JOIN s_{to} s ON c.part = s.part AND c.e = s.e)"""
+
+
+#: For vectors of 64 dimensions, sixteen parts of four.
+OP11_SQL = f"""
+WITH kept AS (SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS id, vec_id, label, embedding AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (SELECT id, k AS part, {", ".join(f"floor(256 * v[4 * k + {i + 1}]::DOUBLE)::BIGINT AS x{i}" for i in _FOUR)} FROM kept, range(16) t(k)),
+b0 AS (SELECT part, id - 1 AS e, {_ENTRIES} FROM p WHERE id <= 64),
+{_moved("b0", "b1")},
+{_moved("b1", "b2")},
+f AS ({_assigned("b2")}),
+codes AS (SELECT id, string_agg(printf('%02x', best % 64), '' ORDER BY part) AS code, sum(best // 64)::BIGINT AS error FROM f GROUP BY id),
+book AS (SELECT sha256(string_agg({" || ',' || ".join(f"x{i}" for i in _FOUR)}, ',' ORDER BY part, e)) AS codebooks_sha256 FROM b2)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM codes JOIN kept USING (id), book
+"""
+
+_CRC = "list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda ch: ascii(ch)::BIGINT)), lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda x, i: xor(x >> 1, (x & 1) * 3988292384)))"
+
+OP13_SQL = f"""
+WITH t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, conv_id - conv_id % 5 AS base, xor({_CRC}, 4294967295) % 9 AS h, count(*) AS n FROM t GROUP BY conv_id),
+k AS (SELECT c.*, least(c.h, coalesce(b.n, 0)) AS taken FROM c LEFT JOIN c b ON b.conv_id = c.base),
+r AS (SELECT k.conv_id, t.i AS d, role, text FROM k JOIN t ON t.conv_id = k.base AND t.i <= k.h UNION ALL SELECT k.conv_id, taken + i - h, role, text FROM k JOIN t USING (conv_id) WHERE i > h),
+path AS (SELECT conv_id, d, sha256(string_agg(strlen(role) || ':' || role || strlen(text) || ':' || text, '') OVER (PARTITION BY conv_id ORDER BY d)) AS key,
+  lag(d) OVER (PARTITION BY conv_id ORDER BY d) AS before, strlen(text) AS bytes FROM r UNION ALL SELECT conv_id, 0, '', NULL, 0 FROM k),
+ends AS (SELECT conv_id, max(d) AS d FROM path GROUP BY conv_id),
+node AS (SELECT key, d AS depth, min(p.conv_id) AS conv_id, count(*) AS n_convs, max(bytes) AS bytes,
+  sha256(coalesce(string_agg(e.conv_id::VARCHAR, ',' ORDER BY e.conv_id), '')) AS ends_sha256 FROM path p LEFT JOIN ends e USING (conv_id, d) GROUP BY key, d),
+up AS (SELECT DISTINCT a.key, b.key AS above FROM path a JOIN path b ON a.conv_id = b.conv_id AND b.d = a.d - 1),
+under AS (SELECT DISTINCT a.key, b.key AS below FROM path a JOIN path b ON a.conv_id = b.conv_id AND b.d >= a.d),
+kids AS (SELECT above AS key, count(*) AS n FROM up GROUP BY above),
+sums AS (SELECT u.key, sum((n.n_convs - 1) * n.bytes)::BIGINT AS saved_tokens, count(*) FILTER (kids.n IS NULL) AS n_leaves FROM under u JOIN node n ON n.key = u.below LEFT JOIN kids ON kids.key = u.below GROUP BY u.key)
+SELECT node.conv_id, node.depth, parent.conv_id AS parent_conv_id, node.n_convs, coalesce(kids.n, 0) AS n_children, n_leaves, saved_tokens, node.ends_sha256
+FROM node JOIN sums USING (key) LEFT JOIN kids USING (key) LEFT JOIN up USING (key) LEFT JOIN node parent ON parent.key = up.above
+"""
+
+ORACLE = {"op1_url_filters": OP1_SQL, "op2_quality_rules": OP2_SQL, "op4_near_dedup": OP4_SQL, "op11_vector_codes": OP11_SQL, "op13_conversation_trie": OP13_SQL}
