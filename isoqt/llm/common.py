@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,13 +26,40 @@ def shared_dir(spark: SparkSession) -> str:
     return configured or context.getCheckpointDir()
 
 
+#: Open scratch scopes: the paths each has written.
+_SCOPES: list[list[str]] = []
+
+
 def written(df: DataFrame, *sort: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back: lineage ends here, pruning stays."""
     path = f"{shared_dir(df.sparkSession)}/llm-{uuid.uuid4().hex}"
+    if _SCOPES:
+        _SCOPES[-1].append(path)
     (df.sortWithinPartitions(*sort) if sort else df).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession):
+    """Tables written inside are deleted at the end, but for those made by ``kept_table``."""
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        for path in _SCOPES.pop():
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def kept_table(df: DataFrame) -> DataFrame:
+    """Like ``written``, for the result of a ``scratch`` scope."""
+    held = _SCOPES.pop()
+    try:
+        return written(df)
+    finally:
+        _SCOPES.append(held)
+
+
 def words_of(text: Column) -> Column:
     """Array of the words of ``text``: maximal runs without ASCII white space."""
     return F.array_remove(F.split(text, f"[{SPACE}]+"), "")

@@ -3,15 +3,23 @@
 1. Every document becomes its set of word shingles, a 128 bit fingerprint of the set, ``SKETCH`` minwise values and one
    minwise root token for each of ``trees`` independent trees. Documents with equal sets are one node from here on.
 2. A tree sends a node to the branch of its root token. Branches of at most ``leaf`` nodes are leaves. A larger branch
-   chooses two positions by a hash of its own path and sends each node on by its minwise values there, so a pair of
-   similarity s survives a level with probability 1 - (1 - s)^2. A branch that hardly shrinks, or is still large at the
-   last level, is cut into blocks and every pair of blocks is a leaf, so nothing is dropped.
-   Recall falls with depth: a pair of similarity 0.8 survives a tree of d levels with probability 0.8 * 0.96^d, so eight
-   trees miss it with 9e-6 at one level, 6e-5 at three, 1.2e-4 at four and 1.1e-3 at eight (the last level).
-3. In a leaf all sketches are compared; nodes that may be similar (estimate within about five standard deviations) form
-   clusters, equal clusters of different trees are one. The texts of a cluster are fetched and all its pairs compared
-   exactly; a spanning star for each connected part is all that leaves.
-4. Labels spread along the links until they are stable; the smallest doc_id reachable names the component.
+   chooses a position by a hash of its own path, and a second one with probability ``SECOND``, and sends each node on by
+   its minwise values there: about 1.25 copies of a node for each level, so a pair of similarity 0.8 has one common
+   branch a level in the mean. The chance that a tree of d levels brings the pair into one leaf is 0.8 (1 - q_d) with
+   q_0 = 0, q_d = (0.2 + 0.8 q)(0.8 + 0.2 q): 0.67, 0.58, 0.51, 0.46 for one to four levels, 0.34 for eight. Twelve trees miss it with
+   2e-6, 3e-5, 2e-4, 6e-4 and 7e-3; pairs above 0.8, and pairs that other documents connect, far more seldom.
+3. A branch that hardly shrinks (near copies of one text), or is still large at the last level, is cut. Cut branches
+   that share a node are one family over all trees. A family is dealt into blocks of ``leaf`` nodes, and ``PIVOTS`` of
+   its nodes join every block: rows grow with the family, not with its square.
+4. In a leaf or block all sketches are compared; nodes that may be similar (estimate within about five standard
+   deviations) form clusters. The clusters of the first tree and of the blocks are compared exactly, all pairs, and
+   labels spread along the links. In clusters of the other trees one node stands for each label; those pairs, made
+   distinct over all trees, are compared exactly and labels spread again.
+5. What is still open are pairs with agreeing sketches and different labels: those of a cluster, distinct over all trees,
+   and in a family those of a node outside the main label and any other node, in squares of ``SIDE`` by ``SIDE``. All are
+   compared exactly. A pair that met in a leaf or a cut branch is therefore linked, refuted, or in one component already;
+   only pairs that no tree brought together can be lost.
+6. Labels spread along all links until they are stable; the smallest doc_id reachable names the component.
 
 Defined cases: a null, empty or blank text has an empty set and stays alone; fewer words than a shingle make one
 shingle; ids may repeat or be null (a null id keeps its row, its component is the smallest id of its group, or null);
@@ -20,6 +28,7 @@ texts are taken whole; other columns are ignored or, in ``keep_one``, passed on.
 
 from __future__ import annotations
 
+import uuid
 from collections import OrderedDict
 
 import numpy as np
@@ -28,16 +37,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest, xxh3_128_digest
 
-from isoqt.llm.common import written
+from isoqt.llm.common import kept_table, scratch, written
 
-SKETCH, TREES, LEAF, LEVELS = 128, 8, 128, 8
+SKETCH, TREES, LEAF, LEVELS = 128, 12, 128, 8
+#: One second position for so many branches; nodes that meet every block of a branch that is cut.
+SECOND, PIVOTS = 4, 32
+#: Nodes of each side in a leaf of open pairs, and stretches of the pairs of one node.
+SIDE, STRETCHES = 48, 8
 #: Sketch positions that must agree for a pair to be compared exactly: five standard deviations under 0.8.
 AGREE = 80
 _UPPER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _RNG = np.random.default_rng(20)
 _MULTIPLY = (_RNG.integers(0, 1 << 32, SKETCH, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
 _ADD = _RNG.integers(0, 1 << 32, SKETCH, dtype=np.uint64).astype(np.uint32)
-_ROOT = _RNG.integers(0, 1 << 63, TREES, dtype=np.uint64) | np.uint64(1)
+
+
+def roots_of(trees: int) -> np.ndarray:
+    """Odd multipliers that order the shingles for the root of each tree."""
+    return np.random.default_rng(21).integers(0, 1 << 63, trees, dtype=np.uint64) | np.uint64(1)
 
 
 def shingles(text: str | None, width: int) -> np.ndarray:
@@ -54,19 +71,20 @@ def shingles(text: str | None, width: int) -> np.ndarray:
     return np.unique(out)
 
 
-def minwise(shingle: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(SKETCH values of 16 bits, TREES root tokens of 63 bits)."""
+def minwise(shingle: np.ndarray, multipliers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(SKETCH values of 16 bits, a root token of 63 bits for each tree)."""
     low = np.full(SKETCH, 0xFFFFFFFF, np.uint32)
     for at in range(0, len(shingle), 512):
         x = (shingle[at : at + 512] >> np.uint64(32)).astype(np.uint32)
         np.minimum(low, (x[:, None] * _MULTIPLY + _ADD).min(axis=0), out=low)
-    roots = np.array([(shingle * m).min() for m in _ROOT], np.uint64)
+    roots = np.array([(shingle * m).min() for m in multipliers], np.uint64)
     mixed = low * np.uint32(0x85EBCA6B)
     return (mixed >> np.uint32(16)).astype(np.uint16), (roots >> np.uint64(1)).astype(np.int64)
 
 
-def sketches(docs: DataFrame, width: int) -> DataFrame:
+def sketches(docs: DataFrame, width: int, trees: int) -> DataFrame:
     """Doc_id, text key, set size, node (fingerprint of the set), sketch and root tokens of every row."""
+    multipliers = roots_of(trees)
 
     def run(batches):
         for batch in batches:
@@ -74,7 +92,7 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
             for text in batch.column("text").to_pylist():
                 s = shingles(text, width)
                 sizes.append(len(s))
-                low, root = minwise(s) if len(s) else (None, None)
+                low, root = minwise(s, multipliers) if len(s) else (None, None)
                 nodes.append(xxh3_128_digest(s.tobytes()) if len(s) else None)
                 values.append(low.tobytes() if len(s) else None)
                 roots.append(root.tolist() if len(s) else None)
@@ -120,43 +138,68 @@ def parts_of(n: int, pairs) -> np.ndarray:
     return np.array([find(i) for i in range(n)])
 
 
-def branches(reps: DataFrame, trees: int, leaf: int, levels: int) -> DataFrame:
-    """(leaf key, node) rows of all leaves of all trees; a leaf has at most 2 * ``leaf`` nodes."""
+def branches(reps: DataFrame, leaf: int, levels: int) -> tuple[DataFrame, DataFrame]:
+    """((leaf key, node, first: of the first tree) of all leaves of at most ``leaf`` nodes, (branch, node) of the branches that were cut)."""
     slim = reps.select("node", "sketch")
-    level = reps.select(F.posexplode("roots").alias("tree", "root"), "node").where(F.col("tree") < trees).select(F.xxhash64("tree", "root").alias("h"), "node", F.lit(None).cast("long").alias("above"))
-    leaves = []
+    level = reps.select(F.posexplode("roots").alias("tree", "root"), "node").select(F.xxhash64("tree", "root").alias("h"), "node", (F.col("tree") == 0).alias("first"), F.lit(None).cast("long").alias("above"))
+    leaves, cuts = [], []
     for depth in range(levels + 1):
         sizes = level.groupBy("h").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
         live = written(level.join(sizes, "h"))
-        leaves.append(live.where(F.col("size") <= leaf).select("h", "node"))
+        leaves.append(live.where(F.col("size") <= leaf).select("h", "node", "first"))
         big = live.where(F.col("size") > leaf)
         stuck = F.lit(True) if depth == levels else F.coalesce(F.col("size") > 0.85 * F.col("above"), F.lit(False))
-        # Blocks of a stuck branch: a node meets every block of its branch, in the key of the unordered pair of blocks.
-        blocks = F.ceil(F.col("size") * 1.5 / leaf).cast("int")
-        own = F.pmod(F.xxhash64("node", "h"), blocks).cast("int")
-        leaves.append(big.where(stuck).select("h", "node", blocks.alias("blocks"), own.alias("own")).select("h", "node", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-                      .select(F.xxhash64("h", F.least("own", "other"), F.greatest("own", "other")).alias("h"), "node"))
+        cuts.append(big.where(stuck).select("h", "node"))
         big = big.where(~stuck)
         if depth == levels or big.isEmpty():
             break
         at = lambda j: F.pmod(F.xxhash64("h", F.lit(j)), F.lit(SKETCH)).cast("int")
         step = lambda j: F.xxhash64("h", at(j), F.expr(f"substring(sketch, 2 * int(pmod(xxhash64(h, {j}), {SKETCH})) + 1, 2)"))
-        level = big.join(slim, "node").select(F.explode(F.array_distinct(F.array(step(0), step(1)))).alias("h"), "node", F.col("size").alias("above"))
-    out = leaves[0]
-    for more in leaves[1:]:
+        two = F.pmod(F.xxhash64("h", F.lit("second")), F.lit(SECOND)) == 0  # by branch, so that both of a pair take it
+        chosen = F.when(two, F.array_distinct(F.array(step(0), step(1)))).otherwise(F.array(step(0)))
+        level = big.join(slim, "node").select(F.explode(chosen).alias("h"), "node", "first", F.col("size").alias("above"))
+    return union(leaves), union(cuts)
+
+
+def families(cut: DataFrame) -> DataFrame:
+    """(family, node): cut branches that share nodes are one family."""
+    low = cut.groupBy("h").agg(F.min("node").alias("b"))
+    links = cut.join(low, "h").where("node <> b").select(F.col("node").alias("a"), "b").distinct()
+    return spread(written(links)).select(F.col("label").alias("family"), "node")
+
+
+def blocks(family: DataFrame, leaf: int) -> DataFrame:
+    """(h, node, first): blocks of about ``leaf`` nodes of a family, each with the family's pivots."""
+    sized = family.join(family.groupBy("family").agg(F.count(F.lit(1)).alias("size")), "family")
+    count = F.ceil(F.col("size") / leaf).cast("int")
+    block = F.pmod(F.xxhash64("node", F.lit("block")), count).cast("int")
+    pivot = F.pmod(F.xxhash64("node", F.lit("pivot")), F.lit(1 << 20)) < (F.lit(PIVOTS << 20) / F.col("size"))
+    own = sized.select("family", "node", block.alias("block"))
+    met = sized.where(pivot).select("family", "node", F.explode(F.sequence(F.lit(0), count - 1)).alias("block"))
+    return own.unionByName(met).distinct().select(F.xxhash64(F.lit("block"), "family", "block").alias("h"), "node", F.lit(True).alias("first"))
+
+
+def union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for more in parts[1:]:
         out = out.unionByName(more)
     return out
 
 
+def alike(sketch: np.ndarray, size: np.ndarray, i: int, rest: slice, agree: int, percent: int) -> np.ndarray:
+    """Which of ``rest`` may be similar to node ``i`` by sketches and set sizes."""
+    return ((sketch[i] == sketch[rest]).sum(axis=1) >= agree) & (100 * np.minimum(size[i], size[rest]) >= percent * np.maximum(size[i], size[rest]))
+
+
 def clusters(leaves: DataFrame, reps: DataFrame, agree: int, percent: int) -> DataFrame:
-    """(cluster, node) rows: nodes of a leaf that sketches and set sizes connect; equal clusters are one."""
+    """(cluster, node, first) rows: nodes of a leaf that sketches and set sizes connect; equal clusters are one."""
 
     def run(batches):
         for table, starts in groups_of(batches, "h"):
             sketch = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint16).reshape(-1, SKETCH)
-            size, node = table["n"].to_numpy(), table["node"].to_pylist()
+            size, node, first = table["n"].to_numpy(), table["node"].to_pylist(), table["first"].to_pylist()
             ends = np.r_[starts[1:], len(size)]
-            keys, members = [], []
+            keys, members, firsts = [], [], []
 
             def emit(rows):
                 ids = sorted({node[i] for i in rows})
@@ -164,6 +207,7 @@ def clusters(leaves: DataFrame, reps: DataFrame, agree: int, percent: int) -> Da
                     key = xxh3_64_intdigest(b"".join(ids)) - (1 << 63)
                     keys.extend([key] * len(ids))
                     members.extend(ids)
+                    firsts.extend([first[rows[0]]] * len(ids))
 
             two = starts[ends - starts == 2]
             near = ((sketch[two] == sketch[two + 1]).sum(axis=1) >= agree) & (100 * np.minimum(size[two], size[two + 1]) >= percent * np.maximum(size[two], size[two + 1]))
@@ -174,16 +218,17 @@ def clusters(leaves: DataFrame, reps: DataFrame, agree: int, percent: int) -> Da
                     continue
                 pairs = []
                 for i in range(a, b - 1):
-                    hit = ((sketch[i] == sketch[i + 1 : b]).sum(axis=1) >= agree) & (100 * np.minimum(size[i], size[i + 1 : b]) >= percent * np.maximum(size[i], size[i + 1 : b]))
+                    hit = alike(sketch, size, i, slice(i + 1, b), agree, percent)
                     pairs += [(i - a, int(j) + i + 1 - a) for j in np.flatnonzero(hit)]
                 if pairs:
                     part = parts_of(b - a, pairs)
                     for p in np.unique(part):
                         emit(np.flatnonzero(part == p) + a)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(members, pa.binary())], names=["cluster", "node"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(members, pa.binary()), pa.array(firsts, pa.bool_())], names=["cluster", "node", "first"])
 
-    rows = leaves.join(reps.select("node", "n", "sketch"), "node").select("h", "node", "n", "sketch")
-    return rows.repartition("h").sortWithinPartitions("h").mapInArrow(run, "cluster long, node binary").distinct()
+    rows = leaves.join(reps.select("node", "n", "sketch"), "node").select("h", "node", "n", "sketch", "first")
+    found = rows.repartition("h").sortWithinPartitions("h").mapInArrow(run, "cluster long, node binary, first boolean")
+    return found.groupBy("cluster", "node").agg(F.max("first").alias("first"))
 
 
 def common(sets: list[np.ndarray]) -> np.ndarray:
@@ -232,10 +277,90 @@ def confirm(clustered: DataFrame, texts: DataFrame, width: int, percent: int) ->
                         b_side.append(node[a + r])
             yield pa.RecordBatch.from_arrays([pa.array(a_side, pa.binary()), pa.array(b_side, pa.binary())], names=["a", "b"])
 
-    rows = clustered.join(texts, "node").select("cluster", "node", "text")
+    rows = clustered.select("cluster", "node").join(texts, "node").select("cluster", "node", "text")
     return rows.repartition("cluster").sortWithinPartitions("cluster", "node").mapInArrow(run, "a binary, b binary").distinct()
 
 
+def named(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """``rows`` with the label of their node; a node without links is its own."""
+    return rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+
+
+def mixed(found: DataFrame, labels: DataFrame) -> DataFrame:
+    """(h, node, label) of the clusters with more than one label."""
+    rows = written(named(found.select("cluster", "node"), labels))
+    more = rows.groupBy("cluster").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("cluster")
+    return rows.join(more, "cluster").select(F.col("cluster").alias("h"), "node", "label")
+
+
+def outsiders(family: DataFrame, labels: DataFrame) -> DataFrame:
+    """(h, node, label): squares of the nodes outside the main label of a family against all nodes of the family."""
+    rows = written(named(family, labels))
+    top = rows.groupBy("family", "label").count().groupBy("family").agg(F.max(F.struct("count", "label")).alias("top"), F.sum("count").alias("n"))
+    main = top.select("family", F.col("top.label").alias("main"), "n", (F.col("n") - F.col("top.count")).alias("others")).where("others > 0")
+    rest = rows.join(main, "family")
+    of = lambda count: F.ceil(F.col(count) / SIDE).cast("int")
+    side = lambda count: F.pmod(F.xxhash64("node", F.lit(count)), of(count)).cast("int")
+    outside = rest.where(F.col("label") != F.col("main")).select("family", "node", "label", side("others").alias("a"), F.explode(F.sequence(F.lit(0), of("n") - 1)).alias("b"))
+    every = rest.select("family", "node", "label", F.explode(F.sequence(F.lit(0), of("others") - 1)).alias("a"), side("n").alias("b"))
+    return outside.unionByName(every).select(F.xxhash64(F.lit("square"), "family", "a", "b").alias("h"), "node", "label").distinct()
+
+
+def open_pairs(groups: DataFrame, reps: DataFrame, agree: int, percent: int, whole: bool) -> DataFrame:
+    """Pairs of a group whose labels differ and whose sketches agree: distinct (a, b), or with ``whole`` (cluster, node) of all nodes in such pairs of a group."""
+
+    def run(batches):
+        for table, starts in groups_of(batches, "h"):
+            sketch = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint16).reshape(-1, SKETCH)
+            size, node, key = table["n"].to_numpy(), table["node"].to_pylist(), table["h"].to_pylist()
+            label = np.unique(np.array(table["label"].to_pylist(), dtype=object), return_inverse=True)[1]
+            left, right = [], []
+            for a, b in zip(starts, np.r_[starts[1:], len(size)]):
+                members = set()
+                for i in range(a, b - 1):
+                    rest = slice(i + 1, b)
+                    for j in np.flatnonzero(alike(sketch, size, i, rest, agree, percent) & (label[rest] != label[i])) + i + 1:
+                        if whole:
+                            members |= {node[i], node[j]}
+                        else:
+                            low, high = sorted((node[i], node[j]))
+                            left.append(low)
+                            right.append(high)
+                left.extend([key[a]] * len(members))
+                right.extend(sorted(members))
+            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64() if whole else pa.binary()), pa.array(right, pa.binary())], names=names)
+
+    names = ["cluster", "node"] if whole else ["a", "b"]
+    rows = groups.join(reps.select("node", "n", "sketch"), "node").select("h", "node", "n", "sketch", "label")
+    out = rows.repartition("h").sortWithinPartitions("h").mapInArrow(run, f"{names[0]} {'long' if whole else 'binary'}, {names[1]} binary")
+    return out if whole else out.distinct()
+
+
+def confirm_pairs(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose full sets are similar: the text of ``a`` travels once for a stretch of its partners."""
+
+    def run(batches):
+        centre, held = None, None
+        for batch in batches:
+            key, first, node, text = (batch.column(i).to_pylist() for i in range(4))
+            a_side, b_side = [], []
+            for k, is_first, n, t in zip(key, first, node, text):
+                s = shingles(t, width)
+                if is_first:
+                    centre, held = (k, n), s
+                elif centre is not None and centre[0] == k:
+                    both = len(np.intersect1d(held, s, assume_unique=True))
+                    if 100 * both >= percent * (len(held) + len(s) - both):
+                        a_side.append(n)
+                        b_side.append(centre[1])
+            yield pa.RecordBatch.from_arrays([pa.array(a_side, pa.binary()), pa.array(b_side, pa.binary())], names=["a", "b"])
+
+    stars = written(pairs.select(F.xxhash64("a", F.pmod(F.xxhash64("b"), F.lit(STRETCHES))).alias("star"), "a", "b"))
+    rows = stars.select("star", F.lit(True).alias("first"), F.col("a").alias("node")).distinct().unionByName(stars.select("star", F.lit(False).alias("first"), F.col("b").alias("node")))
+    rows = rows.join(texts, "node").select("star", "first", "node", "text")
+    return rows.repartition("star").sortWithinPartitions("star", F.desc("first")).mapInArrow(run, "a binary, b binary")
+
+
 def spread(links: DataFrame) -> DataFrame:
     """(node, label): the smallest node of each connected component, by minimum labels with pointer jumping."""
     edges = written(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
@@ -250,32 +375,58 @@ def spread(links: DataFrame) -> DataFrame:
         labels = step.select("node", "label")
 
 
+def grouped(docs: DataFrame, width: int, percent: int, trees: int, leaf: int, levels: int) -> DataFrame:
+    """Doc_id, tkey, n, label of every row of ``docs`` (doc_id, text); the label of a row without shingles is null."""
+    with scratch(docs.sparkSession):
+        rows = written(sketches(docs, width, trees))
+        # One row for each set; any row of the node will do for sketch and text, the smallest key is taken.
+        chosen = rows.where("n > 0").groupBy("node").agg(F.min("tkey").alias("tkey"))
+        reps = written(rows.where("n > 0").join(chosen, ["node", "tkey"]).groupBy("node").agg(
+            F.first("tkey").alias("tkey"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("roots").alias("roots")))
+        leaves, cut = branches(reps, leaf, levels)
+        family = written(families(cut))
+        found = written(clusters(leaves, reps, AGREE, percent))
+        dense = written(clusters(blocks(family, leaf), reps, AGREE, percent))
+        wanted = written(found.select("node").unionByName(family.select("node")).distinct().join(reps.select("node", "tkey"), "node"))
+        text = F.col("text").cast("string")
+        texts = written(docs.select(F.xxhash64(text).alias("tkey"), text.alias("text")).join(wanted.select("tkey").distinct(), "tkey", "left_semi")
+                        .groupBy("tkey").agg(F.first("text").alias("text")).join(wanted, "tkey").select("node", "text"))
+        links = written(confirm(found.where("first").unionByName(dense).dropDuplicates(["cluster", "node"]), texts, width, percent))
+        labels = spread(links)
+        standing = mixed(found, labels).groupBy("h", "label").agg(F.min("node").alias("node"))
+        tried = written(open_pairs(standing, reps, AGREE, percent, False))
+        links = links.unionByName(written(confirm_pairs(tried, texts, width, percent)))
+        labels = spread(links)
+        pairs = written(open_pairs(mixed(found, labels), reps, AGREE, percent, False).join(tried, ["a", "b"], "left_anti"))
+        squares = written(open_pairs(outsiders(family, labels), reps, AGREE, percent, True))
+        last = written(confirm_pairs(pairs, texts, width, percent).unionByName(confirm(squares, texts, width, percent)))
+        labels = labels if last.isEmpty() else spread(links.unionByName(last))
+        full = rows.join(labels, "node", "left").select("doc_id", "tkey", "n", F.when(F.col("n") > 0, F.coalesce("label", "node")).alias("label"))
+        return kept_table(full)
+
+
 def components(docs: DataFrame, width: int = 4, percent: int = 80, trees: int = TREES, leaf: int = LEAF, levels: int = LEVELS) -> DataFrame:
     """Doc_id, n_shingles, component_id, kept of every row of ``docs`` (doc_id, text)."""
-    rows = written(sketches(docs, width))
-    # One row for each set; any row of the node will do for sketch and text, the smallest key is taken.
-    chosen = rows.where("n > 0").groupBy("node").agg(F.min("tkey").alias("tkey"))
-    reps = written(rows.where("n > 0").join(chosen, ["node", "tkey"]).groupBy("node").agg(
-        F.first("tkey").alias("tkey"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("roots").alias("roots")))
-    found = written(clusters(branches(reps, trees, leaf, levels), reps, AGREE, percent))
-    wanted = written(found.select("node").distinct().join(reps.select("node", "tkey"), "node"))
-    text = F.col("text").cast("string")
-    texts = (docs.select(F.xxhash64(text).alias("tkey"), text.alias("text")).join(wanted.select("tkey").distinct(), "tkey", "left_semi")
-             .groupBy("tkey").agg(F.first("text").alias("text")).join(wanted, "tkey").select("node", "text"))
-    labels = spread(written(confirm(found, texts, width, percent)))
-    full = rows.where("n > 0").select("doc_id", "n", "node").join(labels, "node", "left").select("doc_id", "n", F.coalesce("label", "node").alias("label"))
-    full = written(full)
-    lowest = full.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    joined = full.join(lowest, "label").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    alone = rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    full = grouped(docs, width, percent, trees, leaf, levels)
+    lowest = full.where("n > 0").groupBy("label").agg(F.min("doc_id").alias("component_id"))
+    joined = full.where("n > 0").join(lowest, "label").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    alone = full.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return joined.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
 
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` with one document of each group: the one with the smallest doc_id; of rows that share it, one. Rows without an id stay."""
-    found = written(components(docs.select("doc_id", "text"), width, percent))
-    gone = written(found.where("NOT kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("__gone")).distinct())
-    left = docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
-    if found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty():
+    """``docs`` with one document of each group: the one with the smallest doc_id, of those with one id the one with the smallest text key, of rows that
+    repeat both, one. Rows without an id or without words stay; an id that repeats with another text is another document."""
+    full = grouped(docs.select("doc_id", "text"), width, percent, TREES, LEAF, LEVELS).where("n > 0 AND doc_id IS NOT NULL")
+    keys = full.groupBy("label", "doc_id", "tkey").agg(F.count(F.lit(1)).alias("copies"))
+    first = full.groupBy("label").agg(F.min(F.struct("doc_id", "tkey")).alias("first"))
+    judged = written(keys.join(first, "label").select("doc_id", "tkey", "copies", ((F.col("first.doc_id") == F.col("doc_id")) & (F.col("first.tkey") == F.col("tkey"))).alias("stays")))
+    own_id, own_key = (f"__{c}_{uuid.uuid4().hex}" for c in ("id", "key"))  # no column of ``docs`` has such a name
+    names = lambda rows: rows.select(F.col("doc_id").alias(own_id), F.col("tkey").alias(own_key))
+    same = (docs["doc_id"] == F.col(own_id)) & (F.xxhash64(docs["text"].cast("string")) == F.col(own_key))
+    left = docs.join(names(judged.where("NOT stays")), same, "left_anti")
+    repeated = names(judged.where("stays AND copies > 1"))
+    if repeated.isEmpty():
         return left
-    return left.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(left.where("doc_id IS NULL"))
+    once = docs.join(repeated, same, "left_semi").withColumn(own_key, F.xxhash64(docs["text"].cast("string"))).dropDuplicates(["doc_id", own_key]).drop(own_key)
+    return left.join(repeated, same, "left_anti").unionByName(once)
