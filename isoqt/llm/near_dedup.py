@@ -42,6 +42,10 @@ from isoqt.llm.common import kept_table, scratch, written
 SKETCH, TREES, LEAF, LEVELS = 128, 12, 128, 8
 #: One second position for so many branches; nodes that meet every block of a branch that is cut.
 SECOND, PIVOTS = 4, 32
+#: A branch that keeps more of the one above it than this is near copies of one text, which more levels do not part.
+STUCK = 0.6
+#: Bits of the filter that finds the rows whose texts are needed; its size does not grow with the data.
+FILTER_BITS = 1 << 25
 #: Nodes of each side in a leaf of open pairs, and stretches of the pairs of one node.
 SIDE, STRETCHES = 48, 8
 #: Sketch positions that must agree for a pair to be compared exactly: five standard deviations under 0.8.
@@ -121,6 +125,30 @@ def groups_of(batches, key: str):
         yield rest, np.zeros(1, int)
 
 
+def having(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """Rows of ``docs`` (key, ...) that may have one of ``keys`` (key): a Bloom filter of fixed size, so that other texts are not moved.
+
+    Few bits go to the driver (4 MB); when keys outgrow the filter more rows pass, and the exact join that follows drops them.
+    """
+    spot = F.shiftright(F.xxhash64("key"), 64 - (FILTER_BITS.bit_length() - 1)) + FILTER_BITS // 2
+    words = keys.select(spot.alias("spot")).select(F.shiftright("spot", 5).alias("word"), F.pmod("spot", F.lit(32)).cast("int").alias("bit")).groupBy("word").agg(
+        F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits"))
+    filled = np.zeros(FILTER_BITS // 32, np.uint32)
+    table = words.toArrow()  # at most FILTER_BITS / 32 rows
+    filled[table["word"].to_numpy()] = table["bits"].to_numpy().astype(np.uint32)
+    sent = docs.sparkSession.sparkContext.broadcast(filled)
+
+    def run(batches):
+        held = sent.value
+        for batch in batches:
+            at = batch.column("spot").to_numpy()
+            hit = (held[at >> 5] >> (at & 31).astype(np.uint32)) & np.uint32(1)
+            yield batch.filter(pa.array(hit.astype(bool)))
+
+    spotted = docs.withColumn("spot", spot)
+    return spotted.mapInArrow(run, spotted.schema).drop("spot")
+
+
 def parts_of(n: int, pairs) -> np.ndarray:
     """Smallest member of the connected part of each of ``n`` members."""
     root = list(range(n))
@@ -148,7 +176,7 @@ def branches(reps: DataFrame, leaf: int, levels: int) -> tuple[DataFrame, DataFr
         live = written(level.join(sizes, "h"))
         leaves.append(live.where(F.col("size") <= leaf).select("h", "node", "first"))
         big = live.where(F.col("size") > leaf)
-        stuck = F.lit(True) if depth == levels else F.coalesce(F.col("size") > 0.85 * F.col("above"), F.lit(False))
+        stuck = F.lit(True) if depth == levels else F.coalesce(F.col("size") > STUCK * F.col("above"), F.lit(False))
         cuts.append(big.where(stuck).select("h", "node"))
         big = big.where(~stuck)
         if depth == levels or big.isEmpty():
@@ -387,10 +415,13 @@ def grouped(docs: DataFrame, width: int, percent: int, trees: int, leaf: int, le
         family = written(families(cut))
         found = written(clusters(leaves, reps, AGREE, percent))
         dense = written(clusters(blocks(family, leaf), reps, AGREE, percent))
-        wanted = written(found.select("node").unionByName(family.select("node")).distinct().join(reps.select("node", "tkey"), "node"))
+        # One row of ``docs`` answers for a node: of the rows with its text key one id, so copies stay where they are.
+        wanted = found.select("node").unionByName(family.select("node")).distinct().join(reps.select("node", "tkey"), "node")
+        ids = rows.join(wanted.select("tkey").distinct(), "tkey", "left_semi").groupBy("tkey").agg(F.min("doc_id").alias("doc_id"))
+        wanted = written(wanted.join(ids, "tkey").select("node", F.xxhash64("tkey", F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("key")))
         text = F.col("text").cast("string")
-        texts = written(docs.select(F.xxhash64(text).alias("tkey"), text.alias("text")).join(wanted.select("tkey").distinct(), "tkey", "left_semi")
-                        .groupBy("tkey").agg(F.first("text").alias("text")).join(wanted, "tkey").select("node", "text"))
+        moved = having(docs.select(F.xxhash64(F.xxhash64(text), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("key"), text.alias("text")), wanted.select("key"))
+        texts = written(moved.join(wanted, "key").groupBy("node").agg(F.first("text").alias("text")))
         links = written(confirm(found.where("first").unionByName(dense).dropDuplicates(["cluster", "node"]), texts, width, percent))
         labels = spread(links)
         standing = mixed(found, labels).groupBy("h", "label").agg(F.min("node").alias("node"))
