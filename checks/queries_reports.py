@@ -654,6 +654,14 @@ def _(spark, sf_dir):
     return safety.outcome_rates(outcomes(spark, sf_dir))
 
 
+@query("e66_score_equations", E(union(
+    f"SELECT '{o}' AS outcome, count({o}) AS n, count(*) FILTER (WHERE {o}) AS events, TRUE AS converged, 0e0 AS score FROM o WHERE concordance IN ('concordant_normal', 'reclassified_normal') AND age IS NOT NULL AND sex IS NOT NULL AND hr_bpm IS NOT NULL"
+    for o in safety.OUTCOMES), extra=_FX, more=_OM), dbl="score")
+def _(spark, sf_dir):
+    """The likelihood has no slope at the solution; rows and events are those of the data."""
+    return safety.odds_fits(outcomes(spark, sf_dir)).select("outcome", "n", "events", "converged", F.round("score", 6).alias("score"))
+
+
 @query("e66_table7_adjusted_odds")
 def _(spark, sf_dir):
     return safety.table7(outcomes(spark, sf_dir))

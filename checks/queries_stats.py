@@ -207,7 +207,7 @@ def quantile_check_sql():
 @query("e15_percentiles_by_group", quantile_check_sql(), dbl="median_qt low_bazett high_bazett")
 def _(spark, sf_dir):
     return percentiles(qtc(spark, sf_dir), {"median_qt": ("qt_ms", 0.5), "low_bazett": ("qtc_bazett", 0.025), "high_bazett": ("qtc_bazett", 0.975)},
-                       ["dataset", "sex"], bounded=False)
+                       ["dataset", "sex"])
 
 
 # ---- sweeps -------------------------------------------------------------------------------

@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from isoqt.operators.moments import pair_corr
+from isoqt.operators.prefix import running_total
 from isoqt.operators.quantiles import join_groups
+from isoqt.session import written
 
 
 def running_index(df: DataFrame, by, order: str, name: str = "trace_index", width: int = 1 << 16) -> DataFrame:
@@ -26,31 +28,23 @@ def running_index(df: DataFrame, by, order: str, name: str = "trace_index", widt
             .drop("__range", "__before", "__within"))
 
 
-def average_ranks(df: DataFrame, value: str, by=(), weight: str | None = None,
-                  buckets_per_unit: float = 16.0) -> DataFrame:
+def average_ranks(df: DataFrame, value: str, by=(), weight: str | None = None) -> DataFrame:
     """Average rank (ties share) of every distinct value of a group: by..., value, rank."""
     by = list(by)
     n = F.sum(weight) if weight else F.count(F.lit(1))
-    counts = (df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(n.alias("n"))
-              .withColumn("b", F.floor(F.col(value) * F.lit(buckets_per_unit))))
-    before = Window.partitionBy(*by).orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (counts.groupBy(*by, "b").agg(F.sum("n").alias("bn"))
-               .select(*by, "b", F.coalesce(F.sum("bn").over(before), F.lit(0)).alias("base")))
-    inside = Window.partitionBy(*by, "b").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    return (counts.withColumn("less", F.coalesce(F.sum("n").over(inside), F.lit(0)))
-            .transform(lambda ranked: join_groups(ranked, offsets, [*by, "b"], "inner"))
-            .select(*by, value, (F.col("base") + F.col("less") + (F.col("n") + 1) / 2.0).alias("rank")))
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(n.alias("n"))
+    return running_total(counts, by, value, "n", "base").select(*by, value, (F.col("base") + (F.col("n") + 1) / 2.0).alias("rank"))
 
 
 def spearman(df: DataFrame, x: str, y: str, by=(), min_n: int = 10) -> DataFrame:
     """Spearman rho per group: Pearson r of average ranks.
 
-    Equal pairs are counted into one weighted row first. The two joins are on (group, value), so
-    a hot group spreads by value; AQE splits a value that is still too large.
+    One scan counts equal pairs into weighted rows, which are written once; all else works on them. The two joins
+    are on (group, value), so a hot group spreads by value; AQE splits a value that is still too large.
     """
     by = list(by)
-    pairs = (df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
-             .groupBy(*by, x, y).agg(F.count(F.lit(1)).alias("w")))
+    pairs = written(df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
+                    .groupBy(*by, x, y).agg(F.count(F.lit(1)).alias("w")))
     rank_x = average_ranks(pairs, x, by, "w").withColumnRenamed("rank", "rank_x")
     rank_y = average_ranks(pairs, y, by, "w").withColumnRenamed("rank", "rank_y")
     ranked = join_groups(join_groups(pairs, rank_x, [*by, x], "inner"), rank_y, [*by, y], "inner")

@@ -116,7 +116,7 @@ def residual_reference(df: DataFrame, by=("dataset", "sex"), degree: int = 3, mi
     usable = (F.col("fit_n") >= min_n) & F.col("sex").isNotNull()
     rows = rows.withColumn("residual", F.when(usable, F.col("qt_ms") - _horner(
         "coefficients", degree, F.col("rr_s")))).drop("coefficients", "fit_n")
-    cuts = percentiles(rows, {"residual_cut": ("residual", percentile)}, by, bounded=False)
+    cuts = percentiles(rows, {"residual_cut": ("residual", percentile)}, by)
     joined = attach(rows, cuts, by)
     flag = F.coalesce(F.col("residual") >= F.col("residual_cut"), F.lit(False))
     return joined.withColumn(name, flag).drop("residual", "residual_cut")
@@ -133,7 +133,7 @@ def hr_bin_cutoffs(df: DataFrame, by=("dataset", "sex"), width: int = 5, min_n:
     keys = [*by, "hr_bin"]
     binned = with_hr_bin(df, width).filter(F.col("sex").isNotNull())
     counts = binned.groupBy(*keys).agg(F.count("qt_ms").alias("bin_n")).filter(F.col("bin_n") >= min_n)
-    cuts = percentiles(binned, {"qt_cut": ("qt_ms", percentile)}, keys, bounded=False)
+    cuts = percentiles(binned, {"qt_cut": ("qt_ms", percentile)}, keys)
     return counts.join(cuts, keys)
 
 

@@ -55,7 +55,7 @@ def fill_rate_columns(df: DataFrame) -> DataFrame:
 
 def fix_rr_unit(df: DataFrame, by=("dataset",), rr: str = "rr_s", limit: float = 10.0) -> DataFrame:
     """Groups whose median RR exceeds ``limit`` hold milliseconds: divide them by 1000."""
-    medians = percentiles(df, {"__median": (rr, 0.5)}, by, bounded=False)
+    medians = percentiles(df, {"__median": (rr, 0.5)}, by)
     joined = attach(df, medians, by)
     return joined.withColumn(rr, F.when(F.col("__median") > limit, F.col(rr) / 1000.0)
                              .otherwise(F.col(rr))).drop("__median")

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from isoqt.operators.logistic import fit_all
 from isoqt.operators.moments import chi2_p
 from isoqt.operators.quantiles import join_groups, percentiles
 from isoqt.plans.cells import share, share0
-from isoqt.session import settle
 
 CLASSES = ["concordant_normal", "concordant_prolonged", "new_only_prolonged", "reclassified_normal"]
 
@@ -128,41 +126,25 @@ def outcome_rates(df: DataFrame, outcomes=OUTCOMES, by: str = "concordance") ->
     return out.withColumn("unadjusted_rr", F.try_divide("reclassified_rate", "normal_rate"))
 
 
+COVARIATES = ["is_reclassified", "age", "sex", "hr_bpm"]
+
+
+def odds_fits(df: DataFrame, outcomes=OUTCOMES, by: str = "concordance") -> DataFrame:
+    """Logistic fits of every outcome on reclassification, age, sex and rate, over concordant normal and reclassified rows."""
+    rows = df.filter(F.col(by).isin("concordant_normal", "reclassified_normal")).withColumn("is_reclassified", (F.col(by) == "reclassified_normal").cast("double"))
+    return fit_all(rows, outcomes, COVARIATES)
+
+
 def adjusted_odds(df: DataFrame, outcomes=OUTCOMES, by: str = "concordance", min_n: int = 100, level_z: float = 1.959963984540054) -> DataFrame:
     """Logistic odds ratio of being reclassified, adjusted for age, sex and rate, with CI and p.
 
-    Rows with equal covariates are counted into one weighted row, in one scan for all outcomes;
-    that table is settled, so the iterations of the fits never go back to the data. The fits run
-    on the executors and only their 5x5 sums reach the driver.
+    ``enough`` says whether an outcome has ``min_n`` known rows; smaller ones are computed all the same. Without events,
+    without non-events or with collinear covariates the ratio is null and ``converged`` false.
     """
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import GeneralizedLinearRegression
-
-    spark, outcomes = df.sparkSession, list(outcomes)
-    names = ["is_reclassified", "age", "sex", "hr_bpm"]
-    rows = df.filter(F.col(by).isin("concordant_normal", "reclassified_normal")).select(
-        (F.col(by) == "reclassified_normal").cast("double").alias("is_reclassified"),
-        *[F.col(c).cast("double").alias(c) for c in names[1:]], *[F.col(o).cast("boolean").alias(o) for o in outcomes])
-    known = rows.dropna(subset=names)
-    counted = settle(known.groupBy(*names).agg(
-        *[F.count(o).cast("double").alias(f"{o}__n") for o in outcomes], *[F.count_if(o).alias(f"{o}__e") for o in outcomes]))
-    totals = counted.agg(*[F.sum(f"{o}__{x}").alias(f"{o}__{x}") for o in outcomes for x in "ne"]).first()
-    data = VectorAssembler(inputCols=names, outputCol="features").transform(counted)
-
-    def fit(o):
-        n, events = totals[f"{o}__n"] or 0, totals[f"{o}__e"] or 0
-        if n < min_n or not 0 < events < n:
-            return o, int(n), None, None, None
-        weighted = data.filter(F.col(f"{o}__n") > 0).select(
-            "features", F.col(f"{o}__n").alias("weight"), (F.col(f"{o}__e") / F.col(f"{o}__n")).alias("label"))
-        model = GeneralizedLinearRegression(family="binomial", link="logit", weightCol="weight", maxIter=100, tol=1e-9).fit(weighted)
-        return o, int(n), float(model.coefficients[0]), model.summary.coefficientStandardErrors[0], model.summary.pValues[0]
-
-    with ThreadPoolExecutor(len(outcomes)) as pool:  # the fits are independent jobs
-        fits = list(pool.map(fit, outcomes))
-    coefficients = spark.createDataFrame(fits, "outcome string, n bigint, beta double, se double, p_value double")
-    return coefficients.select("outcome", "n", F.exp("beta").alias("odds_ratio"), F.exp(F.col("beta") - level_z * F.col("se")).alias("ci_low"),
-                               F.exp(F.col("beta") + level_z * F.col("se")).alias("ci_high"), "p_value")
+    beta, se = F.get("beta", F.lit(1)), F.get("se", F.lit(1))
+    return odds_fits(df, outcomes, by).select(
+        "outcome", "n", (F.col("n") >= min_n).alias("enough"), "converged", "steps", F.exp(beta).alias("odds_ratio"), F.exp(beta - level_z * se).alias("ci_low"),
+        F.exp(beta + level_z * se).alias("ci_high"), chi2_p((beta / se) * (beta / se)).alias("p_value"))
 
 
 def table7(df: DataFrame, outcomes=OUTCOMES, by: str = "concordance") -> DataFrame:

@@ -32,7 +32,7 @@ def test_corr_needs_enough_rows(ecg):
 
 def test_percentiles_equal_numpy(ecg, pdf):
     probs = [0, 0.025, 0.5, 0.77, 0.975, 1]
-    got = percentiles(ecg, {f"p{i}": ("qt_ms", p) for i, p in enumerate(probs)}, ["dataset"], bounded=False).toPandas().set_index("dataset")
+    got = percentiles(ecg, {f"p{i}": ("qt_ms", p) for i, p in enumerate(probs)}, ["dataset"]).toPandas().set_index("dataset")
     for ds, group in pdf.groupby("dataset"):
         want = np.percentile(group["qt_ms"].dropna(), [100 * p for p in probs])
         assert np.allclose(got.loc[ds].to_numpy(float), want)
