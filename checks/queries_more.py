@@ -89,12 +89,12 @@ def _(spark, sf_dir):
     return candidates.candidate_comparison(df, ["cand_1", "bazett", "fridericia", "framingham"])
 
 
-@query("e76_candidate_hr_bins", E(f"SELECT {case('hr_bpm', fv.HR_CANDIDATE_BINS)} AS bin, count(*) AS n, round(avg(q_cand_1), 2) AS candidate_mean, round(stddev_pop(q_cand_1), 2) AS candidate_std, round(avg(q_bazett), 2) AS bazett_mean, round(avg(q_fridericia), 2) AS fridericia_mean FROM e WHERE {case('hr_bpm', fv.HR_CANDIDATE_BINS)} IS NOT NULL GROUP BY 1 HAVING count(*) >= 10", extra=CAND))
+@query("e76_candidate_hr_bins", E(f"SELECT {case('hr_bpm', fv.HR_CANDIDATE_BINS)} AS bin, count(*) AS n, count(*) >= 10 AS enough, round(avg(q_cand_1), 2) AS candidate_mean, round(stddev_pop(q_cand_1), 2) AS candidate_std, round(avg(q_bazett), 2) AS bazett_mean, round(avg(q_fridericia), 2) AS fridericia_mean FROM e WHERE {case('hr_bpm', fv.HR_CANDIDATE_BINS)} IS NOT NULL GROUP BY 1", extra=CAND))
 def _(spark, sf_dir):
     return candidates.candidate_hr_bins(cataloged(spark, sf_dir)[1], "cand_1")
 
 
-@query("e77_candidate_by_dataset", E(f"SELECT dataset, n, round(rc, 4) AS r_candidate, round(rb, 4) AS r_bazett, round({imp('abs(rb)', 'abs(rc)', '0.0001')}, 1) AS improvement FROM (SELECT dataset, count(*) AS n, corr(q_cand_1, hr_bpm) AS rc, corr(q_bazett, hr_bpm) AS rb FROM e GROUP BY 1 HAVING count(*) >= 100)", extra=CAND))
+@query("e77_candidate_by_dataset", E(f"SELECT dataset, n, enough, round(rc, 4) AS r_candidate, round(rb, 4) AS r_bazett, round({imp('abs(rb)', 'abs(rc)', '0.0001')}, 1) AS improvement FROM (SELECT dataset, count(*) AS n, count(*) >= 100 AND count(q_cand_1) >= 50 AS enough, corr(q_cand_1, hr_bpm) AS rc, corr(q_bazett, hr_bpm) AS rb FROM e GROUP BY 1)", extra=CAND))
 def _(spark, sf_dir):
     return candidates.candidate_by_dataset(cataloged(spark, sf_dir)[1], "cand_1")
 

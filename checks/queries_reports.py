@@ -100,18 +100,18 @@ ZX = f"{ZONE} AS hr_zone, q_bazett - q_inverse_rr AS bias, coalesce(q_bazett > {
 _SOME = "n_norm > 10"
 
 
-@query("e35_hr_zone_report", E(f"""SELECT hr_zone, n, hr_mean, hr_std, r_bazett, r_inverse_rr, r_fridericia, {imp('abs(r_bazett)', 'abs(r_inverse_rr)')} AS improvement, n_norm,
+@query("e35_hr_zone_report", E(f"""SELECT hr_zone, n, enough, hr_mean, hr_std, r_bazett, r_inverse_rr, r_fridericia, {imp('abs(r_bazett)', 'abs(r_inverse_rr)')} AS improvement, n_norm,
  CASE WHEN {_SOME} THEN b1 END AS fp_bazett, CASE WHEN {_SOME} THEN k1 END AS fp_inverse_rr, CASE WHEN {_SOME} THEN {pct('b1', 'n_norm')} END AS fp_rate_bazett, CASE WHEN {_SOME} THEN {pct('k1', 'n_norm')} END AS fp_rate_inverse_rr,
- CASE WHEN {_SOME} THEN {inf_div('b1', 'k1')} END AS fp_reduction FROM (SELECT hr_zone, count(*) AS n, avg(hr_bpm) AS hr_mean, stddev_samp(hr_bpm) AS hr_std, corr(q_bazett, hr_bpm) AS r_bazett, corr(q_inverse_rr, hr_bpm) AS r_inverse_rr,
+ CASE WHEN {_SOME} THEN {inf_div('b1', 'k1')} END AS fp_reduction FROM (SELECT hr_zone, count(*) AS n, count(*) >= 100 AS enough, avg(hr_bpm) AS hr_mean, stddev_samp(hr_bpm) AS hr_std, corr(q_bazett, hr_bpm) AS r_bazett, corr(q_inverse_rr, hr_bpm) AS r_inverse_rr,
  corr(q_fridericia, hr_bpm) AS r_fridericia, count(*) FILTER (WHERE superclass = 'NORM') AS n_norm, count(*) FILTER (WHERE superclass = 'NORM' AND fb) AS b1, count(*) FILTER (WHERE superclass = 'NORM' AND fk) AS k1
- FROM e WHERE hr_zone IS NOT NULL GROUP BY 1 HAVING count(*) >= 100)""", extra=ZX), dbl="hr_mean hr_std r_bazett r_inverse_rr r_fridericia improvement fp_rate_bazett fp_rate_inverse_rr fp_reduction")
+ FROM e WHERE hr_zone IS NOT NULL GROUP BY 1)""", extra=ZX), dbl="hr_mean hr_std r_bazett r_inverse_rr r_fridericia improvement fp_rate_bazett fp_rate_inverse_rr fp_reduction")
 def _(spark, sf_dir):
     return strata.hr_zone_report(enriched(spark, sf_dir))
 
 
-@query("e36_bias_report", E(f"""SELECT hr_zone, count(*) AS n, avg(hr_bpm) AS hr_mean, avg(bias) AS bias_mean, stddev_samp(bias) AS bias_std, quantile_cont(bias, 0.5) AS bias_median, quantile_cont(bias, 0.05) AS bias_p5,
+@query("e36_bias_report", E(f"""SELECT hr_zone, count(*) AS n, count(*) >= 100 AS enough, avg(hr_bpm) AS hr_mean, avg(bias) AS bias_mean, stddev_samp(bias) AS bias_std, quantile_cont(bias, 0.5) AS bias_median, quantile_cont(bias, 0.05) AS bias_p5,
  quantile_cont(bias, 0.95) AS bias_p95, {pct('count(*) FILTER (WHERE abs(bias) > 20)', 'count(bias)')} AS pct_bias_gt_20ms, {pct('count(*) FILTER (WHERE abs(bias) > 40)', 'count(bias)')} AS pct_bias_gt_40ms,
- {pct('count(*) FILTER (WHERE bias > 0)', 'count(bias)')} AS pct_overcorrection, {pct('count(*) FILTER (WHERE bias < 0)', 'count(bias)')} AS pct_undercorrection FROM e WHERE hr_zone IS NOT NULL GROUP BY 1 HAVING count(*) >= 100""", extra=ZX),
+ {pct('count(*) FILTER (WHERE bias > 0)', 'count(bias)')} AS pct_overcorrection, {pct('count(*) FILTER (WHERE bias < 0)', 'count(bias)')} AS pct_undercorrection FROM e WHERE hr_zone IS NOT NULL GROUP BY 1""", extra=ZX),
        dbl="hr_mean bias_mean bias_std bias_median bias_p5 bias_p95 pct_bias_gt_20ms pct_bias_gt_40ms pct_overcorrection pct_undercorrection")
 def _(spark, sf_dir):
     return strata.bias_report(enriched(spark, sf_dir))
@@ -160,22 +160,22 @@ def _(spark, sf_dir):
 
 _TR = "CASE WHEN coalesce(NOT b, FALSE) THEN 'GREEN' WHEN coalesce(b AND NOT k, FALSE) THEN 'YELLOW' ELSE 'RED' END"
 _TAGG = "count(*) AS n, " + ", ".join(f"count(*) FILTER (WHERE {_TR} = '{t}') AS {t.lower()}" for t in ("GREEN", "YELLOW", "RED"))
-_TOUT = "n, green, yellow, red, " + ", ".join(f"{pct(c, 'n')} AS {c}_pct" for c in ("green", "yellow", "red")) + f", yellow + red AS base_positive, {pct0('yellow', '(yellow + red)')} AS urgent_reduction_pct"
+_TOUT = "n, n >= 10 AS enough, green, yellow, red, " + ", ".join(f"{pct(c, 'n')} AS {c}_pct" for c in ("green", "yellow", "red")) + f", yellow + red AS base_positive, {pct0('yellow', '(yellow + red)')} AS urgent_reduction_pct"
 _TDBL = "green_pct yellow_pct red_pct urgent_reduction_pct"
 
 
-@query("e39_triage_by_zone", E(f"SELECT zone, {_TOUT} FROM (SELECT hr_zone AS zone, {_TAGG} FROM e WHERE superclass = 'NORM' AND hr_zone IS NOT NULL GROUP BY 1 HAVING count(*) >= 10 UNION ALL SELECT 'OVERALL', {_TAGG} FROM e WHERE superclass = 'NORM')", extra=ZX), dbl=_TDBL)
+@query("e39_triage_by_zone", E(f"SELECT zone, {_TOUT} FROM (SELECT hr_zone AS zone, {_TAGG} FROM e WHERE superclass = 'NORM' AND hr_zone IS NOT NULL GROUP BY 1 UNION ALL SELECT 'OVERALL', {_TAGG} FROM e WHERE superclass = 'NORM')", extra=ZX), dbl=_TDBL)
 def _(spark, sf_dir):
     return extremes.triage_by_zone(enriched(spark, sf_dir))
 
 
-@query("e40_triage_by_population", E(f"SELECT population, {_TOUT} FROM (" + union(f"SELECT '{p}' AS population, {_TAGG} FROM e WHERE {w} HAVING count(*) >= 10" for p, w in POP.items()) + ")", extra=ZX), dbl=_TDBL)
+@query("e40_triage_by_population", E(f"SELECT population, {_TOUT} FROM (" + union(f"SELECT '{p}' AS population, {_TAGG} FROM e WHERE {w} HAVING count(*) > 0" for p, w in POP.items()) + ")", extra=ZX), dbl=_TDBL)
 def _(spark, sf_dir):
     return extremes.triage_by_population(enriched(spark, sf_dir))
 
 
-@query("e41_nns", E(f"""SELECT zone, n, fp_bazett, fp_inverse_rr, fp_bazett - fp_inverse_rr AS fp_avoided, {inf_div('n', '(fp_bazett - fp_inverse_rr)')} AS nns, {pct('fp_bazett', 'n')} AS fp_rate_bazett, {pct('fp_inverse_rr', 'n')} AS fp_rate_inverse_rr FROM (
- SELECT hr_zone AS zone, count(*) AS n, count(*) FILTER (WHERE fb) AS fp_bazett, count(*) FILTER (WHERE fk) AS fp_inverse_rr FROM e WHERE superclass = 'NORM' AND hr_zone IS NOT NULL GROUP BY 1 HAVING count(*) >= 10
+@query("e41_nns", E(f"""SELECT zone, n, n >= 10 AS enough, fp_bazett, fp_inverse_rr, fp_bazett - fp_inverse_rr AS fp_avoided, {inf_div('n', '(fp_bazett - fp_inverse_rr)')} AS nns, {pct('fp_bazett', 'n')} AS fp_rate_bazett, {pct('fp_inverse_rr', 'n')} AS fp_rate_inverse_rr FROM (
+ SELECT hr_zone AS zone, count(*) AS n, count(*) FILTER (WHERE fb) AS fp_bazett, count(*) FILTER (WHERE fk) AS fp_inverse_rr FROM e WHERE superclass = 'NORM' AND hr_zone IS NOT NULL GROUP BY 1
  UNION ALL SELECT 'OVERALL', count(*), count(*) FILTER (WHERE fb), count(*) FILTER (WHERE fk) FROM e WHERE superclass = 'NORM')""", extra=ZX), dbl="nns fp_rate_bazett fp_rate_inverse_rr")
 def _(spark, sf_dir):
     return extremes.nns(enriched(spark, sf_dir))
@@ -259,7 +259,7 @@ def _rng(c, ranges):
     return "CASE " + " ".join(f"WHEN {c} >= {lo} AND {c} < {hi} THEN '{n}'" for n, (lo, hi) in ranges.items()) + " END"
 
 
-@query("e18_reclass_by", E(f"SELECT {MT} FROM ({strata_sql([('hr', _rng('hr_bpm', fv.HR_RANGES)), ('sex', SEX), ('age', _rng('age', fv.AGE_RANGES))], f'count(*) AS n, {MATRIX}')}) WHERE kind = 'hr' OR n >= 100", extra=CLS))
+@query("e18_reclass_by", E(f"SELECT {MT} FROM ({strata_sql([('hr', _rng('hr_bpm', fv.HR_RANGES)), ('sex', SEX), ('age', _rng('age', fv.AGE_RANGES))], f'count(*) AS n, count(*) >= 100 AS enough, {MATRIX}')})", extra=CLS))
 def _(spark, sf_dir):
     return clinical.reclass_by(classed(spark, sf_dir))
 
@@ -363,7 +363,7 @@ def _(spark, sf_dir):
     return concordance.concordance_by(diagnosed(spark, sf_dir))
 
 
-@query("e49_triage_safety", E(f"SELECT kind, label, n, green, {pct('green', 'n')} AS green_pct, yellow, {pct('yellow', 'n')} AS yellow_pct, red, {pct('red', 'n')} AS red_pct, {pct('(yellow + red)', 'n')} AS captured_pct, 100e0 - {pct('(yellow + red)', 'n')} AS missed_pct FROM (" + strata_sql(
+@query("e49_triage_safety", E(f"SELECT kind, label, n, n >= 5 AS enough, green, {pct('green', 'n')} AS green_pct, yellow, {pct('yellow', 'n')} AS yellow_pct, red, {pct('red', 'n')} AS red_pct, {pct('(yellow + red)', 'n')} AS captured_pct, 100e0 - {pct('(yellow + red)', 'n')} AS missed_pct FROM (" + strata_sql(
     [("hr", HRW), ("overall", "'OVERALL'")], "count(*) AS n, " + ", ".join(f"count(*) FILTER (WHERE triage = '{t}') AS {t.lower()}" for t in ("GREEN", "YELLOW", "RED")), "td") + ") WHERE kind = 'overall' OR n >= 5", extra=_DXX, more=_DXC + ", td AS (SELECT * FROM dx WHERE has_dx)"),
        dbl="green_pct yellow_pct red_pct captured_pct missed_pct")
 def _(spark, sf_dir):
@@ -378,8 +378,8 @@ def _(spark, sf_dir):
 SEV = case("(q_inverse_rr - thr)", fv.SEVERITY_BINS)
 
 
-@query("e50_severity_report", E(f"SELECT severity, n, n_true, {pct('n_true', 'n')} AS prevalence, {pct('green', 'n')} AS green_pct, {pct('yellow', 'n')} AS yellow_pct, {pct('red', 'n')} AS red_pct, {pct('(true_yellow + true_red)', 'n_true')} AS true_captured_pct FROM (SELECT {SEV} AS severity, count(*) AS n, {_TC}, " +
-                                ", ".join(f"count(*) FILTER (WHERE triage = '{t}') AS {t.lower()}" for t in ("GREEN", "YELLOW", "RED")) + f" FROM dx WHERE {SEV} IS NOT NULL GROUP BY 1) WHERE n >= 50", extra=_DXX, more=_DXC), dbl="prevalence green_pct yellow_pct red_pct true_captured_pct")
+@query("e50_severity_report", E(f"SELECT severity, n, n >= 50 AS enough, n_true, {pct('n_true', 'n')} AS prevalence, {pct('green', 'n')} AS green_pct, {pct('yellow', 'n')} AS yellow_pct, {pct('red', 'n')} AS red_pct, {pct('(true_yellow + true_red)', 'n_true')} AS true_captured_pct FROM (SELECT {SEV} AS severity, count(*) AS n, {_TC}, " +
+                                ", ".join(f"count(*) FILTER (WHERE triage = '{t}') AS {t.lower()}" for t in ("GREEN", "YELLOW", "RED")) + f" FROM dx WHERE {SEV} IS NOT NULL GROUP BY 1)", extra=_DXX, more=_DXC), dbl="prevalence green_pct yellow_pct red_pct true_captured_pct")
 def _(spark, sf_dir):
     return concordance.severity_report(diagnosed(spark, sf_dir))
 
@@ -414,7 +414,7 @@ def _(spark, sf_dir):
     return impact.nnt(norm_rows(spark, sf_dir))
 
 
-_NB = f"SELECT kind, label, {_NO} FROM ({strata_sql([('hr', case('hr_bpm', fv.HR_BINS_COUNTED)), ('age', case('age', fv.AGE_BINS_COUNTED)), ('dataset', 'dataset')], _NA, 'nr', 'HAVING count(*) >= 100')})"
+_NB = f"SELECT kind, label, n >= 100 AS enough, {_NO} FROM ({strata_sql([('hr', case('hr_bpm', fv.HR_BINS_COUNTED)), ('age', case('age', fv.AGE_BINS_COUNTED)), ('dataset', 'dataset')], _NA, 'nr')})"
 
 
 @query("e53_nnt_by", E(_NB, extra=_DXX, more=_NM), dbl=_ND)
@@ -422,7 +422,7 @@ def _(spark, sf_dir):
     return impact.nnt_by(norm_rows(spark, sf_dir))
 
 
-@query("e53_best_stratum", E(f"SELECT kind, arg_min(label, (CASE WHEN nnt < {INF} THEN round(nnt, 9) ELSE 9999e0 END, label)) AS label, arg_min(nnt, (CASE WHEN nnt < {INF} THEN round(nnt, 9) ELSE 9999e0 END, label)) AS nnt FROM ({_NB}) WHERE kind IN ('hr', 'age') GROUP BY kind", extra=_DXX, more=_NM), dbl="nnt")
+@query("e53_best_stratum", E(f"SELECT kind, arg_min(label, (CASE WHEN nnt < {INF} THEN round(nnt, 9) ELSE 9999e0 END, label)) AS label, arg_min(nnt, (CASE WHEN nnt < {INF} THEN round(nnt, 9) ELSE 9999e0 END, label)) AS nnt FROM ({_NB}) WHERE enough AND kind IN ('hr', 'age') GROUP BY kind", extra=_DXX, more=_NM), dbl="nnt")
 def _(spark, sf_dir):
     return impact.best_stratum(impact.nnt_by(norm_rows(spark, sf_dir)))
 
@@ -483,7 +483,7 @@ def _(spark, sf_dir):
 _DB = strata_sql([("sex", SEX), ("age", AGE), ("hr", HR3), ("sex_age", f"({SEX}) || '_' || ({AGE})"), ("sex_hr", f"({SEX}) || '_' || ({HR3})")],
                  "count(*) AS n, CASE WHEN count(q_inverse_rr) >= 20 THEN abs(corr(q_inverse_rr, hr_bpm)) END AS abs_r_inverse_rr, CASE WHEN count(q_bazett) >= 20 THEN abs(corr(q_bazett, hr_bpm)) END AS abs_r_bazett, avg(q_inverse_rr) AS mean_inverse_rr, avg(q_bazett) AS mean_bazett, avg(age) AS mean_age, avg(hr_bpm) AS mean_hr, "
                  f"{pct('count(*) FILTER (WHERE sex = 0)', 'count(*)')} AS pct_male, min(hr_bpm) AS min_hr, max(hr_bpm) AS max_hr")
-_DBW = f"SELECT * FROM ({_DB}) WHERE n >= CASE WHEN kind IN ('sex_age', 'sex_hr') THEN 50 ELSE 100 END"
+_DBW = f"SELECT *, n >= CASE WHEN kind IN ('sex_age', 'sex_hr') THEN 50 ELSE 100 END AS enough FROM ({_DB})"
 
 
 @query("e58_demographic_bias", E(_DBW), dbl="abs_r_inverse_rr abs_r_bazett mean_inverse_rr mean_bazett mean_age mean_hr pct_male min_hr max_hr")
@@ -491,13 +491,13 @@ def _(spark, sf_dir):
     return strata.demographic_bias(qtc(spark, sf_dir))
 
 
-@query("e58_bias_range", E(f"SELECT kind, max(abs_r_inverse_rr) AS max_abs_r, min(abs_r_inverse_rr) AS min_abs_r, max(abs_r_inverse_rr) - min(abs_r_inverse_rr) AS range_abs_r, max(abs_r_inverse_rr) - min(abs_r_inverse_rr) > 0.02 AS bias_detected, arg_max(label, abs_r_inverse_rr) AS worse_group FROM ({_DBW}) GROUP BY kind"), dbl="max_abs_r min_abs_r range_abs_r")
+@query("e58_bias_range", E(f"SELECT kind, max(abs_r_inverse_rr) AS max_abs_r, min(abs_r_inverse_rr) AS min_abs_r, max(abs_r_inverse_rr) - min(abs_r_inverse_rr) AS range_abs_r, max(abs_r_inverse_rr) - min(abs_r_inverse_rr) > 0.02 AS bias_detected, arg_max(label, abs_r_inverse_rr) AS worse_group FROM ({_DBW}) WHERE enough GROUP BY kind"), dbl="max_abs_r min_abs_r range_abs_r")
 def _(spark, sf_dir):
     return strata.bias_range(strata.demographic_bias(qtc(spark, sf_dir)))
 
 
-_SP = each(FORMULAS, f"""SELECT hr_stratum, count(*) AS n_rows, min(hr_bpm) AS hr_min, max(hr_bpm) AS hr_max, '{{f}}' AS formula, count(q_{{f}}) AS n, corr(q_{{f}}, hr_bpm) AS r, avg(q_{{f}}) AS mean, stddev_pop(q_{{f}}) AS std, quantile_cont(q_{{f}}, 0.5) AS median, quantile_cont(q_{{f}}, 0.05) AS p5, quantile_cont(q_{{f}}, 0.95) AS p95,
- {', '.join(f"{pct(f'count(*) FILTER (WHERE q_{{f}} >= {t})', 'count(q_{f})')} AS pct_ge_{t}" for t in (450, 470, 500))} FROM e WHERE hr_stratum IS NOT NULL GROUP BY 1 HAVING count(*) >= 50""")
+_SP = each(FORMULAS, f"""SELECT hr_stratum, count(*) AS n_rows, count(*) >= 50 AS enough, min(hr_bpm) AS hr_min, max(hr_bpm) AS hr_max, '{{f}}' AS formula, count(q_{{f}}) AS n, corr(q_{{f}}, hr_bpm) AS r, avg(q_{{f}}) AS mean, stddev_pop(q_{{f}}) AS std, quantile_cont(q_{{f}}, 0.5) AS median, quantile_cont(q_{{f}}, 0.05) AS p5, quantile_cont(q_{{f}}, 0.95) AS p95,
+ {', '.join(f"{pct(f'count(*) FILTER (WHERE q_{{f}} >= {t})', 'count(q_{f})')} AS pct_ge_{t}" for t in (450, 470, 500))} FROM e WHERE hr_stratum IS NOT NULL GROUP BY 1""")
 
 
 @query("e59_stratum_profile", E(_SP, extra=f"{STRATUM} AS hr_stratum"), dbl="hr_min hr_max r mean std median p5 p95 pct_ge_450 pct_ge_470 pct_ge_500")
@@ -511,7 +511,7 @@ def two_way(t=450):
 
 
 _PARTS = ["both_normal", "both_prolonged", "new_only", "base_only"]
-_SC = f"SELECT *, {', '.join(f'{pct(p, chr(110))} AS pct_{p}' for p in _PARTS)}, {pct('(both_normal + both_prolonged)', 'n')} AS concordance_rate, {pct('(both_prolonged + new_only)', 'n')} AS new_prolongation_rate, {pct('(both_prolonged + base_only)', 'n')} AS base_prolongation_rate FROM (SELECT hr_stratum, count(*) AS n, {two_way()} FROM e WHERE hr_stratum IS NOT NULL GROUP BY 1) WHERE n >= 50"
+_SC = f"SELECT *, n >= 50 AS enough, {', '.join(f'{pct(p, chr(110))} AS pct_{p}' for p in _PARTS)}, {pct('(both_normal + both_prolonged)', 'n')} AS concordance_rate, {pct('(both_prolonged + new_only)', 'n')} AS new_prolongation_rate, {pct('(both_prolonged + base_only)', 'n')} AS base_prolongation_rate FROM (SELECT hr_stratum, count(*) AS n, {two_way()} FROM e WHERE hr_stratum IS NOT NULL GROUP BY 1)"
 
 
 @query("e60_stratum_concordance", E(_SC, extra=f"{STRATUM} AS hr_stratum"), dbl=" ".join(f"pct_{p}" for p in _PARTS) + " concordance_rate new_prolongation_rate base_prolongation_rate")
@@ -519,15 +519,15 @@ def _(spark, sf_dir):
     return strata.stratum_concordance(qtc(spark, sf_dir))
 
 
-@query("e61_extreme_cases", E(union(f"""SELECT '{n}' AS label, count(*) AS n, min(hr_bpm) AS min_hr, max(hr_bpm) AS max_hr, abs(corr(q_inverse_rr, hr_bpm)) AS abs_r_inverse_rr, abs(corr(q_bazett, hr_bpm)) AS abs_r_bazett, avg(q_inverse_rr) AS mean_inverse_rr, avg(q_bazett) AS mean_bazett,
- {pct('count(*) FILTER (WHERE q_inverse_rr >= 450)', 'count(*)')} AS pct_ge_450_inverse_rr, {pct('count(*) FILTER (WHERE q_bazett >= 450)', 'count(*)')} AS pct_ge_450_bazett FROM e WHERE {w} HAVING count(*) >= 20""" for n, w in (("HR_below_50", "hr_bpm < 50"), ("HR_above_120", "hr_bpm > 120")))),
+@query("e61_extreme_cases", E(union(f"""SELECT '{n}' AS label, count(*) AS n, count(*) >= 20 AS enough, min(hr_bpm) AS min_hr, max(hr_bpm) AS max_hr, abs(corr(q_inverse_rr, hr_bpm)) AS abs_r_inverse_rr, abs(corr(q_bazett, hr_bpm)) AS abs_r_bazett, avg(q_inverse_rr) AS mean_inverse_rr, avg(q_bazett) AS mean_bazett,
+ {pct('count(*) FILTER (WHERE q_inverse_rr >= 450)', 'count(*)')} AS pct_ge_450_inverse_rr, {pct('count(*) FILTER (WHERE q_bazett >= 450)', 'count(*)')} AS pct_ge_450_bazett FROM e WHERE {w} HAVING count(*) > 0""" for n, w in (("HR_below_50", "hr_bpm < 50"), ("HR_above_120", "hr_bpm > 120")))),
        dbl="min_hr max_hr abs_r_inverse_rr abs_r_bazett mean_inverse_rr mean_bazett pct_ge_450_inverse_rr pct_ge_450_bazett")
 def _(spark, sf_dir):
     return strata.extreme_cases(qtc(spark, sf_dir), 50, 120)
 
 
 @query("e61_extreme_verdict", E(f"""SELECT brady_ok, tachy_ok, brady_fn_ok, brady_ok AND tachy_ok AND brady_fn_ok AS passes FROM (SELECT count(*) FILTER (WHERE k > b + 0.02 AND starts_with(hr_stratum, 'Brady')) = 0 AS brady_ok, count(*) FILTER (WHERE k > b + 0.02 AND starts_with(hr_stratum, 'Tachy')) = 0 AS tachy_ok FROM
- (SELECT hr_stratum, max(CASE WHEN formula = 'inverse_rr' THEN abs(r) END) AS k, max(CASE WHEN formula = 'bazett' THEN abs(r) END) AS b FROM ({_SP}) GROUP BY 1)), (SELECT count(*) FILTER (WHERE hr_stratum = 'Brady_severe' AND pct_base_only > 10) = 0 AS brady_fn_ok FROM ({_SC}))""", extra=f"{STRATUM} AS hr_stratum"))
+ (SELECT hr_stratum, max(CASE WHEN formula = 'inverse_rr' THEN abs(r) END) AS k, max(CASE WHEN formula = 'bazett' THEN abs(r) END) AS b FROM ({_SP}) WHERE enough GROUP BY 1)), (SELECT count(*) FILTER (WHERE enough AND hr_stratum = 'Brady_severe' AND pct_base_only > 10) = 0 AS brady_fn_ok FROM ({_SC}))""", extra=f"{STRATUM} AS hr_stratum"))
 def _(spark, sf_dir):
     df = qtc(spark, sf_dir)
     return strata.extreme_verdict(strata.stratum_profile(df), strata.stratum_concordance(df))
@@ -539,7 +539,7 @@ def _(spark, sf_dir):
     return strata.threshold_compat(qtc(spark, sf_dir))
 
 
-@query("e70_hr_scenarios", E(union(f"SELECT '{n}' AS scenario, count(*) AS n, avg(q_inverse_rr) AS new_mean, avg(q_bazett) AS base_mean, avg(q_inverse_rr) - avg(q_bazett) AS difference FROM e WHERE {w} HAVING count(*) > 100"
+@query("e70_hr_scenarios", E(union(f"SELECT '{n}' AS scenario, count(*) AS n, count(*) > 100 AS enough, avg(q_inverse_rr) AS new_mean, avg(q_bazett) AS base_mean, avg(q_inverse_rr) - avg(q_bazett) AS difference FROM e WHERE {w} HAVING count(*) > 0"
                                    for n, w in (("resting_hr_60_80", "hr_bpm BETWEEN 60 AND 80"), ("bradycardia_hr_below_50", "hr_bpm < 50"), ("tachycardia_hr_above_100", "hr_bpm > 100"), ("post_exercise_hr_120_150", "hr_bpm BETWEEN 120 AND 150")))), dbl="new_mean base_mean difference")
 def _(spark, sf_dir):
     return strata.hr_scenarios(qtc(spark, sf_dir))
@@ -588,9 +588,9 @@ def _(spark, sf_dir):
     return safety.outcomes_by_patient(patient_rows(spark, sf_dir))
 
 
-_RB = (f"SELECT concordance, n_records, n_patients, n_any_arrhythmia, n_severe_arrhythmia, n_deceased, n_any_severe_event, {pct('n_any_arrhythmia', 'n_records')} AS pct_any_arrhythmia, {pct('n_severe_arrhythmia', 'n_records')} AS pct_severe_arrhythmia, {pct('n_deceased', 'n_records')} AS pct_deceased, {pct('n_any_severe_event', 'n_records')} AS pct_any_severe_event, "
+_RB = (f"SELECT concordance, n_records, n_records >= 10 AS enough, n_patients, n_any_arrhythmia, n_severe_arrhythmia, n_deceased, n_any_severe_event, {pct('n_any_arrhythmia', 'n_records')} AS pct_any_arrhythmia, {pct('n_severe_arrhythmia', 'n_records')} AS pct_severe_arrhythmia, {pct('n_deceased', 'n_records')} AS pct_deceased, {pct('n_any_severe_event', 'n_records')} AS pct_any_severe_event, "
        f"mean_hr, mean_age, {pct('tachy', 'n_records')} AS pct_tachycardia, mean_qtc_inverse_rr, mean_qtc_bazett FROM (SELECT concordance, count(*) AS n_records, count(DISTINCT subject_id) AS n_patients, count(*) FILTER (WHERE any_arrhythmia) AS n_any_arrhythmia, count(*) FILTER (WHERE severe) AS n_severe_arrhythmia, count(*) FILTER (WHERE deceased) AS n_deceased, "
-       "count(*) FILTER (WHERE severe OR deceased) AS n_any_severe_event, avg(hr_bpm) AS mean_hr, avg(age) AS mean_age, count(*) FILTER (WHERE hr_bpm >= 100) AS tachy, avg(q_inverse_rr) AS mean_qtc_inverse_rr, avg(q_bazett) AS mean_qtc_bazett FROM o WHERE concordance <> 'unknown' GROUP BY 1 HAVING count(*) >= 10)")
+       "count(*) FILTER (WHERE severe OR deceased) AS n_any_severe_event, avg(hr_bpm) AS mean_hr, avg(age) AS mean_age, count(*) FILTER (WHERE hr_bpm >= 100) AS tachy, avg(q_inverse_rr) AS mean_qtc_inverse_rr, avg(q_bazett) AS mean_qtc_bazett FROM o WHERE concordance <> 'unknown' GROUP BY 1)")
 
 
 @query("e63_outcomes_by_record", E(_RB, extra=_FX, more=_OM), dbl="pct_any_arrhythmia pct_severe_arrhythmia pct_deceased pct_any_severe_event mean_hr mean_age pct_tachycardia mean_qtc_inverse_rr mean_qtc_bazett")
@@ -630,7 +630,7 @@ def _(spark, sf_dir):
     return safety.safety(safety.outcomes_by_record(outcomes(spark, sf_dir)), "record")
 
 
-_CP = f"SELECT concordance, count(*) AS n, avg(hr_bpm) AS hr_mean, stddev_samp(hr_bpm) AS hr_std, quantile_cont(hr_bpm, 0.5) AS hr_median, {pct('count(*) FILTER (WHERE hr_bpm >= 100)', 'count(*)')} AS pct_tachycardia, {pct('count(*) FILTER (WHERE hr_bpm < 60)', 'count(*)')} AS pct_bradycardia, avg(q_inverse_rr) AS qtc_inverse_rr_mean, avg(q_bazett) AS qtc_bazett_mean, avg(qt_ms) AS qt_mean FROM o WHERE concordance <> 'unknown' GROUP BY 1 HAVING count(*) >= 10"
+_CP = f"SELECT concordance, count(*) AS n, count(*) >= 10 AS enough, avg(hr_bpm) AS hr_mean, stddev_samp(hr_bpm) AS hr_std, quantile_cont(hr_bpm, 0.5) AS hr_median, {pct('count(*) FILTER (WHERE hr_bpm >= 100)', 'count(*)')} AS pct_tachycardia, {pct('count(*) FILTER (WHERE hr_bpm < 60)', 'count(*)')} AS pct_bradycardia, avg(q_inverse_rr) AS qtc_inverse_rr_mean, avg(q_bazett) AS qtc_bazett_mean, avg(qt_ms) AS qt_mean FROM o WHERE concordance <> 'unknown' GROUP BY 1"
 
 
 @query("e65_class_profile", E(_CP, extra=_FX, more=_OM), dbl="hr_mean hr_std hr_median pct_tachycardia pct_bradycardia qtc_inverse_rr_mean qtc_bazett_mean qt_mean")

@@ -73,7 +73,7 @@ _STRATA = [("hr", case("hr_bpm", fv.HR_VALIDATION_BINS)), ("sex", SEX), ("age",
 
 
 @query("e05_stratified_metrics", E(each(FORMULAS, strata_sql(
-    _STRATA, "'{f}' AS formula, count(q_{f}) AS n, avg(q_{f}) AS mean, stddev_pop(q_{f}) AS std, corr(q_{f}, hr_bpm) AS r", having="HAVING count(q_{f}) >= 10"))),
+    _STRATA, "'{f}' AS formula, count(q_{f}) AS n, avg(q_{f}) AS mean, stddev_pop(q_{f}) AS std, CASE WHEN count(q_{f}) >= 10 THEN corr(q_{f}, hr_bpm) END AS r, count(q_{f}) >= 10 AS enough"))),
        dbl="mean std r")
 def _(spark, sf_dir):
     return strata.stratified_metrics(qtc(spark, sf_dir))

@@ -14,7 +14,7 @@ from isoqt.operators.moments import pair_corr, pair_mean_y, pair_n, pair_std_y,
 from isoqt.operators.quantiles import join_groups, percentiles
 from isoqt.operators.ranks import spearman
 from isoqt.operators.reference import attach
-from isoqt.plans.cells import add_up, share, stratify
+from isoqt.plans.cells import add_up, share, stratify, with_enough
 from isoqt.plans.strata import per_formula_rows
 
 # Standard corrections every catalog ends with (fixed values): name, approach, equation, year.
@@ -151,15 +151,15 @@ def candidate_hr_bins(df: DataFrame, candidate: str, min_n: int = 10) -> DataFra
     out = rows.groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(f"qtc_{candidate}"), 2).alias("candidate_mean"),
                                   F.round(F.stddev_pop(f"qtc_{candidate}"), 2).alias("candidate_std"), F.round(F.avg("qtc_bazett"), 2).alias("bazett_mean"),
                                   F.round(F.avg("qtc_fridericia"), 2).alias("fridericia_mean"))
-    return out.filter(F.col("n") >= min_n)
+    return with_enough(out, min_n)
 
 
 def candidate_by_dataset(df: DataFrame, candidate: str, min_n: int = 100, min_valid: int = 50) -> DataFrame:
     """r of a candidate and the base formula per dataset, and the improvement."""
     ok = F.col(f"qtc_{candidate}").isNotNull()
     wide = df.groupBy("dataset").agg(F.count(F.lit(1)).alias("n"), *pair_sums(f"qtc_{candidate}", "hr_bpm", "cand"), *pair_sums("qtc_bazett", "hr_bpm", "base", ok))
-    return wide.filter((F.col("n") >= min_n) & (pair_n("cand") >= min_valid)).select(
-        "dataset", "n", F.round(pair_corr("cand"), 4).alias("r_candidate"), F.round(pair_corr("base"), 4).alias("r_bazett"),
+    return wide.withColumn("enough", (F.col("n") >= min_n) & (pair_n("cand") >= min_valid)).select(
+        "dataset", "n", "enough", F.round(pair_corr("cand"), 4).alias("r_candidate"), F.round(pair_corr("base"), 4).alias("r_bazett"),
         F.round(improvement(F.abs(pair_corr("base")), F.abs(pair_corr("cand")), 0.0001), 1).alias("improvement"))
 
 

@@ -39,6 +39,11 @@ def stratify(df: DataFrame, keys: dict[str, Column], strata: list[tuple[str, Col
     return add_up(rows.drop("__s"), ["kind", "label"], keys)
 
 
+def with_enough(df: DataFrame, least, n: str = "n") -> DataFrame:
+    """Every group stays; ``enough`` says whether it holds at least ``least`` rows (a number or a column)."""
+    return df.withColumn("enough", F.col(n) >= least)
+
+
 def label_if(flag: str, label: str) -> Column:
     """The label where a boolean key holds, else null (outside)."""
     return F.when(F.col(flag), label)

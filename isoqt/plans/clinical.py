@@ -11,7 +11,7 @@ from isoqt.functions.formulas import FORMULAS
 from isoqt.operators.confusion import (confusion_counts, confusion_metrics, matrix_counts, matrix_totals,
                                        per_formula, ratio)
 from isoqt.operators.moments import pair_corr, pair_sums
-from isoqt.plans.cells import add_up, or_inf, share0, stratify
+from isoqt.plans.cells import add_up, or_inf, share0, stratify, with_enough
 from isoqt.plans.strata import sex_label
 
 
@@ -21,12 +21,12 @@ def with_classes(df: DataFrame, formulas=FORMULAS) -> DataFrame:
 
 
 def reclass_by(df: DataFrame, a="class_bazett", b="class_inverse_rr", min_n: int = 100) -> DataFrame:
-    """Reclassification matrix by rate category (any size), sex and age category (large enough)."""
+    """Reclassification matrix by rate, sex and age category; ``enough``: at least ``min_n`` rows."""
     keys = {"hr_category": categorize("hr_bpm", HR_RANGES), "sex_label": sex_label(), "age_category": categorize("age", AGE_RANGES)}
     known = {k: F.when(F.col(k) != "unknown", F.col(k)) for k in ("hr_category", "age_category")}
     strata = [("hr", known["hr_category"]), ("sex", F.col("sex_label")), ("age", known["age_category"])]
     wide = stratify(df, keys, strata, [F.count(F.lit(1)).alias("n"), *matrix_counts(a, b)])
-    return matrix_totals(wide.filter((F.col("kind") == "hr") | (F.col("n") >= min_n)))
+    return matrix_totals(with_enough(wide, min_n))
 
 
 def impact_columns(df: DataFrame) -> DataFrame:

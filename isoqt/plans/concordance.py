@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from isoqt.fixed_values import AGE_BINS, HR_BINS_WIDE, SEVERITY_BINS
 from isoqt.functions.classify import bucketize
 from isoqt.operators.confusion import confusion_counts, confusion_metrics, per_formula
-from isoqt.plans.cells import share, share0, stratify
+from isoqt.plans.cells import share, share0, stratify, with_enough
 
 LEVELS = ["GREEN", "YELLOW", "RED"]
 
@@ -52,8 +52,8 @@ def triage_safety(df: DataFrame, truth: str = "has_dx", min_n: int = 5) -> DataF
     aggs = [F.count(F.lit(1)).alias("n"), *[F.count_if(F.col("triage") == t).alias(t.lower()) for t in LEVELS]]
     wide = stratify(true, {"g": bucketize("hr_bpm", HR_BINS_WIDE)}, [("hr", F.col("g")), ("overall", F.lit("OVERALL"))], aggs)
     captured = share(F.col("yellow") + F.col("red"), "n")
-    return wide.filter((F.col("kind") == "overall") | (F.col("n") >= min_n)).select(
-        "kind", "label", "n", *[c for t in LEVELS for c in (F.col(t.lower()), share(t.lower(), "n").alias(f"{t.lower()}_pct"))],
+    return with_enough(wide, min_n).select(
+        "kind", "label", "n", "enough", *[c for t in LEVELS for c in (F.col(t.lower()), share(t.lower(), "n").alias(f"{t.lower()}_pct"))],
         captured.alias("captured_pct"), (100.0 - captured).alias("missed_pct"))
 
 
@@ -69,6 +69,6 @@ def severity_report(df: DataFrame, truth: str = "has_dx", min_n: int = 50) -> Da
     rows = df.withColumn("severity", bucketize(F.col("qtc_inverse_rr") - F.col("threshold"), SEVERITY_BINS))
     wide = rows.filter(F.col("severity").isNotNull()).groupBy("severity").agg(
         F.count(F.lit(1)).alias("n"), *triage_on_truth(truth), *[F.count_if(F.col("triage") == t).alias(t.lower()) for t in LEVELS])
-    return wide.filter(F.col("n") >= min_n).select(
-        "severity", "n", "n_true", share("n_true", "n").alias("prevalence"), *[share(t.lower(), "n").alias(f"{t.lower()}_pct") for t in LEVELS],
+    return with_enough(wide, min_n).select(
+        "severity", "n", "enough", "n_true", share("n_true", "n").alias("prevalence"), *[share(t.lower(), "n").alias(f"{t.lower()}_pct") for t in LEVELS],
         share(F.col("true_yellow") + F.col("true_red"), "n_true").alias("true_captured_pct"))

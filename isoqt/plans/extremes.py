@@ -11,7 +11,7 @@ from isoqt.functions.formulas import improvement
 from isoqt.operators.moments import pair_corr, pair_sums
 from isoqt.operators.quantiles import percentiles
 from isoqt.operators.reference import attach
-from isoqt.plans.cells import add_up, label_if, or_inf, share, share0, stratify, value_mean, value_std, value_sums
+from isoqt.plans.cells import add_up, label_if, or_inf, share, share0, stratify, value_mean, value_std, value_sums, with_enough
 
 
 def call(f: str) -> Column:
@@ -112,14 +112,14 @@ def triage_by_zone(df: DataFrame, min_n: int = 10) -> DataFrame:
     """Triage levels of the NORM rows by rate zone and overall (all zones and unzoned rows)."""
     norm = df.filter(F.col("superclass") == "NORM")
     wide = stratify(norm, {"z": F.col("hr_zone")}, [("zone", F.col("z")), ("overall", F.lit("OVERALL"))], triage_counts())
-    return triage_columns(wide.filter((F.col("kind") == "overall") | (F.col("n") >= min_n)), [F.col("label").alias("zone")])
+    return triage_columns(with_enough(wide, min_n), [F.col("label").alias("zone"), "enough"])
 
 
 def triage_by_population(df: DataFrame, limits=POPULATION_LIMITS, min_n: int = 10) -> DataFrame:
     """Triage levels of the special populations."""
     flags = population_flags(limits)
     wide = stratify(df, flags, [("population", label_if(p, p)) for p in flags], triage_counts())
-    return triage_columns(wide.filter(F.col("n") >= min_n), [F.col("label").alias("population")])
+    return triage_columns(with_enough(wide, min_n), [F.col("label").alias("population"), "enough"])
 
 
 def nns(df: DataFrame, min_n: int = 10) -> DataFrame:
@@ -128,8 +128,8 @@ def nns(df: DataFrame, min_n: int = 10) -> DataFrame:
     aggs = [F.count(F.lit(1)).alias("n"), *[F.count_if(F.coalesce(call(f), F.lit(False))).alias(f"fp_{f}") for f in ("bazett", "inverse_rr")]]
     wide = stratify(norm, {"z": F.col("hr_zone")}, [("zone", F.col("z")), ("overall", F.lit("OVERALL"))], aggs)
     avoided = F.col("fp_bazett") - F.col("fp_inverse_rr")
-    return wide.filter((F.col("kind") == "overall") | (F.col("n") >= min_n)).select(
-        F.col("label").alias("zone"), "n", "fp_bazett", "fp_inverse_rr", avoided.alias("fp_avoided"), or_inf("n", avoided).alias("nns"),
+    return with_enough(wide, min_n).select(
+        F.col("label").alias("zone"), "n", "enough", "fp_bazett", "fp_inverse_rr", avoided.alias("fp_avoided"), or_inf("n", avoided).alias("nns"),
         share("fp_bazett", "n").alias("fp_rate_bazett"), share("fp_inverse_rr", "n").alias("fp_rate_inverse_rr"))
 
 

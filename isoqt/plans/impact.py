@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from isoqt.fixed_values import AGE_BINS_COUNTED, COSTS_EUR, HR_BINS_COUNTED, SCENARIO_SIZES
 from isoqt.functions.classify import bucketize
-from isoqt.plans.cells import or_inf, share, share0, stratify
+from isoqt.plans.cells import or_inf, share, share0, stratify, with_enough
 
 FORMULAS = ("bazett", "inverse_rr", "fridericia")
 
@@ -37,13 +37,13 @@ def nnt_by(df: DataFrame, min_n: int = 100, hr_bins=HR_BINS_COUNTED, age_bins=AG
     """NNT by rate, age and dataset."""
     keys = {"h": bucketize("hr_bpm", hr_bins), "a": bucketize("age", age_bins), "d": F.col("dataset")}
     wide = stratify(df, keys, [("hr", F.col("h")), ("age", F.col("a")), ("dataset", F.col("d"))], nnt_aggregates())
-    return nnt_columns(wide.filter(F.col("n") >= min_n), ["kind", "label"])
+    return nnt_columns(with_enough(wide, min_n), ["kind", "label", "enough"])
 
 
 def best_stratum(report: DataFrame) -> DataFrame:
-    """Stratum with the smallest NNT of each kind (an infinite one counts as 9999)."""
+    """Stratum of enough rows with the smallest NNT of each kind (an infinite one counts as 9999)."""
     key = F.when(F.col("nnt") < float("inf"), F.col("nnt")).otherwise(9999.0)
-    return report.filter(F.col("kind").isin("hr", "age")).groupBy("kind").agg(
+    return report.filter(F.col("kind").isin("hr", "age") & F.col("enough")).groupBy("kind").agg(
         F.min_by(F.struct("label", "nnt"), F.struct(F.round(key, 9), "label")).alias("b")).select("kind", "b.label", "b.nnt")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from isoqt.operators.logistic import fit_all
 from isoqt.operators.moments import chi2_p
 from isoqt.operators.quantiles import join_groups, percentiles
-from isoqt.plans.cells import share, share0
+from isoqt.plans.cells import share, share0, with_enough
 
 CLASSES = ["concordant_normal", "concordant_prolonged", "new_only_prolonged", "reclassified_normal"]
 
@@ -33,7 +33,7 @@ def outcomes_by_patient(df: DataFrame, by: str = "concordance", patient: str = "
 
 
 def outcomes_by_record(df: DataFrame, by: str = "concordance", patient: str = "subject_id", min_n: int = 10) -> DataFrame:
-    """Records, distinct patients and events per class of at least ``min_n`` records."""
+    """Records, distinct patients and events per class; ``enough``: at least ``min_n`` records."""
     any_, severe, dead = F.col("any_arrhythmia"), F.col("severe_arrhythmia"), F.col("deceased")
     event = severe | dead
     patients = df.filter(F.col(by) != "unknown").groupBy(by, patient).agg(
@@ -44,8 +44,8 @@ def outcomes_by_record(df: DataFrame, by: str = "concordance", patient: str = "s
     wide = patients.groupBy(by).agg(
         *[F.sum(c).alias(name) for name, c in sums.items()], F.count(patient).alias("n_patients"), F.sum("t").alias("n_tachy"),
         *[F.try_divide(F.sum(f"{c}_s"), F.sum(f"{c}_n")).alias(f"mean_{c}") for c in ("hr_bpm", "age", "qtc_inverse_rr", "qtc_bazett")])
-    return wide.filter(F.col("n_records") >= min_n).select(
-        by, "n_records", "n_patients", *[c for c in sums if c != "n_records"], *[share(c, "n_records").alias(c.replace("n_", "pct_", 1)) for c in sums if c != "n_records"],
+    return with_enough(wide, min_n, "n_records").select(
+        by, "n_records", "enough", "n_patients", *[c for c in sums if c != "n_records"], *[share(c, "n_records").alias(c.replace("n_", "pct_", 1)) for c in sums if c != "n_records"],
         F.col("mean_hr_bpm").alias("mean_hr"), "mean_age", share("n_tachy", "n_records").alias("pct_tachycardia"), "mean_qtc_inverse_rr", "mean_qtc_bazett")
 
 
@@ -94,9 +94,9 @@ def class_profile(df: DataFrame, by: str = "concordance", min_n: int = 10) -> Da
     wide = rows.groupBy(by).agg(
         F.count(F.lit(1)).alias("n"), F.avg("hr_bpm").alias("hr_mean"), F.stddev_samp("hr_bpm").alias("hr_std"),
         F.count_if(F.col("hr_bpm") >= 100).alias("fast"), F.count_if(F.col("hr_bpm") < 60).alias("slow"),
-        F.avg("qtc_inverse_rr").alias("qtc_inverse_rr_mean"), F.avg("qtc_bazett").alias("qtc_bazett_mean"), F.avg("qt_ms").alias("qt_mean")).filter(F.col("n") >= min_n)
+        F.avg("qtc_inverse_rr").alias("qtc_inverse_rr_mean"), F.avg("qtc_bazett").alias("qtc_bazett_mean"), F.avg("qt_ms").alias("qt_mean")).transform(with_enough, min_n)
     joined = join_groups(wide, percentiles(rows, {"hr_median": ("hr_bpm", 0.5)}, [by]), [by])
-    return joined.select(by, "n", "hr_mean", "hr_std", "hr_median", share("fast", "n").alias("pct_tachycardia"), share("slow", "n").alias("pct_bradycardia"),
+    return joined.select(by, "n", "enough", "hr_mean", "hr_std", "hr_median", share("fast", "n").alias("pct_tachycardia"), share("slow", "n").alias("pct_bradycardia"),
                          "qtc_inverse_rr_mean", "qtc_bazett_mean", "qt_mean")
 
 
@@ -107,7 +107,7 @@ def class_comparison(profile: DataFrame, by: str = "concordance") -> DataFrame:
         return F.max(F.when(F.col(by) == group, F.col(c)))
     hr = at("hr_mean", "reclassified_normal") - at("hr_mean", "concordant_normal")
     fast = at("pct_tachycardia", "reclassified_normal") - at("pct_tachycardia", "concordant_normal")
-    return profile.agg(hr.alias("hr_difference"), fast.alias("tachycardia_difference")).withColumn(
+    return profile.filter("enough").agg(hr.alias("hr_difference"), fast.alias("tachycardia_difference")).withColumn(
         "faster", (F.col("hr_difference") > 5) | (F.col("tachycardia_difference") > 10))
 
 

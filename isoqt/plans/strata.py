@@ -11,7 +11,7 @@ from isoqt.functions.formulas import FORMULAS, improvement
 from isoqt.operators.confusion import ratio
 from isoqt.operators.moments import pair_corr, pair_mean_y, pair_n, pair_std_y, pair_sums
 from isoqt.operators.quantiles import join_groups, percentiles
-from isoqt.plans.cells import label_if, or_inf, share, stratify, value_mean, value_std, value_sums
+from isoqt.plans.cells import label_if, or_inf, share, stratify, value_mean, value_std, value_sums, with_enough
 
 
 def sex_label(sex="sex") -> Column:
@@ -35,7 +35,7 @@ def stratified_metrics(df: DataFrame, formulas=FORMULAS, min_n: int = 10) -> Dat
     wide = stratify(df, keys, strata, sums)
     out = per_formula_rows(wide, formulas, {
         "n": pair_n, "mean": pair_mean_y, "std": pair_std_y, "r": lambda f: pair_corr(f, min_n)}, ["kind", "label"])
-    return out.filter(F.col("n") >= min_n)
+    return with_enough(out, min_n)
 
 
 # ---- subgroups ----------------------------------------------------------------------------
@@ -121,11 +121,11 @@ def hr_zone_report(df: DataFrame, min_zone: int = 100, min_sub: int = 10) -> Dat
     wide = df.groupBy("hr_zone").agg(
         F.count(F.lit(1)).alias("n"), *value_sums("hr_bpm", "hr", 75), *[c for f in names for c in pair_sums(f"qtc_{f}", "hr_bpm", f, valid)],
         F.count_if(norm).alias("n_norm"), *[F.count_if(norm & flag[f]).alias(f"fp_{f}") for f in flag],
-    ).filter(F.col("hr_zone").isNotNull() & (F.col("n") >= min_zone))
+    ).filter(F.col("hr_zone").isNotNull()).transform(with_enough, min_zone)
     some = F.col("n_norm") > min_sub
     r = {f: pair_corr(f, min_sub + 1) for f in names}
     return wide.select(
-        "hr_zone", "n", value_mean("hr", 75).alias("hr_mean"), value_std("hr").alias("hr_std"),
+        "hr_zone", "n", "enough", value_mean("hr", 75).alias("hr_mean"), value_std("hr").alias("hr_std"),
         *[r[f].alias(f"r_{f}") for f in names], improvement(F.abs(r["bazett"]), F.abs(r["inverse_rr"])).alias("improvement"),
         "n_norm", *[F.when(some, F.col(f"fp_{f}")).alias(f"fp_{f}") for f in flag],
         *[F.when(some, share(f"fp_{f}", "n_norm")).alias(f"fp_rate_{f}") for f in flag],
@@ -138,10 +138,10 @@ def bias_report(df: DataFrame, min_zone: int = 100) -> DataFrame:
     wide = rows.groupBy("hr_zone").agg(
         F.count(F.lit(1)).alias("n"), F.avg("hr_bpm").alias("hr_mean"), F.count("bias").alias("m"), F.avg("bias").alias("bias_mean"),
         F.stddev_samp("bias").alias("bias_std"), F.count_if(F.abs("bias") > 20).alias("gt20"), F.count_if(F.abs("bias") > 40).alias("gt40"),
-        F.count_if(F.col("bias") > 0).alias("over"), F.count_if(F.col("bias") < 0).alias("under")).filter(F.col("n") >= min_zone)
+        F.count_if(F.col("bias") > 0).alias("over"), F.count_if(F.col("bias") < 0).alias("under")).transform(with_enough, min_zone)
     cuts = percentiles(rows, {"bias_median": ("bias", 0.5), "bias_p5": ("bias", 0.05), "bias_p95": ("bias", 0.95)}, ["hr_zone"])
     return join_groups(wide, cuts, ["hr_zone"]).select(
-        "hr_zone", "n", "hr_mean", "bias_mean", "bias_std", "bias_median", "bias_p5", "bias_p95",
+        "hr_zone", "n", "enough", "hr_mean", "bias_mean", "bias_std", "bias_median", "bias_p5", "bias_p95",
         share("gt20", "m").alias("pct_bias_gt_20ms"), share("gt40", "m").alias("pct_bias_gt_40ms"),
         share("over", "m").alias("pct_overcorrection"), share("under", "m").alias("pct_undercorrection"))
 
@@ -163,13 +163,13 @@ def stratum_profile(df: DataFrame, formulas=FORMULAS, min_n: int = 50) -> DataFr
     sums = [c for f in formulas for c in pair_sums(f"qtc_{f}", "hr_bpm", f)]
     above = [F.count_if(F.col(f"qtc_{f}") >= t).alias(f"{f}_ge_{t}") for f in formulas for t in (450, 470, 500)]
     wide = rows.groupBy("hr_stratum").agg(F.count(F.lit(1)).alias("n_rows"), F.min("hr_bpm").alias("hr_min"), F.max("hr_bpm").alias("hr_max"),
-                                          *sums, *above).filter(F.col("n_rows") >= min_n)
+                                          *sums, *above).transform(with_enough, min_n, "n_rows")
     wanted = {f"{f}_{name}": (f"qtc_{f}", p) for f in formulas for name, p in (("median", 0.5), ("p5", 0.05), ("p95", 0.95))}
     joined = join_groups(wide, percentiles(rows, wanted, ["hr_stratum"]), ["hr_stratum"])
     fields = {"n": pair_n, "r": pair_corr, "mean": pair_mean_y, "std": pair_std_y}
     fields |= {x: (lambda f, x=x: F.col(f"{f}_{x}")) for x in ("median", "p5", "p95")}
     fields |= {f"pct_ge_{t}": (lambda f, t=t: share(f"{f}_ge_{t}", pair_n(f))) for t in (450, 470, 500)}
-    return per_formula_rows(joined, formulas, fields, ["hr_stratum", "n_rows", "hr_min", "hr_max"])
+    return per_formula_rows(joined, formulas, fields, ["hr_stratum", "n_rows", "enough", "hr_min", "hr_max"])
 
 
 def two_way_counts(limit: float = 450, a="qtc_bazett", b="qtc_inverse_rr", tag: str = "") -> list[Column]:
@@ -182,9 +182,9 @@ def two_way_counts(limit: float = 450, a="qtc_bazett", b="qtc_inverse_rr", tag:
 def stratum_concordance(df: DataFrame, limit: float = 450, min_n: int = 50) -> DataFrame:
     """Agreement of the base and the new formula per rate stratum."""
     rows = df.withColumn("hr_stratum", bucketize("hr_bpm", HR_STRATA)).filter(F.col("hr_stratum").isNotNull())
-    wide = rows.groupBy("hr_stratum").agg(F.count(F.lit(1)).alias("n"), *two_way_counts(limit)).filter(F.col("n") >= min_n)
+    wide = rows.groupBy("hr_stratum").agg(F.count(F.lit(1)).alias("n"), *two_way_counts(limit)).transform(with_enough, min_n)
     parts = ["both_normal", "both_prolonged", "new_only", "base_only"]
-    return wide.select("hr_stratum", "n", *parts, *[share(p, "n").alias(f"pct_{p}") for p in parts],
+    return wide.select("hr_stratum", "n", "enough", *parts, *[share(p, "n").alias(f"pct_{p}") for p in parts],
                        share(F.col("both_normal") + F.col("both_prolonged"), "n").alias("concordance_rate"),
                        share(F.col("both_prolonged") + F.col("new_only"), "n").alias("new_prolongation_rate"),
                        share(F.col("both_prolonged") + F.col("base_only"), "n").alias("base_prolongation_rate"))
@@ -198,20 +198,20 @@ def extreme_cases(df: DataFrame, low: float = 45, high: float = 130, min_n: int
     aggs = [F.count(F.lit(1)).alias("n"), F.min("hr_bpm").alias("min_hr"), F.max("hr_bpm").alias("max_hr")]
     aggs += [c for f in names for c in pair_sums(f"qtc_{f}", "hr_bpm", f)]
     aggs += [F.count_if(F.col(f"qtc_{f}") >= 450).alias(f"ge_{f}") for f in names]
-    wide = stratify(df.filter((F.col("hr_bpm") < low) | (F.col("hr_bpm") > high)), keys, strata, aggs).filter(F.col("n") >= min_n)
-    return wide.select("label", "n", "min_hr", "max_hr", *[F.abs(pair_corr(f)).alias(f"abs_r_{f}") for f in names],
+    wide = stratify(df.filter((F.col("hr_bpm") < low) | (F.col("hr_bpm") > high)), keys, strata, aggs).transform(with_enough, min_n)
+    return wide.select("label", "n", "enough", "min_hr", "max_hr", *[F.abs(pair_corr(f)).alias(f"abs_r_{f}") for f in names],
                        *[pair_mean_y(f).alias(f"mean_{f}") for f in names], *[share(f"ge_{f}", "n").alias(f"pct_ge_450_{f}") for f in names])
 
 
 def extreme_verdict(profile: DataFrame, concordance: DataFrame, margin: float = 0.02, max_base_only: float = 10.0) -> DataFrame:
     """Whether the new formula holds up in slow and fast rates: |r| not worse by ``margin`` and few
     base-only calls in severe bradycardia."""
-    r = profile.groupBy("hr_stratum").agg(F.max(F.when(F.col("formula") == "inverse_rr", F.abs("r"))).alias("new"),
+    r = profile.filter("enough").groupBy("hr_stratum").agg(F.max(F.when(F.col("formula") == "inverse_rr", F.abs("r"))).alias("new"),
                                           F.max(F.when(F.col("formula") == "bazett", F.abs("r"))).alias("base"))
     worse = F.col("new") > F.col("base") + margin
     part = r.agg((F.count_if(worse & F.col("hr_stratum").startswith("Brady")) == 0).alias("brady_ok"),
                  (F.count_if(worse & F.col("hr_stratum").startswith("Tachy")) == 0).alias("tachy_ok"))
-    missed = concordance.agg((F.count_if((F.col("hr_stratum") == "Brady_severe") & (F.col("pct_base_only") > max_base_only)) == 0)
+    missed = concordance.filter("enough").agg((F.count_if((F.col("hr_stratum") == "Brady_severe") & (F.col("pct_base_only") > max_base_only)) == 0)
                              .alias("brady_fn_ok"))
     both = part.withColumn("__one", F.lit(1)).join(missed.withColumn("__one", F.lit(1)), "__one").drop("__one")
     return both.withColumn("passes", F.col("brady_ok") & F.col("tachy_ok") & F.col("brady_fn_ok"))
@@ -230,15 +230,15 @@ def demographic_bias(df: DataFrame, min_single: int = 100, min_cross: int = 50,
     aggs += [c for f in names for c in pair_sums(f"qtc_{f}", "hr_bpm", f)]
     wide = stratify(df, keys, strata, aggs)
     enough = F.when(F.col("kind").isin("sex_age", "sex_hr"), min_cross).otherwise(min_single)
-    return wide.filter(F.col("n") >= enough).select(
-        "kind", "label", "n", *[F.abs(pair_corr(f, min_corr)).alias(f"abs_r_{f}") for f in names],
+    return with_enough(wide, enough).select(
+        "kind", "label", "n", "enough", *[F.abs(pair_corr(f, min_corr)).alias(f"abs_r_{f}") for f in names],
         *[pair_mean_y(f).alias(f"mean_{f}") for f in names], value_mean("age", 50).alias("mean_age"),
         value_mean("hr", 75).alias("mean_hr"), share("n_male", "n").alias("pct_male"), "min_hr", "max_hr")
 
 
 def bias_range(report: DataFrame, limit: float = 0.02) -> DataFrame:
-    """Spread of |r| between the groups of each kind and whether it exceeds ``limit``."""
-    wide = report.groupBy("kind").agg(F.max("abs_r_inverse_rr").alias("max_abs_r"), F.min("abs_r_inverse_rr").alias("min_abs_r"),
+    """Spread of |r| between the groups of each kind that have enough rows and whether it exceeds ``limit``."""
+    wide = report.filter("enough").groupBy("kind").agg(F.max("abs_r_inverse_rr").alias("max_abs_r"), F.min("abs_r_inverse_rr").alias("min_abs_r"),
                                       F.max_by("label", "abs_r_inverse_rr").alias("worse_group"))
     spread = F.col("max_abs_r") - F.col("min_abs_r")
     return wide.select("kind", "max_abs_r", "min_abs_r", spread.alias("range_abs_r"), (spread > limit).alias("bias_detected"), "worse_group")
@@ -287,14 +287,14 @@ def threshold_compat(df: DataFrame, limits=(440, 450, 460, 470, 500)) -> DataFra
 
 
 def hr_scenarios(df: DataFrame, min_n: int = 100) -> DataFrame:
-    """Mean of both formulas in overlapping rate ranges holding more than ``min_n`` rows."""
+    """Mean of both formulas in overlapping rate ranges; ``enough``: more than ``min_n`` rows."""
     hr = F.col("hr_bpm")
     flags = {"resting": hr.between(60, 80), "bradycardia": hr < 50, "tachycardia": hr > 100, "post_exercise": hr.between(120, 150)}
     names = {"resting": "resting_hr_60_80", "bradycardia": "bradycardia_hr_below_50", "tachycardia": "tachycardia_hr_above_100",
              "post_exercise": "post_exercise_hr_120_150"}
     aggs = [F.count(F.lit(1)).alias("n"), *value_sums("qtc_inverse_rr", "new", 400), *value_sums("qtc_bazett", "base", 400)]
-    wide = stratify(df, flags, [("scenario", label_if(f, names[f])) for f in flags], aggs).filter(F.col("n") > min_n)
-    return wide.select(F.col("label").alias("scenario"), "n", value_mean("new", 400).alias("new_mean"), value_mean("base", 400).alias("base_mean"),
+    wide = stratify(df, flags, [("scenario", label_if(f, names[f])) for f in flags], aggs).transform(with_enough, min_n + 1)
+    return wide.select(F.col("label").alias("scenario"), "n", "enough", value_mean("new", 400).alias("new_mean"), value_mean("base", 400).alias("base_mean"),
                        (value_mean("new", 400) - value_mean("base", 400)).alias("difference"))
 
 
