@@ -60,6 +60,15 @@ def kept_table(df: DataFrame) -> DataFrame:
         _SCOPES.append(held)
 
 
+#: Rows of two numbers each that a join may broadcast (some 40 MB); longer tables are shuffled.
+SMALL = 500_000
+
+
+def small_or_shuffled(df: DataFrame) -> DataFrame:
+    """``df`` (a written table of few narrow columns) marked for broadcast if it is proven small."""
+    return F.broadcast(df) if df.count() <= SMALL else df
+
+
 def words_of(text: Column) -> Column:
     """Array of the words of ``text``: maximal runs without ASCII white space."""
     return F.array_remove(F.split(text, f"[{SPACE}]+"), "")

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest, xxh3_128_digest
 
-from isoqt.llm.common import kept_table, scratch, written
+from isoqt.llm.common import kept_table, scratch, small_or_shuffled, written
 
 SKETCH, TREES, LEAF, LEVELS = 128, 12, 128, 8
 #: One second position for so many branches; nodes that meet every block of a branch that is cut.
@@ -455,8 +455,8 @@ def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     own_id, own_key = (f"__{c}_{uuid.uuid4().hex}" for c in ("id", "key"))  # no column of ``docs`` has such a name
     names = lambda rows: rows.select(F.col("doc_id").alias(own_id), F.col("tkey").alias(own_key))
     same = (docs["doc_id"] == F.col(own_id)) & (F.xxhash64(docs["text"].cast("string")) == F.col(own_key))
-    left = docs.join(names(judged.where("NOT stays")), same, "left_anti")
-    repeated = names(judged.where("stays AND copies > 1"))
+    left = docs.join(small_or_shuffled(names(judged.where("NOT stays"))), same, "left_anti")
+    repeated = small_or_shuffled(names(judged.where("stays AND copies > 1")))
     if repeated.isEmpty():
         return left
     once = docs.join(repeated, same, "left_semi").withColumn(own_key, F.xxhash64(docs["text"].cast("string"))).dropDuplicates(["doc_id", own_key]).drop(own_key)
