@@ -294,9 +294,9 @@ def _(spark, sf_dir):
     return tables.read_delimited(spark, path)
 
 
-@query("a02_read_table_parquet", "SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey < 500")
+@query("a02_read_table_parquet", "SELECT o_orderkey, o_custkey, o_totalprice FROM orders")
 def _(spark, sf_dir):
-    return tables.read_table(spark, f"{sf_dir}/orders.parquet").filter("o_custkey < 500").select("o_orderkey", "o_custkey")
+    return tables.read_table(spark, f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey", "o_totalprice")
 
 
 @query("a03_read_table_gzip", _RT, dbl="qt_ms hr_bpm")
