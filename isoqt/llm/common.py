@@ -26,19 +26,32 @@ def shared_dir(spark: SparkSession) -> str:
     return configured or context.getCheckpointDir()
 
 
-#: Open scratch scopes: the paths each has written.
-_SCOPES: list[list[str]] = []
+#: Open scratch scopes: the paths and names of the tables each has written; a table without a name is a path alone.
+_SCOPES: list[list[tuple[str, str | None]]] = []
 
 
 def written(df: DataFrame, *sort: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back: lineage ends here, pruning stays."""
     path = f"{shared_dir(df.sparkSession)}/llm-{uuid.uuid4().hex}"
     if _SCOPES:
-        _SCOPES[-1].append(path)
+        _SCOPES[-1].append((path, None))
     (df.sortWithinPartitions(*sort) if sort else df).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, key: str) -> DataFrame:
+    """Like ``written``, in as many buckets of ``key`` as a shuffle has partitions: later joins on ``key`` move only their other side.
+
+    ``df`` should come from a shuffle on ``key``, so that every bucket is one file. The table is in the catalog until its scope ends.
+    """
+    spark, name = df.sparkSession, f"llm_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}"
+    if _SCOPES:
+        _SCOPES[-1].append((path, name))
+    df.write.format("parquet").bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), key).option("path", path).saveAsTable(name)
+    return spark.table(name)
+
+
 @contextmanager
 def scratch(spark: SparkSession):
     """Tables written inside are deleted at the end, but for those made by ``kept_table``."""
@@ -46,7 +59,9 @@ def scratch(spark: SparkSession):
     try:
         yield
     finally:
-        for path in _SCOPES.pop():
+        for path, name in _SCOPES.pop():
+            if name:
+                spark.sql(f"DROP TABLE IF EXISTS {name}")
             folder = spark._jvm.org.apache.hadoop.fs.Path(path)
             folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 

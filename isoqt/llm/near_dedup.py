@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest, xxh3_128_digest
 
-from isoqt.llm.common import kept_table, scratch, small_or_shuffled, written
+from isoqt.llm.common import bucketed, kept_table, scratch, small_or_shuffled, written
 
 SKETCH, TREES, LEAF, LEVELS = 128, 12, 128, 8
 #: One second position for so many branches; nodes that meet every block of a branch that is cut.
@@ -408,9 +408,8 @@ def grouped(docs: DataFrame, width: int, percent: int, trees: int, leaf: int, le
     with scratch(docs.sparkSession):
         rows = written(sketches(docs, width, trees))
         # One row for each set; any row of the node will do for sketch and text, the smallest key is taken.
-        chosen = rows.where("n > 0").groupBy("node").agg(F.min("tkey").alias("tkey"))
-        reps = written(rows.where("n > 0").join(chosen, ["node", "tkey"]).groupBy("node").agg(
-            F.first("tkey").alias("tkey"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("roots").alias("roots")))
+        chosen = F.min_by(F.struct("tkey", "n", "sketch", "roots"), "tkey")
+        reps = bucketed(rows.where("n > 0").groupBy("node").agg(chosen.alias("one")).select("node", "one.*"), "node")
         leaves, cut = branches(reps, leaf, levels)
         family = written(families(cut))
         found = written(clusters(leaves, reps, AGREE, percent))
@@ -421,7 +420,8 @@ def grouped(docs: DataFrame, width: int, percent: int, trees: int, leaf: int, le
         wanted = written(wanted.join(ids, "tkey").select("node", F.xxhash64("tkey", F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("key")))
         text = F.col("text").cast("string")
         moved = having(docs.select(F.xxhash64(F.xxhash64(text), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("key"), text.alias("text")), wanted.select("key"))
-        texts = written(moved.join(wanted, "key").groupBy("node").agg(F.first("text").alias("text")))
+        # A key is one node, so one shuffle by key serves both the copies of a row and the join.
+        texts = written(moved.groupBy("key").agg(F.first("text").alias("text")).join(wanted, "key").select("node", "text"))
         links = written(confirm(found.where("first").unionByName(dense).dropDuplicates(["cluster", "node"]), texts, width, percent))
         labels = spread(links)
         standing = mixed(found, labels).groupBy("h", "label").agg(F.min("node").alias("node"))
