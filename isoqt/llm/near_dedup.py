@@ -87,25 +87,30 @@ def minwise(shingle: np.ndarray, multipliers: np.ndarray) -> tuple[np.ndarray, n
 
 
 def sketches(docs: DataFrame, width: int, trees: int) -> DataFrame:
-    """Doc_id, text key, set size, node (fingerprint of the set), sketch and root tokens of every row."""
+    """Doc_id, text key, set size, node (fingerprint of the set), sketch (low bytes of the minwise values), upper (high bytes) and root tokens of every row.
+
+    Comparing low bytes alone finds every agreement of whole values, and half the bytes travel; branches use both bytes.
+    """
     multipliers = roots_of(trees)
 
     def run(batches):
         for batch in batches:
-            sizes, nodes, values, roots = [], [], [], []
+            sizes, nodes, lows, highs, roots = [], [], [], [], []
             for text in batch.column("text").to_pylist():
                 s = shingles(text, width)
                 sizes.append(len(s))
                 low, root = minwise(s, multipliers) if len(s) else (None, None)
                 nodes.append(xxh3_128_digest(s.tobytes()) if len(s) else None)
-                values.append(low.tobytes() if len(s) else None)
+                lows.append(low.astype(np.uint8).tobytes() if len(s) else None)
+                highs.append((low >> np.uint16(8)).astype(np.uint8).tobytes() if len(s) else None)
                 roots.append(root.tolist() if len(s) else None)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tkey"), pa.array(sizes, pa.int64()), pa.array(nodes, pa.binary()),
-                                              pa.array(values, pa.binary()), pa.array(roots, pa.list_(pa.int64()))], names=["doc_id", "tkey", "n", "node", "sketch", "roots"])
+                                              pa.array(lows, pa.binary()), pa.array(highs, pa.binary()), pa.array(roots, pa.list_(pa.int64()))],
+                                             names=["doc_id", "tkey", "n", "node", "sketch", "upper", "roots"])
 
     text = F.col("text").cast("string")
     return docs.select("doc_id", F.xxhash64(text).alias("tkey"), text.alias("text")).mapInArrow(
-        run, f"doc_id {dict(docs.dtypes)['doc_id']}, tkey long, n long, node binary, sketch binary, roots array<long>")
+        run, f"doc_id {dict(docs.dtypes)['doc_id']}, tkey long, n long, node binary, sketch binary, upper binary, roots array<long>")
 
 
 def groups_of(batches, key: str):
@@ -168,7 +173,7 @@ def parts_of(n: int, pairs) -> np.ndarray:
 
 def branches(reps: DataFrame, leaf: int, levels: int) -> tuple[DataFrame, DataFrame]:
     """((leaf key, node, first: of the first tree) of all leaves of at most ``leaf`` nodes, (branch, node) of the branches that were cut)."""
-    slim = reps.select("node", "sketch")
+    slim = reps.select("node", "sketch", "upper")
     level = reps.select(F.posexplode("roots").alias("tree", "root"), "node").select(F.xxhash64("tree", "root").alias("h"), "node", (F.col("tree") == 0).alias("first"), F.lit(None).cast("long").alias("above"))
     leaves, cuts = [], []
     for depth in range(levels + 1):
@@ -182,7 +187,7 @@ def branches(reps: DataFrame, leaf: int, levels: int) -> tuple[DataFrame, DataFr
         if depth == levels or big.isEmpty():
             break
         at = lambda j: F.pmod(F.xxhash64("h", F.lit(j)), F.lit(SKETCH)).cast("int")
-        step = lambda j: F.xxhash64("h", at(j), F.expr(f"substring(sketch, 2 * int(pmod(xxhash64(h, {j}), {SKETCH})) + 1, 2)"))
+        step = lambda j: F.xxhash64("h", at(j), *[F.expr(f"substring({c}, int(pmod(xxhash64(h, {j}), {SKETCH})) + 1, 1)") for c in ("sketch", "upper")])
         two = F.pmod(F.xxhash64("h", F.lit("second")), F.lit(SECOND)) == 0  # by branch, so that both of a pair take it
         chosen = F.when(two, F.array_distinct(F.array(step(0), step(1)))).otherwise(F.array(step(0)))
         level = big.join(slim, "node").select(F.explode(chosen).alias("h"), "node", "first", F.col("size").alias("above"))
@@ -224,7 +229,7 @@ def clusters(leaves: DataFrame, reps: DataFrame, agree: int, percent: int) -> Da
 
     def run(batches):
         for table, starts in groups_of(batches, "h"):
-            sketch = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint16).reshape(-1, SKETCH)
+            sketch = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint8).reshape(-1, SKETCH)
             size, node, first = table["n"].to_numpy(), table["node"].to_pylist(), table["first"].to_pylist()
             ends = np.r_[starts[1:], len(size)]
             keys, members, firsts = [], [], []
@@ -339,7 +344,7 @@ def open_pairs(groups: DataFrame, reps: DataFrame, agree: int, percent: int, who
 
     def run(batches):
         for table, starts in groups_of(batches, "h"):
-            sketch = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint16).reshape(-1, SKETCH)
+            sketch = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint8).reshape(-1, SKETCH)
             size, node, key = table["n"].to_numpy(), table["node"].to_pylist(), table["h"].to_pylist()
             label = np.unique(np.array(table["label"].to_pylist(), dtype=object), return_inverse=True)[1]
             left, right = [], []
@@ -408,7 +413,7 @@ def grouped(docs: DataFrame, width: int, percent: int, trees: int, leaf: int, le
     with scratch(docs.sparkSession):
         rows = written(sketches(docs, width, trees))
         # One row for each set; any row of the node will do for sketch and text, the smallest key is taken.
-        chosen = F.min_by(F.struct("tkey", "n", "sketch", "roots"), "tkey")
+        chosen = F.min_by(F.struct("tkey", "n", "sketch", "upper", "roots"), "tkey")
         reps = bucketed(rows.where("n > 0").groupBy("node").agg(chosen.alias("one")).select("node", "one.*"), "node")
         leaves, cut = branches(reps, leaf, levels)
         family = written(families(cut))
