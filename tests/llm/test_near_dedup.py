@@ -93,3 +93,13 @@ def test_keep_one_is_by_row(spark):
     assert sorted((r["doc_id"] or 0, r["text"] or "") for r in kept) == sorted(
         [(1, text), (2, rows[2][1]), (3, "a third one"), (0, text), (0, "no id but a text"), (0, "no id but a text"), (4, ""), (4, ""), (5, "")])
     assert near_dedup.keep_one(spark.createDataFrame([], schema)).columns == ["doc_id", "text", "__gone", "__key"]
+
+
+def test_bucketed_table_leaves_the_catalog(spark):
+    """The named table of a search is dropped; null, empty, short and repeated texts keep their defined results."""
+    rows = [(1, "one two three four five six"), (2, "ONE two three four five six"), (3, "x"), (4, None), (5, ""), (5, "x"), (None, "y z")]
+    got = near_dedup.components(spark.createDataFrame(rows, SCHEMA)).collect()
+    want = [(1, 3, 1), (2, 3, 1), (3, 1, 3), (4, 0, 4), (5, 0, 5), (5, 1, 3), (None, 1, None)]
+    key = lambda r: tuple(-1 if v is None else v for v in r)
+    assert sorted((tuple(r)[:3] for r in got), key=key) == sorted(want, key=key)
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("llm_")]
