@@ -1,27 +1,31 @@
 """Main text of web pages by site style trees.
 
-Each page becomes a tree whose nodes are named by their presentation: tag, class and id. The trees of one host are
-merged by adding up their paths in Spark, equal pages once: for every path, the pages that have it, the distribution of
-the text in it and that of its sequence of children. The content importance of a node is the entropy of its texts over
-the maximum: a branch that says the same on every page of a host is near 0, an article's is 1. The presentation
-importance is the largest entropy of the child sequences on the way from the root: menus, headers and footers are built
-alike on all pages, an article is not.
-
-Tags and class names are a prior. It says: text of article elements, or without any on the page, text outside markup that
-rarely holds an article (menus, headers, footers, sidebars, notices, adverts, forms, reader comments). The prior decides
-where a path is on fewer than ``least`` pages of its host. Elsewhere the importances decide, on pages with and without an
-article element: text leaves if its content importance is below ``limit``, and in markup of the second kind if its
-importance, content * (1 + presentation) / 2, is also below ``share`` of the largest on the host. What is left is joined
-block by block.
+Each page becomes a tree whose nodes are named by their presentation: tag, class and id. A path is a 64 bit hash of its
+parent's path and the node's name, so a page takes memory in proportion to its length however deep it nests. The trees of
+one host are merged by adding up their paths in Spark, equal pages once: for every path, the pages that have it, the
+distribution of the text in it and that of its own children and number. The content importance of a node is the entropy of its
+texts over the maximum: a branch that says the same on every page of a host is near 0, an article's is 1. The presentation
+importance is the entropy of its own style, or ``DEPTH`` times its parent's if that is more: menus and footers are built
+alike on all pages, an article is not. What one page says about a path is no evidence, so importances are drawn to "not
+boilerplate" and "not varied" with the weight of ``weight`` pages; no number of pages switches the tree on or off.
+
+Tags and class names are a prior. A page's main text is that of its article elements, or without any that outside markup
+that rarely holds an article, or article elements inside such markup. Menus, headers, footers, sidebars and reader comments
+are out for good; forms and blocks with a class name for adverts, notices and the like are doubtful. Class names say
+nothing on ``html``, ``body``, ``article`` and ``main``, and names such as ``has-sidebar`` nothing at all. Branches of low
+content importance leave the main text. Only where nothing would be left of it, text elsewhere on the page, outside what is
+out for good, takes its place if its content and presentation importances are high; if there is no such text, the page
+keeps its main text. What is left is joined block by block.
 
 Defined cases: a null or empty html has an empty text; a null url's pages form a site of their own; html of any length is
-parsed whole; unclosed and unknown tags are closed with their parents; equal pages get equal texts; other columns are
-ignored.
+parsed whole; unclosed and unknown tags are closed with their parents; quotes belong to a tag only after an equals sign;
+equal pages get equal texts; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html import unescape
 
 import pyarrow as pa
@@ -34,8 +38,8 @@ from isoqt.llm.url_filters import host_of
 
 TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|svg|iframe|select|button)\b[^>]*>.*?(?:</\1\s*>|\Z)"""
-    r"""|<[!?][^>]*>|<(/?)([a-z][a-z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>""", re.S | re.I)
-CLASS = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
+    r"""|<[!?][^>]*(?:>|\Z)|<(/?)([a-z][a-z0-9:-]*)((?:=\s*(?:"[^"]*"|'[^']*'|[^\s>]*)|[^>=])*+)(?:>|\Z)""", re.S | re.I)
+ATTRIBUTE = re.compile(r"""([^\s=>"'/]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]*))""")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset((
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
@@ -43,32 +47,53 @@ BLOCK = frozenset((
 #: An opening tag of the key closes the open tags of the value, up to the nearest list or table.
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 FENCE = frozenset("ul ol table dl body html article main nav div section".split())
-#: Presentation that rarely holds an article.
-NOISE_TAGS = frozenset("head title nav footer aside form menu dialog".split())
-NOISE_WORDS = frozenset((
-    "ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion sidebar menu nav navbar navigation breadcrumb breadcrumbs "
-    "footer cookie cookies consent gdpr notice notices alert popup modal comment comments disqus reply replies social share sharing related newsletter subscribe "
-    "subscription login signup widget pagination pager search complementary contentinfo").split())
+#: Presentation that holds no article (fixed lists), and class names that make one doubtful.
+NEVER_TAGS = frozenset("head title nav footer aside menu".split())
+DOUBTFUL_TAGS = frozenset("form dialog".split())
+NEVER_WORDS = frozenset((
+    "sidebar menu nav navbar navigation breadcrumb breadcrumbs footer comment comments disqus reply replies pagination pager contentinfo complementary").split())
+DOUBTFUL_WORDS = frozenset((
+    "ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices alert popup modal "
+    "social share sharing related newsletter subscribe subscription login signup widget search").split())
+#: First words of class names that describe the page and not the node; nodes whose class names describe the page.
+LAYOUT_WORDS = frozenset("has no with without hide show is".split())
+LAYOUT_TAGS = frozenset("html body article main".split())
 ARTICLE = ("article", "main")
+CLEAR, DOUBTFUL, NEVER = 0, 1, 2
+#: Share of its parent's presentation importance that a node takes over.
+DEPTH = 0.5
 
 
-def signature(tag: str, attributes: str) -> tuple[str, bool]:
-    """Name of a node in the style tree, and whether its presentation rules out an article."""
+def signature(tag: str, attributes: str) -> tuple[str, int]:
+    """Name of a node in the style tree, and whether its presentation leaves room for an article."""
     words = []
     if "=" in attributes:
-        for m in CLASS.finditer(attributes):
-            words += (m[2] or m[3] or m[4] or "").lower().split()
-    noise = tag in NOISE_TAGS or any(w in NOISE_WORDS for word in words for w in re.split(r"[-_]+", word))
+        for m in ATTRIBUTE.finditer(attributes):
+            if m[1].lower() in ("class", "id", "role"):
+                words += (m[2] or m[3] or m[4] or "").lower().split()
+    noise = NEVER if tag in NEVER_TAGS else DOUBTFUL if tag in DOUBTFUL_TAGS else CLEAR
+    if tag not in LAYOUT_TAGS:
+        for word in words:
+            parts = re.split(r"[-_]+", word)
+            if parts[0] not in LAYOUT_WORDS:
+                noise = max(noise, NEVER if not NEVER_WORDS.isdisjoint(parts) else DOUBTFUL if not DOUBTFUL_WORDS.isdisjoint(parts) else CLEAR)
     return (f"{tag}.{'.'.join(words)}" if words else tag), noise
 
 
-def parse(html: str, children: dict[str, list[str]] | None = None) -> list[tuple[str, bool, bool, str]]:
-    """Blocks in page order: (path of signatures, inside presentation noise, inside an article element, text).
+def below(path: int, name: str) -> int:
+    """Path of a child."""
+    return xxh3_64_intdigest(f"{path}/{name}") - (1 << 63)
 
-    ``children`` takes the signatures of the block children of every path, in page order; "" begins a node's.
+
+def parse(html: str, children: dict[int, list[str]] | None = None, parents: dict[int, int] | None = None) -> list[tuple[int, int, bool, str]]:
+    """Blocks in page order: (path, CLEAR, DOUBTFUL or NEVER, inside an article element, text).
+
+    ``children`` takes the names of the block children of every path, in page order; "" begins a node's. ``parents`` takes
+    the path above every path.
     """
-    blocks: list[tuple[str, bool, bool, str]] = []
-    stack: list[tuple[str, str, bool, bool]] = [("", "", False, False)]  # tag, path, noise, article
+    blocks: list[tuple[int, int, bool, str]] = []
+    stack: list[tuple[str, tuple[int, int, bool]]] = [("", (0, CLEAR, False))]  # tag, place of the nearest block
+    opened: Counter = Counter()
     text: list[str] = []
 
     def flush():
@@ -77,8 +102,13 @@ def parse(html: str, children: dict[str, list[str]] | None = None) -> list[tuple
             text.clear()
             whole = " ".join((unescape(whole) if "&" in whole else whole).split())
             if whole:
-                _, path, noise, article = next(s for s in reversed(stack) if s[0] in BLOCK or not s[0])
-                blocks.append((path, noise, article, whole))
+                blocks.append((*stack[-1][1], whole))
+
+    def close(k):
+        """Ends the open tags from position ``k`` of the stack on."""
+        for tag, _ in stack[k:]:
+            opened[tag] -= 1
+        del stack[k:]
 
     at = 0
     for m in TOKEN.finditer(html):
@@ -97,43 +127,56 @@ def parse(html: str, children: dict[str, list[str]] | None = None) -> list[tuple
         if m[2]:
             if block:
                 flush()
-            if any(s[0] == tag for s in stack):
-                while stack.pop()[0] != tag:
-                    pass
+            if opened[tag] > 0:
+                close(next(k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == tag))
             continue
         if block:
             flush()
             for k in range(len(stack) - 1, 0, -1):  # an open paragraph ends at any block
                 if stack[k][0] == "p":
-                    del stack[k:]
+                    close(k)
                     break
                 if stack[k][0] in BLOCK:
                     break
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] in CLOSES.get(tag, ()):
-                    del stack[k:]
+            ended = CLOSES.get(tag, ())
+            for k in range(len(stack) - 1, 0, -1) if ended else ():
+                if stack[k][0] in ended:
+                    close(k)
                 elif stack[k][0] in FENCE:
                     break
         if tag in VOID or m[4].endswith("/"):
             continue
-        name, noise = signature(tag, m[4])
-        _, path, above, article = stack[-1]
-        # A header introduces an article when it stands inside one, and the page elsewhere.
-        noise = noise or (tag == "header" and not article)
-        if block and children is not None:
-            children.setdefault(path, []).append(name)
-            children.setdefault(f"{path}/{name}", []).append("")
-        stack.append((tag, f"{path}/{name}" if block else path, above or noise, article or tag in ARTICLE))
+        path, noise, article = place = stack[-1][1]
+        if block:
+            name, own = signature(tag, m[4])
+            # A header introduces an article when it stands inside one, and the page elsewhere.
+            own = NEVER if tag == "header" and not article else own
+            place = (below(path, name), max(noise, own), article or tag in ARTICLE)
+            if children is not None:
+                children.setdefault(path, []).append(name)
+                children.setdefault(place[0], []).append("")
+                parents[place[0]] = path
+        stack.append((tag, place))
+        opened[tag] += 1
     if at < len(html):
         text.append(html[at:])
     flush()
     return blocks
 
 
+def main_text(found: list[tuple[int, int, bool, str]]) -> list[bool]:
+    """Which blocks of a page are its main text by tags and class names."""
+    for chosen in (lambda noise, article: noise == CLEAR and article, lambda noise, article: noise == CLEAR, lambda noise, article: noise == DOUBTFUL and article):
+        marks = [chosen(noise, article) for _, noise, article, _ in found]
+        if any(marks):
+            break
+    return marks
+
+
 def page_blocks(pages: DataFrame) -> DataFrame:
-    """Key, page_id, url, host, page (digest of the html), the blocks (path, noise, prior, text) and every path's content and style digest of a page."""
-    block = "array<struct<path:string,noise:boolean,prior:boolean,text:string>>"
-    node = "array<struct<path:string,noise:boolean,content:bigint,style:bigint>>"
+    """Key, page_id, url, host, page (digest of the html), the blocks (path, noise, prior, text) and every path's parent, content and style digest of a page."""
+    block = "array<struct<path:bigint,noise:int,prior:boolean,text:string>>"
+    node = "array<struct<path:bigint,parent:bigint,content:bigint,style:bigint>>"
 
     def digest(words):
         return xxh3_64_intdigest("\n".join(words)) - (1 << 63)
@@ -142,20 +185,18 @@ def page_blocks(pages: DataFrame) -> DataFrame:
         for batch in batches:
             keep, nodes = [], []
             for html in batch.column("html").to_pylist():
-                children: dict[str, list[str]] = {}
-                found = parse(html or "", children)
-                articles = any(article and not noise for _, noise, article, _ in found)
-                keep.append([{"path": p, "noise": noise, "prior": not noise and (article or not articles), "text": t} for p, noise, article, t in found])
-                below: dict[str, list[str]] = {}
-                quiet: dict[str, bool] = {}
-                for path, noise, _, t in found:
-                    below.setdefault(path, []).append(t)
-                    quiet[path] = noise
-                nodes.append([{"path": p, "noise": quiet.get(p), "content": digest(below[p]) if p in below else None, "style": digest(children.get(p, ()))}
-                              for p in dict.fromkeys([*below, *children])])
+                children: dict[int, list[str]] = {}
+                parents: dict[int, int] = {}
+                found = parse(html or "", children, parents)
+                keep.append([{"path": p, "noise": noise, "prior": prior, "text": t} for (p, noise, _, t), prior in zip(found, main_text(found))])
+                texts: dict[int, list[str]] = {}
+                for path, _, _, t in found:
+                    texts.setdefault(path, []).append(t)
+                nodes.append([{"path": p, "parent": parents.get(p), "content": digest(texts[p]) if p in texts else None, "style": digest(children.get(p, ()))}
+                              for p in dict.fromkeys([*texts, *children])])
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("key", "page_id", "url", "host", "page")] + [
-                pa.array(keep, pa.list_(pa.struct([("path", pa.string()), ("noise", pa.bool_()), ("prior", pa.bool_()), ("text", pa.string())]))),
-                pa.array(nodes, pa.list_(pa.struct([("path", pa.string()), ("noise", pa.bool_()), ("content", pa.int64()), ("style", pa.int64())])))],
+                pa.array(keep, pa.list_(pa.struct([("path", pa.int64()), ("noise", pa.int32()), ("prior", pa.bool_()), ("text", pa.string())]))),
+                pa.array(nodes, pa.list_(pa.struct([("path", pa.int64()), ("parent", pa.int64()), ("content", pa.int64()), ("style", pa.int64())])))],
                 names=["key", "page_id", "url", "host", "page", "blocks", "nodes"])
 
     html = F.col("html").cast("string")
@@ -164,45 +205,50 @@ def page_blocks(pages: DataFrame) -> DataFrame:
 
 
 def entropies(nodes: DataFrame, digest: str) -> DataFrame:
-    """Host, path, pages and entropy of ``digest`` over that of all-different ones, from one row for each page and path.
+    """Host, path, parent, pages and entropy of ``digest`` over that of all-different ones, from one row for each page and path.
 
     Equal digests are counted before anything else, so a host with a third of all pages is summed map-side.
     """
-    counted = nodes.where(F.col(digest).isNotNull()).groupBy("host", "path", digest).agg(F.count(F.lit(1)).alias("n"), F.min("noise").alias("noise"))
+    counted = nodes.where(F.col(digest).isNotNull()).groupBy("host", "path", digest).agg(F.count(F.lit(1)).alias("n"), F.min("parent").alias("parent"))
     n = F.col("n").cast("double")
-    sums = counted.groupBy("host", "path").agg(F.sum(n).alias("pages"), F.sum(n * F.log(n)).alias("s"), F.min("noise").alias("noise"))
+    sums = counted.groupBy("host", "path").agg(F.sum(n).alias("pages"), F.sum(n * F.log(n)).alias("s"), F.min("parent").alias("parent"))
     entropy = F.log("pages") - F.col("s") / F.col("pages")
-    return sums.select("host", "path", "pages", "noise", F.when(F.col("pages") > 1, entropy / F.log("pages")).otherwise(1.0).alias("entropy"))
+    return sums.select("host", "path", "parent", "pages", F.when(F.col("pages") > 1, entropy / F.log("pages")).otherwise(1.0).alias("entropy"))
 
 
 def style_tree(nodes: DataFrame) -> DataFrame:
-    """Host, path, pages, noise, content and presentation importance of every path with text, from (host, page, path, noise, content, style) rows."""
-    once = written(nodes.select("host", "page", "path", "noise", "content", "style").distinct())
-    content = written(entropies(once, "content").withColumnRenamed("entropy", "content"))
-    style = entropies(once, "style").select("host", "path", F.col("entropy").alias("style"))
-    parts = F.split("path", "/")
-    above = content.select("host", "path", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, 1, k), "/"))).alias("node"))
-    varied = above.join(style.withColumnRenamed("path", "node"), ["host", "node"]).groupBy("host", "path").agg(F.max("style").alias("presentation"))
-    return content.join(varied, ["host", "path"], "left").select("host", "path", "pages", "noise", "content", F.coalesce("presentation", F.lit(0.0)).alias("presentation"))
+    """Host, path, pages, content and presentation importance of every path with text, from (host, page, path, parent, content, style) rows."""
+    once = written(nodes.select("host", "page", "path", "parent", "content", "style").distinct())
+    style = written(entropies(once, "style").select("host", "path", F.col("entropy").alias("style")))
+    content = entropies(once, "content").withColumnRenamed("entropy", "content").join(style, ["host", "path"])
+    above = style.select("host", F.col("path").alias("parent"), F.col("style").alias("around"))
+    presentation = F.greatest("style", DEPTH * F.coalesce("around", F.lit(0.0)))
+    return content.join(above, ["host", "parent"], "left").select("host", "path", "pages", "content", presentation.alias("presentation"))
 
 
-def verdicts(tree: DataFrame, limit: float, share: float, least: int) -> DataFrame:
-    """Host, path, keep of every path on ``least`` pages of its host or more."""
-    judged = written(tree.where(F.col("pages") >= least).withColumn("importance", F.col("content") * (1 + F.col("presentation")) / 2))
-    best = judged.groupBy("host").agg(F.max("importance").alias("best"))
-    keep = (F.col("content") >= limit) & (~F.col("noise") | (F.col("importance") >= share * F.col("best")))
-    return judged.join(best, "host").select("host", "path", keep.alias("keep"))
+def verdicts(tree: DataFrame, limit: float, weight: float) -> DataFrame:
+    """Host, path, low (boilerplate by content), high (an article by content and presentation) of every path."""
+    seen = F.col("pages") - 1
+    drawn = lambda importance, start: (seen * F.col(importance) + weight * start) / (seen + weight)
+    return tree.select("host", "path", (drawn("content", 1.0) < limit).alias("low"), ((drawn("content", 0.0) >= limit) & (drawn("presentation", 0.0) >= limit)).alias("high"))
 
 
-def extract(pages: DataFrame, limit: float = 0.3, least: int = 5, share: float = 0.9) -> DataFrame:
+def extract(pages: DataFrame, limit: float = 0.3, weight: float = 2.0) -> DataFrame:
     """Page_id, url, text, n_chars of every row of ``pages`` (page_id, url, html)."""
     parsed = written(page_blocks(pages))
     nodes = parsed.select("host", "page", F.explode("nodes").alias("node")).select("host", "page", "node.*")
-    judged = written(verdicts(style_tree(nodes), limit, share, least))
-    found = parsed.select("key", "host", F.explode(F.array_distinct(F.transform("blocks", lambda b: F.struct(b["path"].alias("path"), b["prior"].alias("prior"))))).alias("b")).select("key", "host", "b.*")
-    # Where the verdict is not the prior. Written, so that its size is known: a small one is sent to the pages, and their blocks need no shuffle.
-    flip = written(found.join(judged, ["host", "path"]).where("keep <> prior").groupBy("key").agg(F.collect_set("path").alias("flip")))
-    kept = F.filter("blocks", lambda b: b["prior"] != F.array_contains(F.coalesce("flip", F.array().cast("array<string>")), b["path"]))
+    judged = verdicts(style_tree(nodes), limit, weight).where("low OR high")
+    places = F.array_distinct(F.transform("blocks", lambda b: F.struct(b["path"].alias("path"), b["prior"].alias("prior"), b["noise"].alias("noise"))))
+    found = parsed.select("key", "host", F.exists("blocks", lambda b: b["prior"]).alias("any"), F.explode(places).alias("b")).select("key", "host", "any", "b.*")
+    met = found.where(F.col("prior") | (F.col("noise") < NEVER)).join(judged, ["host", "path"]).where("(prior AND low) OR (NOT prior AND high)")
+    # Only pages whose main text loses a branch, or that have none. Written, so that its size is known: a small one is sent to the pages, and their blocks need no shuffle.
+    low, high = F.collect_set(F.when(F.col("prior"), F.col("path"))), F.collect_set(F.when(~F.col("prior"), F.col("path")))
+    changed = written(met.groupBy("key").agg(low.alias("low"), high.alias("high"), F.max("any").alias("any")).where("size(low) > 0 OR NOT any").drop("any"))
+    within = lambda b, name: F.array_contains(F.coalesce(name, F.array().cast("array<bigint>")), b["path"])
+    prior = F.filter("blocks", lambda b: b["prior"])
+    left = F.filter("blocks", lambda b: b["prior"] & ~within(b, "low"))
+    other = F.filter("blocks", lambda b: ~b["prior"] & within(b, "high"))
+    kept = F.when(F.col("low").isNull(), prior).when(F.size(left) > 0, left).when(F.size(other) > 0, other).otherwise(prior)
     text = F.array_join(F.transform(kept, lambda b: b["text"]), "\n\n")
-    return (parsed.select("key", "page_id", "url", "blocks").join(flip, "key", "left").select("page_id", "url", text.alias("text"))
+    return (parsed.select("key", "page_id", "url", "blocks").join(changed, "key", "left").select("page_id", "url", text.alias("text"))
             .select("*", F.length("text").cast("long").alias("n_chars")))

@@ -207,6 +207,33 @@ def test_html_importance_decides(spark):
     assert got == {i + at: text(i) for i in range(12) for at in (0, 20)} | {40 + i: text(3) for i in range(9)}
 
 
+def test_html_prior_holds(spark):
+    """Comments, repeated stories, layout classes, odd quotes and deep nesting; each host says what the case is."""
+    notes = lambda i: "".join(f"<div class=note><b>user {i}</b><p>note {i} {j}</div>" for j in range(1 + i % 5))
+    rows = [(i, f"http://comments.com/{i}", f"<article><p>story {i}</article><section class=comments>{notes(i)}</section>") for i in range(20)]
+    want = {i: f"story {i}" for i in range(20)}
+    rows += [(100 + i, f"http://same.com/{i}", f"<nav>n{i}</nav><div>m{i}</div><article><p>one story</article>") for i in range(8)]
+    want |= {100 + i: "one story" for i in range(8)}
+    pages = {
+        200: ("<body class='home right-sidebar'><article>kept</article>", "kept"), 201: ("<article class='post share'>kept</article>", "kept"),
+        202: ("<p class=it's>Hello</p><p title=\"a > b\">you", "Hello\n\nyou"), 203: ("<div>" * 16000 + "deep" + "</div>" * 16000 + "<p>after", "deep\n\nafter"),
+        204: ("<div class='page has-sidebar'><p>text</div><div class=sidebar>side</div>", "text"), 205: ("<div class=widget><article>kept</article></div><nav>x</nav>", "kept"),
+        206: ("<section id=comments><p>only a comment</section>", ""), 207: ("<a " * 20000, ""), 208: ("<div data-class=ad title='class=ad'>text</div>", "text"),
+        209: ("<b>" * 5000 + "x" + "<p>y" * 5000, "x" + "\n\ny" * 5000), 210: ("</p></div>" * 3 + "a</b>b", "ab")}
+    rows += [(i, f"http://h{i}.com/", html) for i, (html, _) in pages.items()]
+    want |= {i: text for i, (_, text) in pages.items()}
+    frame = spark.createDataFrame([(*r, 1, "p", True, 2) for r in rows], "page_id long, url string, html string, key int, path string, prior boolean, host int")
+    assert {r.page_id: r.text for r in html_extraction.extract(frame).collect()} == want
+
+
+def test_html_evidence_grows_with_pages(spark):
+    """A line that all pages of a host repeat inside the article stays on few pages and leaves on many; nothing else changes."""
+    page = lambda i: f"<article><div class=more>read on</div><p>story {i}</p></article>"
+    for n, stays in ((1, True), (2, True), (5, True), (6, False), (30, False)):
+        got = {r.page_id: r.text for r in html_extraction.extract(spark.createDataFrame([(i, "http://a.com/", page(i)) for i in range(n)], "page_id long, url string, html string")).collect()}
+        assert got == {i: ("read on\n\n" if stays else "") + f"story {i}" for i in range(n)}
+
+
 def test_url_filters(spark):
     urls = [(1, "http://A.Example.NET/en/x?y"), (2, "https://b.net"), (3, "https://b.net/x"), (4, "http://example.com/de/1#a"), (5, "http://x.org/fr/"), (6, None), (7, "nope"),
             (8, "http://bad.com/1"), (8, "http://bad.com/1"), (9, "http://good.com/2")]
