@@ -208,6 +208,16 @@ def each(formulas, sql: str, names: dict | None = None) -> str:
     return union(sql.replace("{f}", f) for f in formulas)
 
 
+def p_sql(r: str, n: str) -> str:
+    """Two-sided p of a correlation by the finite series of Student's t, whose length is half the sample."""
+    log_q = f"ln(greatest(1e0 - ({r}) * ({r}), 1e-300))"
+    even = f"list_sum(list_transform(range(0, ({n} - 2) // 2), lambda k: exp(lgamma(k + 0.5e0) - lgamma(0.5e0) - lgamma(k + 1e0) + k * {log_q})))"
+    odd = f"list_sum(list_transform(range(0, ({n} - 3) // 2), lambda k: exp(lgamma(k + 1e0) + lgamma(1.5e0) - lgamma(k + 1.5e0) + (k + 0.5e0) * {log_q})))"
+    size = f"least(abs({r}), 1e0)"
+    return (f"CASE WHEN {r} IS NOT NULL AND {n} > 2 THEN greatest(0e0, CASE WHEN {n} % 2 = 0 THEN 1e0 - {size} * coalesce({even}, 0e0) "
+            f"ELSE 1e0 - 2e0 / pi() * (asin({size}) + {size} * coalesce({odd}, 0e0)) END) END")
+
+
 def strata_sql(strata, select: str, source: str = "e", having: str = "") -> str:
     """UNION ALL of one GROUP BY per (kind, label expression)."""
     return union(f"SELECT '{kind}' AS kind, {label} AS label, {select} FROM {source} WHERE {label} IS NOT NULL GROUP BY 2 {having}" for kind, label in strata)

@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from checks.fixtures import (BEATS_SQL, CATALOG_ROWS, CATALOG_SQL, ECG_SQL, STANDARD_SQL, beats, case, catalog, ecg, poly_cte, query, strata_sql, table, union, with_ecg)
+from checks.fixtures import (BEATS_SQL, CATALOG_ROWS, CATALOG_SQL, ECG_SQL, STANDARD_SQL, beats, case, catalog, ecg, p_sql, poly_cte, query, strata_sql, table, union, with_ecg)
 from checks.queries_reports import imp, pct
 from checks.queries_rows import part_equations
 from checks.queries_stats import REF, REF_Q, SUMMARY, qtc, with_ref
@@ -245,7 +245,10 @@ def _(spark, sf_dir):
     return candidates.method_agreement(a.join(other, "ecg_id", "left"))
 
 
-@query("e68_manual_check", E("SELECT count(*) AS n, abs(corr(q_inverse_rr, hr_bpm)) AS abs_r_inverse_rr, abs(corr(q_bazett, hr_bpm)) AS abs_r_bazett, abs(corr(q_inverse_rr, hr_bpm)) < 0.05 AS passes FROM e WHERE qt_ms BETWEEN 200 AND 600 AND rr_s BETWEEN 0.4 AND 2.0"), dbl="abs_r_inverse_rr abs_r_bazett")
+@query("e68_manual_check", E(f"SELECT * EXCLUDE (n_inverse_rr, n_bazett), {p_sql('abs_r_inverse_rr', 'n_inverse_rr')} AS p_inverse_rr, {p_sql('abs_r_bazett', 'n_bazett')} AS p_bazett FROM ("
+                           "SELECT count(*) AS n, abs(corr(q_inverse_rr, hr_bpm)) AS abs_r_inverse_rr, abs(corr(q_bazett, hr_bpm)) AS abs_r_bazett, abs(corr(q_inverse_rr, hr_bpm)) < 0.05 AS passes, "
+                           "count(q_inverse_rr) AS n_inverse_rr, count(q_bazett) AS n_bazett "
+                           "FROM e WHERE qt_ms BETWEEN 200 AND 600 AND rr_s BETWEEN 0.4 AND 2.0)"), dbl="abs_r_inverse_rr abs_r_bazett p_inverse_rr p_bazett")
 def _(spark, sf_dir):
     return candidates.manual_check(schema.valid_range(qtc(spark, sf_dir)))
 

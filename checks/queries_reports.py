@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from checks.fixtures import (DIAG_SQL, HOSP_SQL, METRICS, case, counts_sql, diag, div, each, ecg, hosp, metric_sql, metrics_list, poly_cte, query, reports, strata_sql,
+from checks.fixtures import (DIAG_SQL, HOSP_SQL, METRICS, case, counts_sql, diag, div, each, ecg, hosp, metric_sql, metrics_list, p_sql, poly_cte, query, reports, strata_sql,
                              table, thr, union, with_ecg, REPORT_SQL)
 from checks.queries_rows import CONC, CONF, DX_SQL, ICD_IN_SQL, T4, contains_sql, prefix_sql
 from checks.queries_stats import BINS, C3, REF, REF_Q, RES, SEX, qtc, with_ref
@@ -72,12 +72,13 @@ _SUB_OUT = ("n, " + ", ".join(f"CASE WHEN n >= 100 AND n_valid > 10 THEN r_{f} E
             ", " + _gs_out("bazett") + ", " + _gs_out("inverse_rr"))
 _SUB_DBL = (" ".join(f"abs_r_{f}" for f in FORMULAS) + " improvement_corr fp_rate_bazett fp_rate_inverse_rr improvement_fp triage_green_pct triage_yellow_pct triage_red_pct " +
             " ".join(f"gs_{f}_{m}" for f in ("bazett", "inverse_rr") for m in ("sensitivity", "specificity", "ppv", "npv", "f1")))
+_SUB_P = ", ".join(f"CASE WHEN n >= 100 AND n_valid > 10 THEN {p_sql(f'r_{f}', 'n_valid')} END AS p_{f}" for f in FORMULAS)
 _SUB = f"SELECT kind, label, {_SUB_OUT} FROM ({strata_sql(_SUB_STRATA, _SUB_AGG, 'pf')})"
 
 
-@query("e25_subgroup_metrics", E(f"SELECT superclass, {_SUB_OUT} FROM (SELECT superclass, {_SUB_AGG} FROM pf GROUP BY superclass)", unknown=None, more=REF), dbl=_SUB_DBL)
+@query("e25_subgroup_metrics", E(f"SELECT superclass, {_SUB_OUT}, {_SUB_P} FROM (SELECT superclass, {_SUB_AGG} FROM pf GROUP BY superclass)", unknown=None, more=REF), dbl=_SUB_DBL + " " + " ".join(f"p_{f}" for f in FORMULAS))
 def _(spark, sf_dir):
-    return strata.subgroup_metrics(with_ref(spark, sf_dir), ["superclass"])
+    return strata.subgroup_metrics(with_ref(spark, sf_dir), ["superclass"], p_value=True)
 
 
 @query("e26_subgroup_report", E(_SUB, unknown=None, more=REF), dbl=_SUB_DBL)
@@ -500,7 +501,7 @@ _SP = each(FORMULAS, f"""SELECT hr_stratum, count(*) AS n_rows, count(*) >= 50 A
  {', '.join(f"{pct(f'count(*) FILTER (WHERE q_{{f}} >= {t})', 'count(q_{f})')} AS pct_ge_{t}" for t in (450, 470, 500))} FROM e WHERE hr_stratum IS NOT NULL GROUP BY 1""")
 
 
-@query("e59_stratum_profile", E(_SP, extra=f"{STRATUM} AS hr_stratum"), dbl="hr_min hr_max r mean std median p5 p95 pct_ge_450 pct_ge_470 pct_ge_500")
+@query("e59_stratum_profile", E(f"SELECT *, {p_sql('r', 'n')} AS p FROM ({_SP})", extra=f"{STRATUM} AS hr_stratum"), dbl="hr_min hr_max r p mean std median p5 p95 pct_ge_450 pct_ge_470 pct_ge_500")
 def _(spark, sf_dir):
     return strata.stratum_profile(qtc(spark, sf_dir))
 

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from checks.fixtures import (METRICS, case, counts_sql, each, ecg, metrics_list, poly_cte, query, rsafe, strata_sql, thr, union, with_ecg)
+from checks.fixtures import (METRICS, case, counts_sql, each, ecg, metrics_list, p_sql, poly_cte, query, rsafe, strata_sql, thr, union, with_ecg)
 from isoqt import fixed_values as fv
 from isoqt.functions import classify as cl
+from isoqt.functions import tails
 from isoqt.functions.formulas import FORMULAS, all_qtc
 from isoqt.operators import bootstrap, moments, ranks, reference, schema, sweep
 from isoqt.operators import confusion as cf
@@ -35,10 +36,15 @@ def _(spark, sf_dir):
     return moments.hr_corr(qtc(spark, sf_dir), by=["dataset"])
 
 
-@query("e02_corr_p")
+def _corr_by(f):
+    return (f"SELECT dataset, superclass, '{f}' AS formula, count(*) AS n_rows, count(q_{f}) AS n, CASE WHEN count(q_{f}) >= 10 THEN corr(q_{f}, hr_bpm) END AS r, "
+            f"CASE WHEN count(q_{f}) >= 10 THEN abs(corr(q_{f}, hr_bpm)) END AS abs_r FROM e GROUP BY dataset, superclass")
+
+
+@query("e02_corr_p", E(f"SELECT *, {p_sql('r', 'n')} AS p FROM ({union(_corr_by(f) for f in FORMULAS)})"), dbl="r abs_r p")
 def _(spark, sf_dir):
     out = moments.hr_corr(qtc(spark, sf_dir), by=["dataset", "superclass"])
-    return out.withColumn("p", moments.corr_p("r", "n"))
+    return out.withColumn("p", tails.corr_p("r", "n"))
 
 
 _RANK = "(rank() OVER (PARTITION BY dataset ORDER BY {c}) + (count(*) OVER (PARTITION BY dataset, {c}) - 1) / 2e0)"
@@ -59,11 +65,11 @@ _RHO = union(f"""SELECT dataset, '{f}' AS formula, corr(rx, ry) AS rho FROM (SEL
   FROM e WHERE q_{f} IS NOT NULL) GROUP BY dataset""" for f in ("bazett", "inverse_rr"))
 
 
-@query("e04_formula_metrics", E(f"SELECT * FROM ({union(_metric_sql(f) for f in ('bazett', 'inverse_rr'))}) JOIN ({_RHO}) USING (dataset, formula)"),
-       dbl="r mae rmse mean std abs_r cv rho")
+@query("e04_formula_metrics", E(f"SELECT *, {p_sql('r', 'n')} AS p FROM ({union(_metric_sql(f) for f in ('bazett', 'inverse_rr'))}) JOIN ({_RHO}) USING (dataset, formula)"),
+       dbl="r mae rmse mean std abs_r cv rho p")
 def _(spark, sf_dir):
     df = qtc(spark, sf_dir).withColumn("qtc_reference_ms", F.col("qtc_fridericia"))
-    return candidates.evaluate_formulas(df, ["bazett", "inverse_rr"], rank=True)
+    return candidates.evaluate_formulas(df, ["bazett", "inverse_rr"], rank=True, p_value=True)
 
 
 SEX = "CASE sex WHEN 0 THEN 'Male' WHEN 1 THEN 'Female' END"

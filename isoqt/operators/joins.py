@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from isoqt.fixed_values import JOIN_KEY_CANDIDATES
 from isoqt.functions.clean import numeric_id
-from isoqt.operators.reference import attach
 from isoqt.operators.schema import dedup
-from isoqt.session import small_side
+from isoqt.session import small_side, written
 
 
 def merge_features(waves: DataFrame, features: DataFrame, key: str = "ecg_id", extra=()) -> DataFrame:
@@ -47,48 +46,75 @@ def lookup_demographics(df: DataFrame, meta: DataFrame, key: str = "ecg_id", col
     return df.drop(*[c for c in cols if c in df.columns]).join(side, key, "left")
 
 
+#: Longest piece of a file name that is indexed; names up to this length are looked up, longer ones share a piece and are verified.
+PIECE = 8
+
+
+def pieces(text, length) -> Column:
+    """Distinct substrings of ``text`` of ``length`` characters; none if the text is shorter."""
+    last = F.length(text) - length + 1
+    return F.when(last > 0, F.array_distinct(F.transform(F.sequence(F.lit(1), last), lambda at: F.substring(text, at, length))))
+
+
+def containing(names: DataFrame, files: DataFrame, name: str, filename: str, order: str, value: str) -> DataFrame:
+    """(name, value) of the file with the smallest ``order`` whose name contains the (distinct) name; names in no file are absent.
+
+    File names are cut into pieces of at most ``PIECE`` characters, and only of lengths that names have. A name of at most
+    that length is a piece, so its first file comes from a map-side aggregate over pieces and no pair is formed, even if every
+    file has it. A longer name has all its pieces in every file that contains it, so it is compared only with the files
+    that share its rarest one; a name with a piece that no file has needs none. The empty name is in every file.
+    """
+    names = names.select(name).where(F.col(name).isNotNull())
+    size = F.least(F.length(name), F.lit(PIECE))
+    lengths = names.select(size.alias("__size")).distinct()
+    held = [r[0] for r in lengths.where("__size > 0").collect()]  # at most PIECE numbers
+    files = files.where(F.col(filename).isNotNull() & F.col(order).isNotNull()).select(F.col(filename).alias("__file"), F.col(order).alias("__order"), F.col(value).alias("__value"))
+    first = F.min_by("__value", "__order").alias(value)
+    everywhere = names.where(F.length(name) == 0).crossJoin(files.agg(first).where(F.col(value).isNotNull())) if lengths.where("__size = 0").count() else None
+    cut = [F.coalesce(pieces(F.col("__file"), n), F.array().cast("array<string>")) for n in held]
+    indexed = written(files.select("__file", "__order", "__value", F.explode(F.flatten(F.array(*cut))).alias("__piece"))) if cut else None
+    if indexed is None:
+        return everywhere if everywhere is not None else names.where(F.lit(False)).withColumn(value, F.lit(None).cast(files.schema["__value"].dataType))
+    per_piece = written(indexed.groupBy("__piece").agg(F.count(F.lit(1)).alias("__files"), first))
+    short = names.where(F.length(name).between(1, PIECE)).join(per_piece, F.col(name) == F.col("__piece")).select(name, value)
+    long = names.where(F.length(name) > PIECE)
+    own = long.select(name, F.explode(pieces(F.col(name), F.lit(PIECE))).alias("__piece")).join(per_piece.select("__piece", "__files"), "__piece", "left")
+    rarest = own.groupBy(name).agg(F.min_by("__piece", F.coalesce("__files", F.lit(0))).alias("__piece"))
+    near = rarest.join(indexed, "__piece").where(F.contains("__file", F.col(name)))
+    out = short.unionByName(near.groupBy(name).agg(first))
+    return out if everywhere is None else out.unionByName(everywhere.select(name, value))
+
+
 def match_cascade(records: DataFrame, meta: DataFrame, name: str = "record_name", key: str = "meta_id",
                   filename: str = "filename", cols=("age", "sex")) -> DataFrame:
-    """Metadata by exact id, else by the number before '_', else by a file name holding the id.
+    """Metadata by exact id, else by the number before '_', else by the first (by id) file name holding the name.
 
-    ``key`` is text. The third step compares no pairs: every file name is cut into its substrings
-    of the lengths that unmatched record names have, and both meet on equal text.
+    ``key`` is text. Each step sees only the distinct names that the steps before left over; a name without a number skips
+    the second. Records meet the names' results once. Those without a name stay, spread by their other columns.
     """
     cols = list(cols)
-    plain = dedup(meta.select(F.col(key).cast("string").alias("__k"), *cols), ["__k"], cols)
-    exact = plain.select(F.col("__k").alias(name), *[F.col(c).alias(f"__e_{c}") for c in cols],
-                         F.lit(True).alias("__exact"))
-    number = plain.select(F.col("__k").try_cast("bigint").alias("__num"), *[F.col(c).alias(f"__n_{c}") for c in cols],
-                          F.lit(True).alias("__numeric")).filter(F.col("__num").isNotNull())
-    number = dedup(number, ["__num"], [f"__n_{c}" for c in cols])
-    out = records.join(exact, name, "left")
-    out = out.withColumn("__num", numeric_id(name)).join(number, "__num", "left")
-
+    records = records.drop(*cols, "matched_by")
+    value = F.struct(*cols).alias("__v")
+    known = meta.where(F.col(key).isNotNull())
+    plain = dedup(known.select(F.col(key).cast("string").alias("__k"), *cols), ["__k"], cols).select("__k", value)
+    names = records.select(F.col(name).cast("string").alias("__name")).where("__name IS NOT NULL").distinct()
+    step = written(names.join(plain, F.col("__name") == F.col("__k"), "left"))
+    found = [step.where("__k IS NOT NULL").select("__name", "__v", F.lit("exact").alias("matched_by"))]
+    number = dedup(plain.select(F.col("__k").try_cast("bigint").alias("__num"), "__v").where("__num IS NOT NULL"), ["__num"], ["__v"])
+    rest = step.where("__k IS NULL").select("__name", numeric_id("__name").alias("__own"))
+    step = written(rest.where("__own IS NOT NULL").join(number, F.col("__own") == F.col("__num"), "left").select("__name", "__num", "__v"))
+    found.append(step.where("__num IS NOT NULL").select("__name", "__v", F.lit("numeric").alias("matched_by")))
     if filename in meta.columns:
-        pending = (out.filter(F.col("__exact").isNull() & F.col("__numeric").isNull())
-                   .select(name).distinct())
-        lengths = pending.agg(F.collect_set(F.length(name)).alias("__lengths"))
-        files = attach(meta.select(filename, F.col(key).alias("__file_id"), *cols), lengths, ())
-        size = F.length(filename)
-        pieces = F.flatten(F.transform(
-            F.filter("__lengths", lambda n: n <= size),
-            lambda n: F.transform(F.sequence(F.lit(1), size - n + 1), lambda at: F.substring(filename, at, n))))
-        parts = files.select("__file_id", *cols, F.explode(F.array_distinct(pieces)).alias(name))
-        hit = pending.join(parts, name)
-        first = hit.groupBy(name).agg(F.min_by(F.struct(*cols), "__file_id").alias("__f"))
-        out = out.join(first, name, "left")
-        found = F.col("__f")
-    else:
-        found = None
-    exact_hit, number_hit = F.col("__exact").isNotNull(), F.col("__numeric").isNotNull()
-    chosen = {}
-    for c in cols:
-        value = F.when(exact_hit, F.col(f"__e_{c}")).when(number_hit, F.col(f"__n_{c}"))
-        chosen[c] = value if found is None else value.otherwise(found[c])
-    how = F.when(exact_hit, "exact").when(number_hit, "numeric")
-    if found is not None:
-        how = how.when(found.isNotNull(), "filename")
-    return out.select(*records.columns, *[v.alias(c) for c, v in chosen.items()], how.alias("matched_by"))
+        pending = written(rest.where("__own IS NULL").select("__name").unionByName(step.where("__num IS NULL").select("__name")))
+        files = known.select(F.col(filename).cast("string").alias("__f"), F.struct(F.col(key).cast("string"), *cols).alias("__id"), value)
+        found.append(containing(pending, files, "__name", "__f", "__id", "__v").select("__name", "__v", F.lit("filename").alias("matched_by")))
+    matched = found[0]
+    for more in found[1:]:
+        matched = matched.unionByName(more)
+    # A record without a name gets a key that no name has.
+    spread = F.concat(F.lit("\0"), F.xxhash64(*[F.col(f"`{c}`") for c in records.columns]).cast("string"))
+    out = records.withColumn("__of", F.coalesce(F.col(name).cast("string"), spread)).join(matched.withColumnRenamed("__name", "__of"), "__of", "left")
+    return out.select(*records.columns, *[F.col("__v")[c].alias(c) for c in cols], "matched_by")
 
 
 def link_outcomes(ecg: DataFrame, diagnoses: DataFrame) -> DataFrame:

@@ -6,7 +6,6 @@ coarser group, held-out set and parameter grid is then computed from those few r
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -71,56 +70,3 @@ def hr_corr(df: DataFrame, formulas=FORMULAS, by=(), min_n: int = 10, hr: str =
                               pair_corr(f, min_n).alias("r")) for f in formulas])
     return (wide.select(*by, "n_rows", F.explode(rows).alias("m"))
             .select(*by, "n_rows", "m.*").withColumn("abs_r", F.abs("r")))
-
-
-# ---- significance -------------------------------------------------------------------------
-def _t_tail(r: float, n: float) -> float:
-    """Two-sided p of a correlation: I_{1-r^2}((n-2)/2, 1/2) by continued fraction."""
-    import math
-
-    if not (n > 2) or r != r:
-        return float("nan")
-    a, b, x = (n - 2) / 2.0, 0.5, 1.0 - min(r * r, 1.0)
-    if x <= 0.0:
-        return 0.0
-    if x >= 1.0:
-        return 1.0
-
-    def fraction(a, b, x):
-        c, d = 1.0, 1.0 / max(1.0 - (a + b) * x / (a + 1.0), 1e-300)
-        h = d
-        for m in range(1, 500):
-            for step in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)),
-                         -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
-                d = 1.0 / ((1.0 + step * d) or 1e-300)
-                c = (1.0 + step / c) or 1e-300
-                h *= d * c
-            if abs(d * c - 1.0) < 1e-15:
-                break
-        return h
-
-    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b)
-                     + a * math.log(x) + b * math.log1p(-x))
-    if x < (a + 1.0) / (a + b + 2.0):
-        return front * fraction(a, b, x) / a
-    return 1.0 - front * fraction(b, a, 1.0 - x) / b
-
-
-def corr_p(r, n) -> Column:
-    """Two-sided p-value of r over n pairs; meant for the few rows of a report."""
-    @F.pandas_udf("double")
-    def p_value(r: pd.Series, n: pd.Series) -> pd.Series:
-        return pd.Series([_t_tail(a, b) for a, b in zip(r.astype(float), n.astype(float))])
-
-    value = p_value(col(r), col(n).cast("double"))
-    return F.when(col(r).isNotNull() & (col(n) > 2), value)
-
-
-def chi2_p(chi2) -> Column:
-    """p of a chi-square with one degree of freedom; meant for the few rows of a report."""
-    @F.pandas_udf("double")
-    def p_value(x: pd.Series) -> pd.Series:
-        import math
-        return x.astype(float).map(lambda v: math.erfc(math.sqrt(v / 2.0)) if v == v else v)
-
-    return F.when(col(chi2).isNotNull(), p_value(col(chi2)))

@@ -10,6 +10,7 @@ from isoqt.functions.classify import bucketize
 from isoqt.functions.clean import clip
 from isoqt.functions.equations import formula_column, formula_features, full_formula, usable_formulas
 from isoqt.functions.formulas import improvement, unified_score
+from isoqt.functions.tails import corr_p
 from isoqt.operators.moments import pair_corr, pair_mean_y, pair_n, pair_std_y, pair_sums
 from isoqt.operators.quantiles import join_groups, percentiles
 from isoqt.operators.ranks import spearman
@@ -71,10 +72,11 @@ class FormulaCatalog:
 
 
 # ---- metrics ------------------------------------------------------------------------------
-def evaluate_formulas(df: DataFrame, formulas, by=("dataset",), reference: str = "qtc_reference_ms", min_n: int = 10, rank: bool = False) -> DataFrame:
+def evaluate_formulas(df: DataFrame, formulas, by=("dataset",), reference: str = "qtc_reference_ms", min_n: int = 10, rank: bool = False,
+                      p_value: bool = False) -> DataFrame:
     """n, r, |r|, MAE, RMSE, mean, population std and CV of every formula per group, one scan.
 
-    With ``rank`` also Spearman's rho, which needs the ranks of each formula.
+    With ``rank`` also Spearman's rho, which needs the ranks of each formula; with ``p_value`` the two-sided p of r.
     """
     by, aggs = list(by), []
     for f in formulas:
@@ -91,6 +93,8 @@ def evaluate_formulas(df: DataFrame, formulas, by=("dataset",), reference: str =
         "n": pair_n, "r": when_enough(pair_corr), "mae": when_enough(lambda f: F.col(f"{f}__ae") / pair_n(f)),
         "rmse": when_enough(lambda f: F.sqrt(F.col(f"{f}__se") / pair_n(f))), "mean": when_enough(pair_mean_y), "std": when_enough(pair_std_y)}, by)
     out = out.withColumns({"abs_r": F.abs("r"), "cv": F.when(F.col("mean") > 0, F.col("std") / F.col("mean"))})
+    if p_value:
+        out = out.withColumn("p", corr_p("r", "n"))
     if not rank:
         return out
     values = F.array(*[F.struct(F.lit(f).alias("formula"), F.col(f"qtc_{f}").alias("q")) for f in formulas])
@@ -285,7 +289,8 @@ def method_agreement(df: DataFrame, target_r: float = 0.05, min_n: int = 100) ->
 
 
 def manual_check(df: DataFrame, target_r: float = 0.05) -> DataFrame:
-    """|r| of both formulas on hand-annotated rows within the valid range, and the pass flag."""
+    """|r| and its two-sided p for both formulas on hand-annotated rows within the valid range, and the pass flag."""
     wide = df.agg(F.count(F.lit(1)).alias("n"), *pair_sums("qtc_inverse_rr", "hr_bpm", "new"), *pair_sums("qtc_bazett", "hr_bpm", "base"))
     r, b = F.abs(pair_corr("new")), F.abs(pair_corr("base"))
-    return wide.select("n", r.alias("abs_r_inverse_rr"), b.alias("abs_r_bazett"), (r < target_r).alias("passes"))
+    return wide.select("n", r.alias("abs_r_inverse_rr"), corr_p(r, pair_n("new")).alias("p_inverse_rr"), b.alias("abs_r_bazett"), corr_p(b, pair_n("base")).alias("p_bazett"),
+                       (r < target_r).alias("passes"))

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from isoqt.functions.tails import chi2_p
 from isoqt.operators.logistic import fit_all
-from isoqt.operators.moments import chi2_p
 from isoqt.operators.quantiles import join_groups, percentiles
 from isoqt.plans.cells import share, share0, with_enough
 

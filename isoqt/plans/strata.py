@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from isoqt.fixed_values import (AGE_BINS, AGE_VALIDATION_BINS, HR_BINS, HR_STRATA, HR_VALIDATION_BINS, HR_ZONES)
 from isoqt.functions.classify import bucketize, prolonged, triage
 from isoqt.functions.formulas import FORMULAS, improvement
+from isoqt.functions.tails import corr_p
 from isoqt.operators.confusion import ratio
 from isoqt.operators.moments import pair_corr, pair_mean_y, pair_n, pair_std_y, pair_sums
 from isoqt.operators.quantiles import join_groups, percentiles
@@ -58,12 +59,14 @@ def subgroup_aggregates(formulas=FORMULAS, reference: str | None = "qtc_referenc
     return out
 
 
-def subgroup_columns(df: DataFrame, keep, formulas=FORMULAS, min_n: int = 100, min_sub: int = 10) -> DataFrame:
-    """Metrics of each subgroup; small groups keep only n."""
+def subgroup_columns(df: DataFrame, keep, formulas=FORMULAS, min_n: int = 100, min_sub: int = 10, p_value: bool = False) -> DataFrame:
+    """Metrics of each subgroup, with ``p_value`` also the two-sided p of each correlation; small groups keep only n."""
     big = F.col("n") >= min_n
     cols = {}
     for f in formulas:
         cols[f"abs_r_{f}"] = F.when(big & (pair_n(f) > min_sub), F.abs(pair_corr(f)))
+        if p_value:
+            cols[f"p_{f}"] = corr_p(cols[f"abs_r_{f}"], pair_n(f))
     cols["improvement_corr"] = F.when(big, improvement(F.abs(pair_corr("bazett", min_sub + 1)),
                                                        F.abs(pair_corr("inverse_rr", min_sub + 1))))
     cols["n_norm"] = F.when(big, F.col("n_norm"))
@@ -87,12 +90,12 @@ def subgroup_columns(df: DataFrame, keep, formulas=FORMULAS, min_n: int = 100, m
     return df.select(*keep, "n", *[c.alias(n) for n, c in cols.items()])
 
 
-def subgroup_metrics(df: DataFrame, by, formulas=FORMULAS, reference: str | None = "qtc_reference_ms") -> DataFrame:
+def subgroup_metrics(df: DataFrame, by, formulas=FORMULAS, reference: str | None = "qtc_reference_ms", p_value: bool = False) -> DataFrame:
     """Subgroup metrics for one grouping."""
-    return subgroup_columns(df.groupBy(*by).agg(*subgroup_aggregates(formulas, reference)), list(by), formulas)
+    return subgroup_columns(df.groupBy(*by).agg(*subgroup_aggregates(formulas, reference)), list(by), formulas, p_value=p_value)
 
 
-def subgroup_report(df: DataFrame, formulas=FORMULAS, reference: str | None = "qtc_reference_ms") -> DataFrame:
+def subgroup_report(df: DataFrame, formulas=FORMULAS, reference: str | None = "qtc_reference_ms", p_value: bool = False) -> DataFrame:
     """Subgroup metrics by age, sex, rate, dataset, rate x sex, rate x age and overall."""
     keys = {"age_group": bucketize("age", AGE_BINS), "sex_label": sex_label(), "hr_group": bucketize("hr_bpm", HR_BINS),
             "ds": F.col("dataset")}
@@ -100,7 +103,7 @@ def subgroup_report(df: DataFrame, formulas=FORMULAS, reference: str | None = "q
     strata = [("Age", age), ("Sex", sex), ("Heart Rate", hr), ("Dataset", F.col("ds")),
               ("HR × Sex", F.concat(hr, F.lit(" × "), sex)), ("HR × Age", F.concat(hr, F.lit(" × "), age)),
               ("Overall", F.lit("All datasets"))]
-    return subgroup_columns(stratify(df, keys, strata, subgroup_aggregates(formulas, reference)), ["kind", "label"], formulas)
+    return subgroup_columns(stratify(df, keys, strata, subgroup_aggregates(formulas, reference)), ["kind", "label"], formulas, p_value=p_value)
 
 
 def misleading(report: DataFrame) -> DataFrame:
@@ -158,7 +161,7 @@ def hr_stratum(hr="hr_bpm") -> Column:
 
 
 def stratum_profile(df: DataFrame, formulas=FORMULAS, min_n: int = 50) -> DataFrame:
-    """r, mean, population std, percentiles and share at or above 450/470/500 per stratum and formula."""
+    """r and its two-sided p, mean, population std, percentiles and share at or above 450/470/500 per stratum and formula."""
     rows = df.withColumn("hr_stratum", bucketize("hr_bpm", HR_STRATA)).filter(F.col("hr_stratum").isNotNull())
     sums = [c for f in formulas for c in pair_sums(f"qtc_{f}", "hr_bpm", f)]
     above = [F.count_if(F.col(f"qtc_{f}") >= t).alias(f"{f}_ge_{t}") for f in formulas for t in (450, 470, 500)]
@@ -166,7 +169,7 @@ def stratum_profile(df: DataFrame, formulas=FORMULAS, min_n: int = 50) -> DataFr
                                           *sums, *above).transform(with_enough, min_n, "n_rows")
     wanted = {f"{f}_{name}": (f"qtc_{f}", p) for f in formulas for name, p in (("median", 0.5), ("p5", 0.05), ("p95", 0.95))}
     joined = join_groups(wide, percentiles(rows, wanted, ["hr_stratum"]), ["hr_stratum"])
-    fields = {"n": pair_n, "r": pair_corr, "mean": pair_mean_y, "std": pair_std_y}
+    fields = {"n": pair_n, "r": pair_corr, "p": lambda f: corr_p(pair_corr(f), pair_n(f)), "mean": pair_mean_y, "std": pair_std_y}
     fields |= {x: (lambda f, x=x: F.col(f"{f}_{x}")) for x in ("median", "p5", "p95")}
     fields |= {f"pct_ge_{t}": (lambda f, t=t: share(f"{f}_ge_{t}", pair_n(f))) for t in (450, 470, 500)}
     return per_formula_rows(joined, formulas, fields, ["hr_stratum", "n_rows", "enough", "hr_min", "hr_max"])

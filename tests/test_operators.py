@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from isoqt.functions.formulas import FORMULAS
+from isoqt.functions import tails
 from isoqt.operators import beats as bt
 from isoqt.operators import bootstrap, joins, moments, ranks, reference, schema, sweep
 from isoqt.operators.confusion import confusion, reclass_matrix
@@ -146,7 +147,7 @@ def test_bootstrap_confusion_brackets(spark):
 
 @pytest.mark.parametrize("r,n", [(0.05, 50), (0.3, 30), (-0.8, 12), (0.01, 5000)])
 def test_corr_p_equals_integral(spark, r, n):
-    got = spark.createDataFrame([(r, n)], "r double, n bigint").select(moments.corr_p("r", "n")).first()[0]
+    got = spark.createDataFrame([(r, n)], "r double, n bigint").select(tails.corr_p("r", "n")).first()[0]
     df, t = n - 2, abs(r) * math.sqrt((n - 2) / (1 - r * r))
     u = np.linspace(0, math.pi / 2 - math.atan(t / math.sqrt(df)), 200001)  # x = sqrt(df) tan(pi/2 - u)
     density = np.sin(u) ** (df - 1)
@@ -154,8 +155,21 @@ def test_corr_p_equals_integral(spark, r, n):
     assert got == pytest.approx(2 * norm * np.trapezoid(density, u), rel=1e-5)
 
 
+@pytest.mark.parametrize("r,n,want", [(0.5, 3, 2 / 3), (0.3, 4, 0.7), (1.0, 9, 0.0), (0.0, 3, 1.0), (0.0, 10**11, 1.0), (None, 9, None), (0.5, 2, None), (float("nan"), 9, None)])
+def test_corr_p_closed_forms(spark, r, n, want):
+    got = spark.createDataFrame([(r, n)], "r double, n bigint").select(tails.corr_p("r", "n")).first()[0]
+    assert got is None if want is None else got == pytest.approx(want, rel=1e-11)
+
+
+@pytest.mark.parametrize("z", [0.5, 3.0, 12.0, 30.0])
+def test_tails_meet_the_normal_for_huge_samples(spark, z):
+    rows = spark.createDataFrame([(z / math.sqrt(1e11), 10**11, z * z)], "r double, n bigint, x double")
+    p, chi = rows.select(tails.corr_p("r", "n"), tails.chi2_p("x")).first()
+    assert chi == pytest.approx(math.erfc(z / math.sqrt(2)), rel=1e-11) and p == pytest.approx(chi, rel=1e-6)
+
+
 def test_chi2_p(spark):
-    got = [r[0] for r in spark.createDataFrame([(3.841459,), (0.0,)], "x double").select(moments.chi2_p("x")).collect()]
+    got = [r[0] for r in spark.createDataFrame([(3.841459,), (0.0,)], "x double").select(tails.chi2_p("x")).collect()]
     assert got == pytest.approx([0.05, 1.0], abs=1e-6)
 
 
@@ -212,6 +226,33 @@ def test_match_cascade_by_filename(spark):
     assert got == {"00001_hr": (10.0, "numeric"), "x9": (20.0, "exact"), "rec-7": (30.0, "filename"), "none": (None, None)}
 
 
+def test_match_cascade_equals_brute_force(spark):
+    rng = np.random.default_rng(5)
+    word = lambda n: "".join(rng.choice(list("ab1_"), n))
+    files = [(f"id{i:03d}", "dir/" + word(30) + ".dat", float(i)) for i in range(120)] + [("7", None, 1.0), (None, "dir/zz", 2.0), ("id003", "dir/zzabab", 3.0)]
+    names = {word(int(n)) for n in rng.integers(1, 14, 400)} | {f[1][k : k + 15] for k, f in enumerate(files[:15])} | {"", "a", "007_x", "id005", "zz", "nowhere_at_all"}
+    rows = [(n, i) for i, n in enumerate(sorted(names))] + [(None, 1000 + i) for i in range(300)] + [("a", 2000 + i) for i in range(300)]
+    meta = spark.createDataFrame(files, "meta_id string, filename string, age double")
+    rec = spark.createDataFrame([(n, i, 9.0) for n, i in rows], "record_name string, i bigint, age double")
+
+    def want(name):
+        if name is None:
+            return None, None
+        exact = sorted(a for k, _, a in files if k == name)
+        if exact:
+            return exact[0], "exact"
+        head = name.split("_")[0]
+        same = sorted(a for k, _, a in files if k is not None and k.isdigit() and head.isdigit() and int(k) == int(head))
+        if same:
+            return same[0], "numeric"
+        held = sorted((k, a) for k, f, a in files if k is not None and f is not None and name in f)
+        return (held[0][1], "filename") if held else (None, None)
+
+    got = {r["i"]: (r["record_name"], r["age"], r["matched_by"]) for r in joins.match_cascade(rec, meta, cols=("age",)).collect()}
+    assert got == {i: (n, *want(n)) for n, i in rows}
+    assert joins.match_cascade(rec.limit(0), meta, cols=("age",)).count() == 0 and joins.match_cascade(rec, meta.limit(0), cols=("age",)).where("matched_by IS NOT NULL").count() == 0
+
+
 def test_uncoded_first_headers_do_not_hide_coded_ones(spark):
     from isoqt.sources.records import has_coded_headers
 
