@@ -377,7 +377,7 @@ def _(spark, sf_dir):
     return tables.flatten_report(nested, "report", "population")
 
 
-@query("a16_sample_export")
+@query("a16_sample_export", E("SELECT ecg_id, hr_bpm, sex, dataset, qt_ms + 125e0 / rr_s - 125e0 AS qtc_inverse_rr, q_bazett AS qtc_bazett FROM e ORDER BY substring(md5('42|' || ecg_id), 1, 15), ecg_id LIMIT 5000"), dbl="hr_bpm qtc_inverse_rr qtc_bazett")
 def _(spark, sf_dir):
     return tables.sample_export(qtc(spark, sf_dir, "c125"), 5000, ["ecg_id", "hr_bpm", "sex", "dataset", "qtc_inverse_rr", "qtc_bazett"])
 

@@ -199,12 +199,15 @@ def _(spark, sf_dir):
                     clean.numeric_id(clean.record_id("path")).alias("numeric_id"))
 
 
-@query("b21_sample_n_per_dataset")
+_HASH = "CAST('0x' || substring(md5('42|' || ecg_id), 1, 15) AS BIGINT)"
+
+
+@query("b21_sample_n_per_dataset", E(f"SELECT ecg_id, dataset, qt_ms FROM e QUALIFY row_number() OVER (PARTITION BY dataset ORDER BY {_HASH}, ecg_id) <= 200"), dbl="qt_ms")
 def _(spark, sf_dir):
     return schema.sample_n(ecg(spark, sf_dir).select("ecg_id", "dataset", "qt_ms"), 200, by=["dataset"])
 
 
-@query("b22_split")
+@query("b22_split", E(f"SELECT ecg_id, dataset, {_HASH} % 100 < 20 AS is_test FROM e"))
 def _(spark, sf_dir):
     return schema.split(ecg(spark, sf_dir).select("ecg_id", "dataset"))
 

@@ -179,28 +179,29 @@ def dedup(df: DataFrame, keys=None, order=None) -> DataFrame:
 
 
 def hash_order(keys, seed: int) -> Column:
-    return F.xxhash64(F.lit(seed), *[F.col(k) for k in keys])
+    """Seeded position of a key among 2^60: the first 15 hex digits of an md5, which any engine can compute."""
+    text = F.concat_ws("|", F.lit(str(seed)), *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys])
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("bigint")
 
 
 def sample_n(df: DataFrame, n: int, keys=("ecg_id",), by=(), seed: int = 42) -> DataFrame:
     """Seeded sample of ``n`` rows, overall or per group; the same under any partitioning.
 
-    Overall it is a top-n. Per group, the rows kept are those below a hash bound found from bucket
-    counts, so the ranking window only sees little more than ``n`` rows of a group.
+    Counts of the leading 16 bits of the hash, at most 65,536 rows a group, tell which bucket holds the n-th row. Rows of the
+    buckets before it are taken by a filter. Only rows of that bucket are needed in order, and buckets are ranked apart, so
+    no task sorts a group, whether n is small or large. Rows that repeat a key follow each other in any order.
     """
-    hashed = df.withColumn("__h", hash_order(keys, seed))
-    if not by:
-        return hashed.orderBy("__h", *keys).limit(n).drop("__h")
-    by, slots = list(by), 1 << 16
-    bucketed = hashed.withColumn("__b", F.pmod(F.shiftrightunsigned("__h", 48), F.lit(slots)))
-    counts = bucketed.groupBy(*by, "__b").agg(F.count(F.lit(1)).alias("__n"))
+    by = list(by)
+    hashed = df.withColumn("__h", hash_order(keys, seed)).withColumn("__b", F.shiftright("__h", 44))
+    counts = hashed.groupBy(*by, "__b").agg(F.count(F.lit(1)).alias("__n"))
     before = Window.partitionBy(*by).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    bound = (counts.withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0)))
-             .filter(F.col("__before") < n).groupBy(*by).agg(F.max("__b").alias("__last")))
-    near = attach(bucketed, bound, by).filter(F.col("__b") <= F.col("__last"))
-    ranked = Window.partitionBy(*by).orderBy("__b", "__h", *keys)
-    return (near.withColumn("__rn", F.row_number().over(ranked)).filter(F.col("__rn") <= n)
-            .drop("__h", "__b", "__rn", "__last"))
+    bound = (counts.withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0))).filter(F.col("__before") < n)
+             .groupBy(*by).agg(F.max_by(F.struct(F.col("__b").alias("b"), (n - F.col("__before")).alias("wanted")), "__b").alias("__last")))
+    bound = bound.select(*by, F.col("__last.b").alias("__last"), F.col("__last.wanted").alias("__wanted"))
+    near = attach(hashed, bound, by).filter(F.col("__b") <= F.col("__last"))
+    ranked = Window.partitionBy(*by, "__b").orderBy("__h", *keys)
+    kept = near.withColumn("__rn", F.row_number().over(ranked)).filter((F.col("__b") < F.col("__last")) | (F.col("__rn") <= F.col("__wanted")))
+    return kept.drop("__h", "__b", "__last", "__wanted", "__rn")
 
 
 def split(df: DataFrame, test_pct: int = 20, keys=("ecg_id",), seed: int = 42) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from isoqt.functions.clean import finite, number
-from isoqt.operators.schema import hash_order, pool
+from isoqt.operators.schema import pool, sample_n
 
 # Separator and decimal sign per dialect (fixed values).
 DIALECTS = {"eu": (";", ","), "std": (",", ".")}
@@ -139,9 +139,9 @@ def flatten_report(df: DataFrame, key: str | None = None, name: str = "name") ->
 
 
 def sample_export(df: DataFrame, n: int = 50_000, cols=None, keys=("ecg_id",), seed: int = 42) -> DataFrame:
-    """Fixed-size seeded sample without replacement of chosen columns (a distributed top-n)."""
-    ordered = df.withColumn("__h", hash_order(keys, seed)).orderBy("__h", *keys).limit(n)
-    return ordered.select(*(cols or df.columns))
+    """Fixed-size seeded sample without replacement of chosen columns; no task orders the sample."""
+    cols = list(cols or df.columns)
+    return sample_n(df.select(*dict.fromkeys([*cols, *keys])), n, keys, seed=seed).select(*cols)
 
 
 def route_errors(df: DataFrame, reason) -> tuple[DataFrame, DataFrame]:

@@ -180,7 +180,12 @@ def test_split_and_sample_survive_repartitioning(ecg):
     s1 = {r["ecg_id"] for r in schema.sample_n(ecg, 20, by=["dataset"]).select("ecg_id").collect()}
     s2 = {r["ecg_id"] for r in schema.sample_n(ecg.repartition(5), 20, by=["dataset"]).select("ecg_id").collect()}
     assert s1 == s2 and len(s1) == 20 * ecg.select("dataset").distinct().count()
-    assert schema.sample_n(ecg, 33).count() == 33
+    for n in (0, 1, 33, 10**6):
+        assert schema.sample_n(ecg, n).count() == min(n, ecg.count())
+    assert schema.sample_n(ecg.limit(0), 5).count() == 0 and schema.sample_n(ecg.limit(0), 5, by=["dataset"]).count() == 0
+    small = {r["ecg_id"] for r in schema.sample_n(ecg, 50).select("ecg_id").collect()}
+    assert small < {r["ecg_id"] for r in schema.sample_n(ecg.repartition(7), 60).select("ecg_id").collect()}
+    assert schema.sample_n(ecg.withColumn("ecg_id", F.lit(None).cast("bigint")), 40).count() == 40
 
 
 def test_merge_keeps_row_count(ecg):
