@@ -281,10 +281,8 @@ def _(spark, sf_dir):
 
 @query("d09_parameter_grid", E(union(f"SELECT CAST({t} AS BIGINT) AS threshold, dataset, count(*) FILTER (WHERE q_bazett > {t}) AS n_above FROM e GROUP BY dataset" for t in range(400, 501, 20))))
 def _(spark, sf_dir):
-    limits = list(range(400, 501, 20))
-    wide = qtc(spark, sf_dir).groupBy("dataset").agg(*[F.count_if(F.col("qtc_bazett") > t).alias(f"t{t}") for t in limits])
-    rows = F.array(*[F.struct(F.lit(t).cast("bigint").alias("threshold"), F.col(f"t{t}").alias("n_above")) for t in limits])
-    return wide.select("dataset", F.explode(rows).alias("m")).select("dataset", "m.*")
+    grid = sweep.threshold_grid(qtc(spark, sf_dir), "qtc_bazett", range(400, 501, 20), ["dataset"])
+    return grid.withColumn("threshold", F.col("threshold").cast("bigint"))
 
 
 # ---- bootstrap ----------------------------------------------------------------------------

@@ -209,3 +209,21 @@ def adjust_sweep(df: DataFrame, qtc: str = "qtc_inverse_rr", threshold: str = "t
     return wide.select(F.coalesce(best["shift"], F.lit(0)).cast("bigint").alias("optimal_adjustment"),
                        current.alias("current_fp_rate"),
                        F.coalesce(best["rate"], current).alias("optimal_fp_rate"))
+
+
+# ---- thresholds ---------------------------------------------------------------------------
+def threshold_grid(df: DataFrame, value, limits, by=(), inclusive: bool = False) -> DataFrame:
+    """n_above of every group at every limit: rows whose value is above it, or at it if ``inclusive``.
+
+    One scan counts the rows of each group by how many of the ascending limits they pass; all limits are sums of these
+    counts. A group without a row above a limit has 0 there; null and NaN values are above none.
+    """
+    limits, by = sorted(set(limits)), list(by)
+    v = F.col(value) if isinstance(value, str) else value
+    v = F.when(~F.isnan(v.cast("double")), v)
+    steps = F.array(*[F.lit(t) for t in limits])
+    passed = F.size(F.filter(steps, (lambda t: v >= t) if inclusive else (lambda t: v > t)))
+    counts = df.groupBy(*by, passed.alias("__passed")).agg(F.count(F.lit(1)).alias("__n"))
+    grid = counts.select("*", F.posexplode(steps).alias("__at", "threshold"))
+    above = F.sum(F.when(F.col("__passed") > F.col("__at"), F.col("__n")).otherwise(F.lit(0)))
+    return grid.groupBy(*by, "threshold").agg(above.cast("bigint").alias("n_above"))

@@ -219,6 +219,15 @@ def test_fix_rr_unit_only_in_ms_groups(ecg):
     assert schema.fix_rr_unit(mixed).agg(F.max("rr_s")).first()[0] < 2
 
 
+def test_threshold_grid(spark):
+    rows = [("a", v) for v in (1.0, 2.0, 2.0, 5.0, None, float("nan"))] + [(None, 3.0), ("b", None)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    for inclusive in (False, True):
+        got = {(r["g"], r["threshold"]): r["n_above"] for r in sweep.threshold_grid(df, "v", [3.0, 2.0, 9.0], ["g"], inclusive).collect()}
+        assert got == {(g, t): sum(1 for k, v in rows if k == g and v is not None and (v >= t if inclusive else v > t)) for g in ("a", None, "b") for t in (2.0, 3.0, 9.0)}
+    assert [r["n_above"] for r in sweep.threshold_grid(df, "v", [2.0]).collect()] == [2]
+
+
 def test_dedup_takes_first(spark):
     df = spark.createDataFrame([(1, "b"), (1, "a"), (2, "c")], "k int, v string")
     assert sorted(tuple(r) for r in schema.dedup(df, ["k"], ["v"]).collect()) == [(1, "a"), (2, "c")]
