@@ -621,12 +621,20 @@ def _(spark, sf_dir):
     return safety.safety(safety.outcomes_by_patient(patient_rows(spark, sf_dir)), "patient", p_value=False)
 
 
-@query("e64_safety_by_record", E(safety_sql(_RB, "n_records", "n_any_severe_event", "CASE WHEN r1 - r2 < 1 THEN 'SAFE' WHEN r1 - r2 < 2 THEN 'ACCEPTABLE' ELSE 'NEEDS_REVIEW' END"), extra=_FX, more=_OM), dbl=_SDBL)
+_RECORD_VERDICT = "CASE WHEN r1 - r2 < 1 THEN 'SAFE' WHEN r1 - r2 < 2 THEN 'ACCEPTABLE' ELSE 'NEEDS_REVIEW' END"
+
+
+@query("e64_safety_by_record", E(safety_sql(_RB, "n_records", "n_any_severe_event", _RECORD_VERDICT), extra=_FX, more=_OM), dbl=_SDBL)
 def _(spark, sf_dir):
     return safety.safety(safety.outcomes_by_record(outcomes(spark, sf_dir)), "record", p_value=False)
 
 
-@query("e64_safety_p_value")
+# erf(x) = exp(-x^2) * sum of x^(2k+1) / gamma(k + 3/2) at x^2 = chi2 / 2.
+_CHI_P = ("CASE WHEN chi2 IS NOT NULL THEN greatest(0e0, 1e0 - list_sum(list_transform(range(0, 100 + CAST(4 * chi2 AS BIGINT)), "
+          "lambda k: exp((k + 0.5e0) * ln(greatest(chi2 / 2, 1e-300)) - chi2 / 2 - lgamma(k + 1.5e0))))) END")
+
+
+@query("e64_safety_p_value", E(f"SELECT *, {_CHI_P} AS p_value FROM ({safety_sql(_RB, 'n_records', 'n_any_severe_event', _RECORD_VERDICT)})", extra=_FX, more=_OM), dbl=_SDBL + " p_value")
 def _(spark, sf_dir):
     return safety.safety(safety.outcomes_by_record(outcomes(spark, sf_dir)), "record")
 
