@@ -538,7 +538,7 @@ def _(spark, sf_dir):
 
 @query("c37_improvement", "SELECT l_orderkey, l_linenumber, CASE WHEN l_tax > 0.001e0 THEN l_discount / l_tax ELSE CAST('inf' AS DOUBLE) END AS factor FROM lineitem", dbl="factor")
 def _(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", fo.improvement("l_discount", "l_tax").alias("factor"))
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", fo.improvement("l_discount", "l_tax", unknown=float("inf")).alias("factor"))
 
 
 # ---- A: row functions of sources ----------------------------------------------------------

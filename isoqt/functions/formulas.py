@@ -89,10 +89,11 @@ def estimate_qt(rr="rr_s") -> Column:
     return F.lit(410.0) * F.sqrt(above_zero(rr))
 
 
-def improvement(a, b, eps: float = 0.001) -> Column:
-    """a/b, infinite where b is not above ``eps``."""
+def improvement(a, b, eps: float = 0.001, unknown: float | None = None) -> Column:
+    """a/b, infinite where b is not above ``eps``; ``unknown`` is the result where b is missing, or a is and b is not above ``eps``."""
+    missing = F.lit(None if unknown is None else float(unknown)).cast("double")
     return (F.when(col(b) > eps, F.try_divide(col(a), col(b)))
-            .when(col(b).isNotNull() & col(a).isNotNull(), F.lit(float("inf"))))
+            .when(col(b).isNotNull() & col(a).isNotNull(), F.lit(float("inf"))).otherwise(missing))
 
 
 def unified_score(abs_r, complexity, maxsize: int = 7) -> Column:
