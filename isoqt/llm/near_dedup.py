@@ -16,8 +16,10 @@
    labels spread along the links. In clusters of the other trees one node stands for each label; those pairs, made
    distinct over all trees, are compared exactly and labels spread again.
 5. What is still open are pairs with agreeing sketches and different labels: those of a cluster, distinct over all trees,
-   and in a family those of a node outside the main label and any other node, in squares of ``SIDE`` by ``SIDE``. All are
-   compared exactly. A pair that met in a leaf or a cut branch is therefore linked, refuted, or in one component already;
+   and those of a family. Most nodes of a family are refuted without a partner: a pair of similarity 0.8 shares one of the
+   rarest shingles of both, so far to the front that the rest of each set is large enough, and only nodes that have such a shingle in common
+   with another label stay, in new families by these shingles. There a node outside the main label meets every other node, in
+   squares of ``SIDE`` by ``SIDE``. All are compared exactly. A pair that met in a leaf or a cut branch is therefore linked, refuted, or in one component already;
    only pairs that no tree brought together can be lost.
 6. Labels spread along all links until they are stable; the smallest doc_id reachable names the component.
 
@@ -48,6 +50,8 @@ STUCK = 0.6
 FILTER_BITS = 1 << 25
 #: Nodes of each side in a leaf of open pairs, and stretches of the pairs of one node.
 SIDE, STRETCHES = 48, 8
+#: Counters by which shingles are ordered, and the pieces they are summed in; their size does not grow with the data.
+COUNTERS, PIECES = 1 << 21, 64
 #: Sketch positions that must agree for a pair to be compared exactly: five standard deviations under 0.8.
 AGREE = 80
 _UPPER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -326,6 +330,75 @@ def mixed(found: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.join(more, "cluster").select(F.col("cluster").alias("h"), "node", "label")
 
 
+def counters(texts: DataFrame, width: int) -> np.ndarray:
+    """About how many of ``texts`` hold a shingle, by its top bits (2 bytes for each of ``COUNTERS``, 4 MB in all): any order of the shingles is a right one, a good one puts rare ones first."""
+    length = COUNTERS // PIECES
+
+    def count(batches):
+        held = np.zeros(COUNTERS, np.int64)
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                held[slots_of(shingles(text, width))] += 1
+        used = np.flatnonzero(held)
+        pieces, starts = np.unique(used // length, return_index=True)
+        parts = np.split(used, starts[1:]) if len(used) else []
+        yield pa.RecordBatch.from_arrays([pa.array(pieces, pa.int64()), pa.array([(p % length).tolist() for p in parts], pa.list_(pa.int32())),
+                                          pa.array([held[p].tolist() for p in parts], pa.list_(pa.int64()))], names=["piece", "at", "held"])
+
+    def add(batches):
+        sums = {}
+        for batch in batches:
+            for piece, at, held in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                sums.setdefault(piece, np.zeros(length, np.int64))[at] += held
+        packed = [np.minimum(v, 0xFFFF).astype(np.uint16).tobytes() for v in sums.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array(packed, pa.binary())], names=["piece", "sums"])
+
+    counted = texts.select("text").mapInArrow(count, "piece long, at array<int>, held array<long>")
+    out = np.zeros((PIECES, length), np.uint16)
+    for row in counted.repartition("piece").mapInArrow(add, "piece long, sums binary").toArrow().to_pylist():  # at most PIECES rows
+        out[row["piece"]] = np.frombuffer(row["sums"], np.uint16)
+    return out.ravel()
+
+
+def slots_of(shingle: np.ndarray) -> np.ndarray:
+    return (shingle >> np.uint64(64 - (COUNTERS.bit_length() - 1))).astype(np.int64)
+
+
+def rare(texts: DataFrame, labels: DataFrame, width: int, percent: int) -> DataFrame:
+    """(h, node) rows: the nodes of ``texts`` (node, text) that may be similar to a node with another label, by shared rare shingles.
+
+    Shingles have one order for all sets. Of a similar pair, the first common shingle stands at a place in either set that leaves
+    enough behind it for the intersection, so only the front of a set counts, and of that only what another label has there too.
+    """
+    sent = texts.sparkSession.sparkContext.broadcast(counters(texts, width))
+
+    def run(batches):
+        held = sent.value
+        for batch in batches:
+            tokens, places, rows = [], [], []
+            sizes = np.zeros(batch.num_rows, np.int64)
+            for i, text in enumerate(batch.column("text").to_pylist()):
+                s = shingles(text, width)
+                front = np.lexsort((s, held[slots_of(s)]))[: len(s) + (-percent * len(s)) // 100 + 1]
+                tokens.append(s[front].astype(np.int64))
+                places.append(np.arange(len(front)))
+                rows.append(np.full(len(front), i))
+                sizes[i] = len(s)
+            rows = np.concatenate(rows) if rows else np.zeros(0, np.int64)
+            join = lambda parts: pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64), pa.int64())
+            at = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([join(tokens), batch.column("node").take(at), batch.column("label").take(at), pa.array(sizes[rows], pa.int64()), join(places)],
+                                             names=["h", "node", "label", "n", "place"])
+
+    rows = written(named(texts, labels).select("node", "label", "text").mapInArrow(run, "h long, node binary, label binary, n long, place long"))
+    for _ in range(2):
+        shared = rows.groupBy("h").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min("n").alias("least")).where("low <> high").select("h", "least")
+        partner = F.greatest("least", F.ceil(percent * F.col("n") / 100))
+        rows = written(rows.join(shared, "h").where(F.col("place") <= F.col("n") - F.ceil(percent * (F.col("n") + partner) / (100 + percent))).select("h", "node", "label", "n", "place"))
+    shared = rows.groupBy("h").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("h")
+    return rows.join(shared, "h").select("h", "node")
+
+
 def outsiders(family: DataFrame, labels: DataFrame) -> DataFrame:
     """(h, node, label): squares of the nodes outside the main label of a family against all nodes of the family."""
     rows = written(named(family, labels))
@@ -434,7 +507,8 @@ def grouped(docs: DataFrame, width: int, percent: int, trees: int, leaf: int, le
         links = links.unionByName(written(confirm_pairs(tried, texts, width, percent)))
         labels = spread(links)
         pairs = written(open_pairs(mixed(found, labels), reps, AGREE, percent, False).join(tried, ["a", "b"], "left_anti"))
-        squares = written(open_pairs(outsiders(family, labels), reps, AGREE, percent, True))
+        near = written(families(written(rare(texts.join(family.select("node"), "node", "left_semi"), labels, width, percent))))
+        squares = written(open_pairs(outsiders(near, labels), reps, AGREE, percent, True))
         last = written(confirm_pairs(pairs, texts, width, percent).unionByName(confirm(squares, texts, width, percent)))
         labels = labels if last.isEmpty() else spread(links.unionByName(last))
         full = rows.join(labels, "node", "left").select("doc_id", "tkey", "n", F.when(F.col("n") > 0, F.coalesce("label", "node")).alias("label"))

@@ -103,3 +103,30 @@ def test_bucketed_table_leaves_the_catalog(spark):
     key = lambda r: tuple(-1 if v is None else v for v in r)
     assert sorted((tuple(r)[:3] for r in got), key=key) == sorted(want, key=key)
     assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("llm_")]
+
+
+def test_open_squares_grow_with_the_rows(spark, monkeypatch):
+    """Strangers around a shared passage in one cut branch: squares of open pairs must not be made for all of them, and no link may be lost."""
+    rng = random.Random(10)
+    passage = [f"p{i}" for i in range(60)]
+    rows = []
+    for i in range(500):
+        own = [f"o{i}_{k}" for k in range(25)]
+        rows.append((i, " ".join(passage + own)))
+        if i % 50 == 0:  # a copy at about the limit, some above and some below
+            own[rng.randrange(12) : 12 + i // 100] = [f"z{i}"]
+            rows.append((1000 + i, " ".join(passage + own)))
+    made, whole = [], near_dedup.outsiders
+
+    def counted(family, labels):
+        out = whole(family, labels)
+        made.append(out.count())
+        return out
+
+    monkeypatch.setattr(near_dedup, "outsiders", counted)
+    df = spark.createDataFrame(rows, SCHEMA).repartition(4)
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.components(df, leaf=64, levels=0).collect()}
+    want = lowest([i for i, _ in rows], brute(rows))
+    print("squares", made, "links", sum(i != c for i, c in want.items()))
+    assert got == want and any(i != c for i, c in want.items())
+    assert made[0] <= 2 * len(rows)
