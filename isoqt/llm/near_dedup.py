@@ -200,7 +200,7 @@ def branches(reps: DataFrame, leaf: int, levels: int) -> tuple[DataFrame, DataFr
 
 def families(cut: DataFrame) -> DataFrame:
     """(family, node): cut branches that share nodes are one family."""
-    low = cut.groupBy("h").agg(F.min("node").alias("b"))
+    low = small_or_shuffled(written(cut.groupBy("h").agg(F.min("node").alias("b"))))
     links = cut.join(low, "h").where("node <> b").select(F.col("node").alias("a"), "b").distinct()
     return spread(written(links)).select(F.col("label").alias("family"), "node")
 
@@ -467,18 +467,37 @@ def confirm_pairs(pairs: DataFrame, texts: DataFrame, width: int, percent: int)
     return rows.repartition("star").sortWithinPartitions("star", F.desc("first")).mapInArrow(run, "a binary, b binary")
 
 
-def spread(links: DataFrame) -> DataFrame:
-    """(node, label): the smallest node of each connected component, by minimum labels with pointer jumping."""
-    edges = written(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = written(edges.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("node"), F.least("a", "low").alias("label")))
-    while True:
-        best = edges.join(labels, edges["b"] == labels["node"]).groupBy("a").agg(F.min("label").alias("near"))
-        met = labels.join(best, labels["node"] == best["a"]).select("node", "label", F.least("label", "near").alias("low"))
-        jump = labels.select(F.col("node").alias("low"), F.col("label").alias("far"))
-        step = written(met.join(jump, "low", "left").select("node", F.col("label").alias("old"), F.least("low", F.coalesce("far", "low")).alias("label")))
-        if step.where("old <> label").isEmpty():
-            return step.select("node", "label")
-        labels = step.select("node", "label")
+def spread(links: DataFrame, labels: DataFrame | None = None) -> DataFrame:
+    """(node, label): the smallest node of each connected component of ``links`` (a, b) and of the components that ``labels`` name already.
+
+    A round sends every node to the smallest of its neighbours and on to the end of that way, then puts these in the place of the ends of
+    the links. Links inside a group go, equal ones become one, so a round has at most half the nodes in the mean and no link is read twice.
+    """
+    edges, steps = written(between(links, labels)), [] if labels is None else [labels]
+    while not edges.isEmpty():
+        ends = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        step, moving = ends.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("node"), F.least("a", "low").alias("label")), True
+        while moving:
+            on = step.select(F.col("node").alias("label"), F.col("label").alias("far"))
+            jumped = written(step.join(on, "label").select("node", "label", "far"))
+            step, moving = jumped.select("node", F.col("far").alias("label")), not jumped.where("label <> far").isEmpty()
+        steps.append(step)
+        edges = written(between(edges, step))
+    if not steps:
+        return edges.select(F.col("a").alias("node"), F.col("b").alias("label"))
+    labels = steps[0]
+    for step in steps[1:]:  # nodes that were in no component yet come in by the step alone
+        onward = step.select(F.col("node").alias("at"), F.col("label").alias("to"))
+        labels = labels.join(onward, labels["label"] == onward["at"], "full").select(F.coalesce("node", "at").alias("node"), F.coalesce("to", "label").alias("label"))
+    return written(labels) if len(steps) > 1 else labels
+
+
+def between(links: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """Distinct (a, b), a below b: ``links`` with the label in the place of every node that has one."""
+    if labels is not None:
+        to = lambda end: labels.select(F.col("node").alias(end), F.col("label").alias(f"{end}_to"))
+        links = links.join(to("a"), "a", "left").join(to("b"), "b", "left").select(F.coalesce("a_to", "a").alias("a"), F.coalesce("b_to", "b").alias("b"))
+    return links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
 
 
 def grouped(docs: DataFrame, width: int, percent: int, trees: int, leaf: int, levels: int) -> DataFrame:
@@ -504,13 +523,12 @@ def grouped(docs: DataFrame, width: int, percent: int, trees: int, leaf: int, le
         labels = spread(links)
         standing = mixed(found, labels).groupBy("h", "label").agg(F.min("node").alias("node"))
         tried = written(open_pairs(standing, reps, AGREE, percent, False))
-        links = links.unionByName(written(confirm_pairs(tried, texts, width, percent)))
-        labels = spread(links)
+        labels = spread(written(confirm_pairs(tried, texts, width, percent)), labels)
         pairs = written(open_pairs(mixed(found, labels), reps, AGREE, percent, False).join(tried, ["a", "b"], "left_anti"))
         near = written(families(written(rare(texts.join(family.select("node"), "node", "left_semi"), labels, width, percent))))
         squares = written(open_pairs(outsiders(near, labels), reps, AGREE, percent, True))
         last = written(confirm_pairs(pairs, texts, width, percent).unionByName(confirm(squares, texts, width, percent)))
-        labels = labels if last.isEmpty() else spread(links.unionByName(last))
+        labels = spread(last, labels)
         full = rows.join(labels, "node", "left").select("doc_id", "tkey", "n", F.when(F.col("n") > 0, F.coalesce("label", "node")).alias("label"))
         return kept_table(full)
 

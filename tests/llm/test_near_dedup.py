@@ -1,5 +1,6 @@
 """Near duplicates: large groups of distinct near copies, depth of the trees, repeated ids."""
 
+import hashlib
 import random
 import time
 
@@ -130,3 +131,37 @@ def test_open_squares_grow_with_the_rows(spark, monkeypatch):
     print("squares", made, "links", sum(i != c for i, c in want.items()))
     assert got == want and any(i != c for i, c in want.items())
     assert made[0] <= 2 * len(rows)
+
+
+def joined_rows(spark, skip: int) -> int:
+    """Rows that joins have made since ``skip`` executions."""
+    store, made = spark._jsparkSession.sharedState().statusStore(), 0
+    runs = store.executionsList()
+    for run in [runs.apply(at).executionId() for at in range(skip, runs.size())]:
+        values, nodes = store.executionMetrics(run), store.planGraph(run).allNodes()
+        for node in (n for n in (nodes.apply(k) for k in range(nodes.size())) if "Join" in n.name()):
+            metrics = (node.metrics().apply(k) for k in range(node.metrics().size()))
+            counts = [values.get(m.accumulatorId()) for m in metrics if m.name() == "number of output rows"]
+            made += sum(int(v.get().replace(",", "")) for v in counts if v.isDefined())
+    return made
+
+
+def test_spread_reads_no_link_again(spark, tmp_path):
+    """A family of twelve trees, a chain and pairs: labels are right, also on top of known ones, and rows of joins follow the links, not links times rounds."""
+    name = lambda i: hashlib.md5(str(i).encode()).digest()
+    links = [(n, 10_000 + c) for n in range(500) for c in range(12)] + [(20_000 + i, 20_001 + i) for i in range(200)] + [(30_000 + 2 * i, 30_001 + 2 * i) for i in range(100)]
+    pairs = [(name(a), name(b)) for a, b in links]
+    spark.createDataFrame(pairs, "a binary, b binary").repartition(4).write.parquet(f"{tmp_path}/links")
+    df = spark.read.parquet(f"{tmp_path}/links")
+    want = lowest({n for p in pairs for n in p}, pairs)
+    skip = spark._jsparkSession.sharedState().statusStore().executionsCount()
+    got = {bytes(r["node"]): bytes(r["label"]) for r in near_dedup.spread(df).collect()}
+    rows = joined_rows(spark, skip)
+    print("rows of joins", rows, "links", len(pairs))
+    assert got == want
+    assert rows <= 4.5 * len(pairs)
+    more = [(name(0), name(20_003)), (name(20_150), name(7)), (name(30_000), name(40_000)), (name(40_001), name(40_002)), (name(40_002), name(40_000)), (name(50_000), name(50_001))]
+    for extra in (more, []):
+        again = near_dedup.spread(spark.createDataFrame(extra, "a binary, b binary"), near_dedup.spread(df)).collect()
+        assert {bytes(r["node"]): bytes(r["label"]) for r in again} == lowest({n for p in pairs + extra for n in p}, pairs + extra)
+    assert near_dedup.spread(df.limit(0)).count() == 0
