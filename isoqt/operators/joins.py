@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from isoqt.fixed_values import JOIN_KEY_CANDIDATES
 from isoqt.functions.clean import numeric_id
@@ -46,41 +50,120 @@ def lookup_demographics(df: DataFrame, meta: DataFrame, key: str = "ecg_id", col
     return df.drop(*[c for c in cols if c in df.columns]).join(side, key, "left")
 
 
-#: Longest piece of a file name that is indexed; names up to this length are looked up, longer ones share a piece and are verified.
+#: Longest piece (in bytes) by which a name is looked up in file names; longer names share a piece with their files and are verified.
 PIECE = 8
+#: Bits of the filter of the names' pieces; its size does not grow with the data.
+FILTER_BITS = 1 << 26
 
 
-def pieces(text, length) -> Column:
-    """Distinct substrings of ``text`` of ``length`` characters; none if the text is shorter."""
-    last = F.length(text) - length + 1
-    return F.when(last > 0, F.array_distinct(F.transform(F.sequence(F.lit(1), last), lambda at: F.substring(text, at, length))))
+def windows(text: pa.Array, sizes):
+    """(size, row, piece) of all runs of each of ``sizes`` bytes inside the texts: the bytes themselves, as one number."""
+    text = text.cast(pa.binary()).cast(pa.large_binary())
+    offsets = np.frombuffer(text.buffers()[1], np.int64)[text.offset : text.offset + len(text) + 1] if len(text) else np.zeros(1, np.int64)
+    if offsets[-1] == offsets[0]:
+        return
+    data = np.frombuffer(text.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].astype(np.uint64)
+    row = np.repeat(np.arange(len(text)), np.diff(offsets))
+    room = (offsets[1:] - offsets[0])[row] - np.arange(len(data))
+    piece = data
+    for size in range(1, min(PIECE, len(data)) + 1):
+        piece = piece if size == 1 else (piece[:-1] << np.uint64(8)) | data[size - 1 :]
+        if size in sizes:
+            at = np.flatnonzero(room[: len(piece)] >= size)
+            yield size, row[at], piece[at]
+
+
+def spots(piece: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The two bits of a piece in the filter."""
+    h = (piece ^ np.uint64(size * 0x9E3779B97F4A7C15 % (1 << 64))) * np.uint64(0xD6E8FEB86659FD93)
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    h ^= h >> np.uint64(32)
+    return (h & np.uint64(FILTER_BITS - 1)).astype(np.int64), (h >> np.uint64(64 - (FILTER_BITS.bit_length() - 1))).astype(np.int64)
+
+
+def with_pieces(batch: pa.RecordBatch, rows: list, *columns: list) -> pa.RecordBatch:
+    """Rows of the batch with numbers beside them."""
+    join = lambda parts: np.concatenate(parts) if parts else np.zeros(0, np.int64)
+    out = batch.take(pa.array(join(rows), pa.int64()))
+    return pa.RecordBatch.from_arrays([*out.columns, *[pa.array(join(c), pa.int64()) for c in columns]],
+                                      names=[*batch.schema.names, "__size", "__piece", "__spot1", "__spot2"][: batch.num_columns + len(columns)])
+
+
+def with_longs(df: DataFrame, *columns: str) -> StructType:
+    return StructType([*df.schema.fields, *[StructField(c, LongType()) for c in columns]])
+
+
+def own_pieces(names: DataFrame, name: str) -> DataFrame:
+    """(name, size, piece and its bits): a name of at most ``PIECE`` bytes is its own piece, a longer one has all its pieces of that size."""
+
+    def run(batches):
+        for batch in batches:
+            length = pc.binary_length(batch.column(0).cast(pa.binary())).to_numpy(zero_copy_only=False)
+            found = [], [], [], [], []
+            for size, row, piece in windows(batch.column(0), range(1, PIECE + 1)):
+                keep = (length[row] == size) | (size == PIECE)
+                first, second = spots(piece[keep], size)
+                for part, values in zip(found, (row[keep], np.full(keep.sum(), size), piece[keep].view(np.int64), first, second)):
+                    part.append(values)
+            yield with_pieces(batch, *found)
+
+    return names.mapInArrow(run, with_longs(names, "__size", "__piece", "__spot1", "__spot2"))
+
+
+def held_pieces(files: DataFrame, own: DataFrame, sizes: list[int]) -> DataFrame:
+    """``files`` once for each piece (size, piece) of ``own`` that their name holds: pieces of no name are dropped where they are cut.
+
+    The filter is a Bloom filter of fixed size (at most 2^20 numbers reach the driver); what it lets through too much meets no name later.
+    """
+    word = own.select(F.explode(F.array("__spot1", "__spot2")).alias("spot")).groupBy(F.shiftright("spot", 6).alias("word"))
+    table = word.agg(F.bit_or(F.expr("shiftleft(1L, CAST(spot & 63 AS INT))")).alias("bits")).toArrow()
+    filled = np.zeros(FILTER_BITS // 64, np.uint64)
+    filled[table["word"].to_numpy()] = table["bits"].to_numpy().view(np.uint64)
+    sent = files.sparkSession.sparkContext.broadcast(filled)
+
+    def run(batches):
+        bits = sent.value
+        hit = lambda spot: (bits[spot >> 6] >> (spot & 63).astype(np.uint64)) & np.uint64(1) > 0
+        for batch in batches:
+            found = [], [], []
+            for size, row, piece in windows(batch.column(0), sizes):
+                first, second = spots(piece, size)
+                keep = hit(first)
+                keep[keep] = hit(second[keep])
+                row, piece = row[keep], piece[keep].view(np.int64)
+                order = np.lexsort((piece, row))
+                row, piece = row[order], piece[order]
+                new = np.r_[True, (row[1:] != row[:-1]) | (piece[1:] != piece[:-1])][: len(row)]  # once for a file
+                for part, values in zip(found, (row[new], np.full(new.sum(), size), piece[new])):
+                    part.append(values)
+            yield with_pieces(batch, *found)
+
+    return files.mapInArrow(run, with_longs(files, "__size", "__piece"))
 
 
 def containing(names: DataFrame, files: DataFrame, name: str, filename: str, order: str, value: str) -> DataFrame:
     """(name, value) of the file with the smallest ``order`` whose name contains the (distinct) name; names in no file are absent.
 
-    File names are cut into pieces of at most ``PIECE`` characters, and only of lengths that names have. A name of at most
-    that length is a piece, so its first file comes from a map-side aggregate over pieces and no pair is formed, even if every
-    file has it. A longer name has all its pieces in every file that contains it, so it is compared only with the files
+    File names are cut into pieces of at most ``PIECE`` bytes, of lengths that names have, and only pieces that a name has leave the
+    task. A name of at most that length is a piece, so its first file comes from a map-side aggregate over pieces and no pair is formed,
+    even if every file has it. A longer name has all its pieces in every file that contains it, so it is compared only with the files
     that share its rarest one; a name with a piece that no file has needs none. The empty name is in every file.
     """
     names = names.select(name).where(F.col(name).isNotNull())
-    size = F.least(F.length(name), F.lit(PIECE))
-    lengths = names.select(size.alias("__size")).distinct()
-    held = [r[0] for r in lengths.where("__size > 0").collect()]  # at most PIECE numbers
     files = files.where(F.col(filename).isNotNull() & F.col(order).isNotNull()).select(F.col(filename).alias("__file"), F.col(order).alias("__order"), F.col(value).alias("__value"))
     first = F.min_by("__value", "__order").alias(value)
-    everywhere = names.where(F.length(name) == 0).crossJoin(files.agg(first).where(F.col(value).isNotNull())) if lengths.where("__size = 0").count() else None
-    cut = [F.coalesce(pieces(F.col("__file"), n), F.array().cast("array<string>")) for n in held]
-    indexed = written(files.select("__file", "__order", "__value", F.explode(F.flatten(F.array(*cut))).alias("__piece"))) if cut else None
-    if indexed is None:
+    own = written(own_pieces(names, name))
+    held = [r[0] for r in own.select("__size").distinct().collect()]  # at most PIECE numbers
+    everywhere = None if (empty := names.where(F.length(name) == 0)).isEmpty() else empty.crossJoin(files.agg(first).where(F.col(value).isNotNull()))
+    if not held:
         return everywhere if everywhere is not None else names.where(F.lit(False)).withColumn(value, F.lit(None).cast(files.schema["__value"].dataType))
-    per_piece = written(indexed.groupBy("__piece").agg(F.count(F.lit(1)).alias("__files"), first))
-    short = names.where(F.length(name).between(1, PIECE)).join(per_piece, F.col(name) == F.col("__piece")).select(name, value)
-    long = names.where(F.length(name) > PIECE)
-    own = long.select(name, F.explode(pieces(F.col(name), F.lit(PIECE))).alias("__piece")).join(per_piece.select("__piece", "__files"), "__piece", "left")
-    rarest = own.groupBy(name).agg(F.min_by("__piece", F.coalesce("__files", F.lit(0))).alias("__piece"))
-    near = rarest.join(indexed, "__piece").where(F.contains("__file", F.col(name)))
+    key = ["__size", "__piece"]
+    indexed = written(held_pieces(files, own, held))
+    per_piece = written(indexed.groupBy(*key).agg(F.count(F.lit(1)).alias("__files"), first))
+    short = own.where(F.octet_length(name) <= PIECE).join(per_piece, key).select(name, value)
+    pieces = own.where(F.octet_length(name) > PIECE).select(name, *key).join(per_piece.select(*key, "__files"), key, "left")
+    rarest = pieces.groupBy(name).agg(F.min_by(F.struct(*key), F.coalesce("__files", F.lit(0))).alias("__rarest")).select(name, "__rarest.*")
+    near = rarest.join(indexed, key).where(F.contains("__file", F.col(name)))
     out = short.unionByName(near.groupBy(name).agg(first))
     return out if everywhere is None else out.unionByName(everywhere.select(name, value))
 

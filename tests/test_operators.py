@@ -267,6 +267,26 @@ def test_match_cascade_equals_brute_force(spark):
     assert joins.match_cascade(rec.limit(0), meta, cols=("age",)).count() == 0 and joins.match_cascade(rec, meta.limit(0), cols=("age",)).where("matched_by IS NOT NULL").count() == 0
 
 
+def test_match_cascade_keeps_only_pieces_of_names(spark, monkeypatch):
+    """Pieces that no name has are not written; names of other scripts, of one to eleven bytes, and of pieces all files have are found."""
+    files = [(f"k{i:04d}", f"dir/größe-東京/{i}/rec-{i}x.dat", float(i)) for i in range(2000)]
+    names = [f"rec-{i}x" for i in range(0, 2000, 7)] + [f"c{i}" for i in range(500)] + [f"zz{i}q" for i in range(500)] + ["ö", "京/77/", "東京", "größe-東京", "größe-京東"]
+    rec = spark.createDataFrame([(n,) for n in names], "record_name string")
+    meta = spark.createDataFrame(files, "meta_id string, filename string, age double")
+    rows, whole = [], joins.written
+
+    def counted(df, *args):
+        out = whole(df, *args)
+        rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(joins, "written", counted)
+    got = {r["record_name"]: r["age"] for r in joins.match_cascade(rec, meta, cols=("age",)).collect()}
+    assert got == {n: next((a for _, f, a in files if n in f), None) for n in names}
+    print("rows written", rows)
+    assert max(rows) <= 10 * len(files)
+
+
 def test_uncoded_first_headers_do_not_hide_coded_ones(spark):
     from isoqt.sources.records import has_coded_headers
 
