@@ -79,9 +79,33 @@ def kept_table(df: DataFrame) -> DataFrame:
 SMALL = 500_000
 
 
-def small_or_shuffled(df: DataFrame) -> DataFrame:
-    """``df`` (a written table of few narrow columns) marked for broadcast if it is proven small."""
-    return F.broadcast(df) if df.count() <= SMALL else df
+def small_or_shuffled(df: DataFrame, limit: int = SMALL) -> DataFrame:
+    """``df`` (a written table of few narrow columns) marked for broadcast if it is proven to have ``limit`` rows at most."""
+    return F.broadcast(df) if df.count() <= limit else df
+
+
+#: Bytes that Spark may estimate for a table which it broadcasts by itself, in ``slim_broadcasts``.
+SLIM = 1 << 20
+
+
+@contextmanager
+def slim_broadcasts(spark: SparkSession):
+    """Queries run inside broadcast, unmarked, only tables of at most ``SLIM`` estimated bytes; lower limits of the session stay.
+
+    A job of very many joins may hold several broadcasts at a time in the driver, each as rows, hash table and blocks. Up to the
+    session's limit these would grow with the data. The settings are the session's, so queries of other threads have them meanwhile.
+    """
+    spark_limit, adaptive = "spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"
+    before = {name: spark.conf.get(name, None) for name in (spark_limit, adaptive)}
+    least = spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    if before[adaptive] is not None and not before[adaptive].startswith("-"):
+        spark.conf.set(adaptive, str(min(SLIM, spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(before[adaptive]))))
+    spark.conf.set(spark_limit, str(min(SLIM, least)))
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
 
 
 def words_of(text: Column) -> Column:

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest, xxh3_128_digest
 
-from isoqt.llm.common import bucketed, kept_table, scratch, small_or_shuffled, written
+from isoqt.llm.common import bucketed, kept_table, scratch, slim_broadcasts, small_or_shuffled, written
 
 SKETCH, TREES, LEAF, LEVELS = 128, 12, 128, 8
 #: One second position for so many branches; nodes that meet every block of a branch that is cut.
@@ -52,6 +52,8 @@ FILTER_BITS = 1 << 25
 SIDE, STRETCHES = 48, 8
 #: Counters by which shingles are ordered, and the pieces they are summed in; their size does not grow with the data.
 COUNTERS, PIECES = 1 << 21, 64
+#: Cut branches of which one node each is broadcast (some 14 MB); of more, the join shuffles.
+FEW = 100_000
 #: Sketch positions that must agree for a pair to be compared exactly: five standard deviations under 0.8.
 AGREE = 80
 _UPPER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -200,7 +202,7 @@ def branches(reps: DataFrame, leaf: int, levels: int) -> tuple[DataFrame, DataFr
 
 def families(cut: DataFrame) -> DataFrame:
     """(family, node): cut branches that share nodes are one family."""
-    low = small_or_shuffled(written(cut.groupBy("h").agg(F.min("node").alias("b"))))
+    low = small_or_shuffled(written(cut.groupBy("h").agg(F.min("node").alias("b"))), FEW)
     links = cut.join(low, "h").where("node <> b").select(F.col("node").alias("a"), "b").distinct()
     return spread(written(links)).select(F.col("label").alias("family"), "node")
 
@@ -502,7 +504,7 @@ def between(links: DataFrame, labels: DataFrame | None) -> DataFrame:
 
 def grouped(docs: DataFrame, width: int, percent: int, trees: int, leaf: int, levels: int) -> DataFrame:
     """Doc_id, tkey, n, label of every row of ``docs`` (doc_id, text); the label of a row without shingles is null."""
-    with scratch(docs.sparkSession):
+    with scratch(docs.sparkSession), slim_broadcasts(docs.sparkSession):
         rows = written(sketches(docs, width, trees))
         # One row for each set; any row of the node will do for sketch and text, the smallest key is taken.
         chosen = F.min_by(F.struct("tkey", "n", "sketch", "upper", "roots"), "tkey")
@@ -548,7 +550,8 @@ def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     full = grouped(docs.select("doc_id", "text"), width, percent, TREES, LEAF, LEVELS).where("n > 0 AND doc_id IS NOT NULL")
     keys = full.groupBy("label", "doc_id", "tkey").agg(F.count(F.lit(1)).alias("copies"))
     first = full.groupBy("label").agg(F.min(F.struct("doc_id", "tkey")).alias("first"))
-    judged = written(keys.join(first, "label").select("doc_id", "tkey", "copies", ((F.col("first.doc_id") == F.col("doc_id")) & (F.col("first.tkey") == F.col("tkey"))).alias("stays")))
+    with slim_broadcasts(docs.sparkSession):
+        judged = written(keys.join(first, "label").select("doc_id", "tkey", "copies", ((F.col("first.doc_id") == F.col("doc_id")) & (F.col("first.tkey") == F.col("tkey"))).alias("stays")))
     own_id, own_key = (f"__{c}_{uuid.uuid4().hex}" for c in ("id", "key"))  # no column of ``docs`` has such a name
     names = lambda rows: rows.select(F.col("doc_id").alias(own_id), F.col("tkey").alias(own_key))
     same = (docs["doc_id"] == F.col(own_id)) & (F.xxhash64(docs["text"].cast("string")) == F.col(own_key))

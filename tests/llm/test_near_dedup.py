@@ -6,7 +6,7 @@ import time
 
 import numpy as np
 
-from isoqt.llm import near_dedup
+from isoqt.llm import common, near_dedup
 
 SCHEMA = "doc_id long, text string"
 
@@ -165,3 +165,32 @@ def test_spread_reads_no_link_again(spark, tmp_path):
         again = near_dedup.spread(spark.createDataFrame(extra, "a binary, b binary"), near_dedup.spread(df)).collect()
         assert {bytes(r["node"]): bytes(r["label"]) for r in again} == lowest({n for p in pairs + extra for n in p}, pairs + extra)
     assert near_dedup.spread(df.limit(0)).count() == 0
+
+
+def test_broadcasts_do_not_follow_the_session(spark, monkeypatch):
+    """Joins inside the search go by its own limit, not by that of the session, so that what the driver holds does not grow with the data."""
+    name, plans, write = "spark.sql.autoBroadcastJoinThreshold", [], near_dedup.written
+    before = spark.conf.get(name)
+
+    def planned(df, *sort):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, *sort)
+
+    base = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join(base[:59] + [f"x{i}"])) for i in range(40)] + [(100 + i, f"alone {i} of many words {i}") for i in range(40)] + [(200, None)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(4)
+    monkeypatch.setattr(common, "SLIM", -1, raising=False)
+    monkeypatch.setattr(near_dedup, "FEW", -1, raising=False)
+    monkeypatch.setattr(near_dedup, "written", planned)
+    assert {r["doc_id"]: r["component_id"] for r in near_dedup.components(df, leaf=16).collect()} == {i: max(0, i - 39) and i for i, _ in rows}
+    near_dedup.keep_one(df)
+    assert len(plans) > 20 and not [p for p in plans if "Broadcast" in p]
+    assert spark.conf.get(name) == before
+    spark.conf.set(name, "512k")
+    try:
+        monkeypatch.setattr(common, "SLIM", 1 << 20, raising=False)
+        with common.slim_broadcasts(spark):  # a lower limit stays
+            assert spark.conf.get(name) == str(512 << 10)
+        assert spark.conf.get(name) == "512k"
+    finally:
+        spark.conf.set(name, before)
